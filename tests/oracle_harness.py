@@ -27,8 +27,9 @@ def _norm(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime") or df[c].dtype == object:
-            df[c] = df[c].astype(str)
-    return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
+            df[c] = df[c].map(lambda v: None if v is None or (not isinstance(v, str) and pd.isna(v)) else str(v))
+    key = df.astype(str)
+    return df.loc[key.sort_values(list(key.columns)).index].reset_index(drop=True)
 
 
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
