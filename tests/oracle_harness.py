@@ -23,11 +23,19 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _scalar(v):
+    if v is None or (not isinstance(v, str) and pd.isna(v)):
+        return None
+    if isinstance(v, pd.Timestamp) and v == v.normalize():
+        return str(v.date())
+    return str(v)
+
+
 def _norm(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime") or df[c].dtype == object:
-            df[c] = df[c].map(lambda v: None if v is None or (not isinstance(v, str) and pd.isna(v)) else str(v))
+            df[c] = df[c].map(_scalar)
     key = df.astype(str)
     return df.loc[key.sort_values(list(key.columns)).index].reset_index(drop=True)
 
