@@ -173,34 +173,37 @@ class Star:
         return conform(pairs.select("transaction_id", "promotion_key").distinct(), "bridge_promotion")
 
     # ---- S8 -------------------------------------------------------------
+    def customer_lookup(self, df: DataFrame) -> DataFrame:
+        """Attach ``customer_key`` to rows carrying customer_id / loyalty_card /
+        transaction_id. Rows without a card holder get a join key that cannot
+        match any hash, so they spread over all shuffle partitions instead of
+        piling up on the partition of NULL."""
+        card = F.col("loyalty_card") & F.col("customer_id").isNotNull()
+        keyed = df.withColumn("_cust", F.coalesce(
+            F.when(card, pseudonymise("customer_id", self.t.rules.customer_salt)),
+            F.concat(F.lit("~"), F.col("transaction_id"))))
+        customers = self.dim_customer.select(F.col("customer_id_hashed").alias("_cust"), "customer_key")
+        return keyed.join(customers, "_cust", "left").drop("_cust")
+
+    def products_lookup(self) -> DataFrame:
+        return self.t.small(self.dim_product.select("item_id", "product_key", "cost"), "products")
+
     @cached_property
     def fact_sales(self) -> DataFrame:
-        r = self.t.rules
         stores = self.current_stores().select("store_id", "store_key", "opening_date")
-        card = F.col("loyalty_card") & F.col("customer_id").isNotNull()
-        tx = (self.t.transactions.join(stores, "store_id")
-              .withColumn("_cust", F.coalesce(F.when(card, pseudonymise("customer_id", r.customer_salt)),
-                                              F.concat(F.lit("~"), F.col("transaction_id")))))
-        customers = self.dim_customer.select(F.col("customer_id_hashed").alias("_cust"), "customer_key")
-        tx = tx.join(customers, "_cust", "left").drop("_cust")
-        products = self.t.small(self.dim_product.select("item_id", "product_key", "cost"), "products")
-        items = self.t.transaction_items.join(products, "item_id")
-        price_c, cost_c = to_cents("unit_price"), to_cents("cost")
-        flag = (F.when(F.col("total_amount") <= 0, F.lit(FLAG_INVALID_AMOUNT))
-                .when(F.col("transaction_date") < F.col("opening_date"), F.lit(FLAG_BEFORE_OPENING))
-                .when((F.col("unit_price") == 0) & (F.col("was_on_promo") == F.lit(False)), F.lit(FLAG_ZERO_PRICE)))
-        fact = items.join(tx, "transaction_id").select(
-            "transaction_item_id", "transaction_id", "transaction_date",
-            date_key("transaction_date").alias("transaction_date_key"),
-            "store_key", "product_key", "customer_key", "payment_method", "loyalty_card", "status",
-            "quantity", "unit_price",
-            from_cents(price_c * F.col("quantity")).alias("gmv"),
-            F.col("cost").alias("unit_cost"),
-            from_cents((price_c - cost_c) * F.col("quantity")).alias("gross_margin"),
-            "was_on_promo",
-            F.col("total_amount").alias("total_amount_reported"),
-            flag.alias("data_quality_flag"))
-        return conform(fact, "fact_sales")
+        # Transaction grain first: the customer lookup shuffles one row per
+        # transaction rather than one per line.
+        tx = self.customer_lookup(self.t.transactions.join(stores, "store_id"))
+        items = self.t.transaction_items.join(self.products_lookup(), "item_id")
+        return conform(fact_columns(items.join(tx, "transaction_id"), F.lit(False)), "fact_sales")
+
+    def fact_from_feed(self, increment: DataFrame) -> DataFrame:
+        """Fact rows for a batch of feed rows (line versions with header columns),
+        flagged late when ingested after the day following the sale."""
+        stores = self.current_stores().select("store_id", "store_key", "opening_date")
+        rows = self.customer_lookup(increment.join(stores, "store_id").join(self.products_lookup(), "item_id"))
+        late = F.to_date("ingestion_timestamp") > F.date_add("transaction_date", 1)
+        return conform(fact_columns(rows, late), "fact_sales")
 
     # ---- S9 -------------------------------------------------------------
     def clean_sales(self, fact: DataFrame | None = None) -> DataFrame:
@@ -227,6 +230,30 @@ class Star:
                         "week_of_year", "is_weekend", "fiscal_period"))
 
 
+def quality_flag():
+    """First matching data-quality issue of a sale line, NULL when clean."""
+    return (F.when(F.col("total_amount") <= 0, F.lit(FLAG_INVALID_AMOUNT))
+            .when(F.col("transaction_date") < F.col("opening_date"), F.lit(FLAG_BEFORE_OPENING))
+            .when((F.col("unit_price") == 0) & (F.col("was_on_promo") == F.lit(False)), F.lit(FLAG_ZERO_PRICE)))
+
+
+def fact_columns(rows: DataFrame, late_arrival) -> DataFrame:
+    """Fact projection of joined line + header + lookup rows."""
+    price_c, cost_c = to_cents("unit_price"), to_cents("cost")
+    return rows.select(
+        "transaction_item_id", "transaction_id", "transaction_date",
+        date_key("transaction_date").alias("transaction_date_key"),
+        "store_key", "product_key", "customer_key", "payment_method", "loyalty_card", "status",
+        "quantity", "unit_price",
+        from_cents(price_c * F.col("quantity")).alias("gmv"),
+        F.col("cost").alias("unit_cost"),
+        from_cents((price_c - cost_c) * F.col("quantity")).alias("gross_margin"),
+        "was_on_promo",
+        F.col("total_amount").alias("total_amount_reported"),
+        quality_flag().alias("data_quality_flag"),
+        late_arrival.alias("late_arrival"))
+
+
 def write_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the fact partitioned by date, files clustered by store and product.
 

@@ -85,7 +85,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .otherwise(F.lit("COMPLETED")).alias("status")))
 
 
-def transaction_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_driver(spark, sf_dir, "lineitem")
     part = read_driver(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     qty = F.col("l_quantity").cast("bigint")
@@ -100,7 +100,30 @@ def transaction_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _sku().alias("item_id"),
                     qty.alias("quantity"),
                     unit_price.alias("unit_price"),
-                    (F.col("l_discount") >= 0.09).alias("was_on_promo")))
+                    (F.col("l_discount") >= 0.09).alias("was_on_promo"),
+                    F.concat_ws("_", F.lit("TI"), F.col("l_orderkey").cast("string"),
+                                F.col("l_linenumber").cast("string")).alias("version_key"),
+                    F.col("l_shipdate").cast("timestamp").alias("ingestion_timestamp")))
+
+
+def transaction_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_rows(spark, sf_dir).select(
+        "transaction_item_id", "transaction_id", "item_id", "quantity", "unit_price", "was_on_promo")
+
+
+def item_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point-of-sale export as the incremental pipeline receives it: one
+    row per line *version*, header columns repeated, with its ingestion time.
+
+    Lines sharing (order, line number) are treated as successive versions of
+    one ``transaction_item_id``; the ship timestamp plays the ingestion time;
+    ``source_record_id`` identifies the physical record (tie-breaker)."""
+    lines = _line_rows(spark, sf_dir)
+    return (lines.join(transactions(spark, sf_dir), "transaction_id")
+            .select(F.col("version_key").alias("transaction_item_id"), "transaction_id", "store_id",
+                    "customer_id", "transaction_date", "total_amount", "payment_method", "loyalty_card",
+                    "status", "item_id", "quantity", "unit_price", "was_on_promo", "ingestion_timestamp",
+                    F.col("transaction_item_id").alias("source_record_id")))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +210,22 @@ transaction_items AS (
          l_discount >= 0.09 AS was_on_promo
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
+item_feed AS (
+  SELECT 'TI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS transaction_item_id,
+         t.transaction_id, t.store_id, t.customer_id, t.transaction_date, t.total_amount, t.payment_method,
+         t.loyalty_card, t.status,
+         p_type || '_' || p_brand AS item_id,
+         CAST(l_quantity AS BIGINT) AS quantity,
+         CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0.0
+              ELSE CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(l_quantity AS BIGINT)) AS BIGINT) / 100.0
+         END AS unit_price,
+         l_discount >= 0.09 AS was_on_promo,
+         CAST(l_shipdate AS TIMESTAMP) AS ingestion_timestamp,
+         'TI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '_'
+           || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS source_record_id
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN transactions t ON t.transaction_id = 'TX_' || CAST(l_orderkey AS VARCHAR)
+),
 products AS (
   SELECT p_type || '_' || p_brand AS item_id,
          p_type || ' ' || p_brand AS item_name,

@@ -34,13 +34,15 @@ class RawTables:
     vendors: DataFrame
     store_promotions: DataFrame
     rules: Rules = DEFAULT_RULES
+    # Incremental point-of-sale feed (line versions with ingestion time), when available.
+    item_feed: DataFrame | None = None
     _dim_rows: dict | None = field(default=None, repr=False)
 
     # ---- constructors --------------------------------------------------
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> "RawTables":
         frames = {name: build(spark, sf_dir) for name, build in driver_tables.BUILDERS.items()}
-        return cls(spark=spark, rules=rules, **frames)
+        return cls(spark=spark, rules=rules, item_feed=driver_tables.item_feed(spark, sf_dir), **frames)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, base: str, rules: Rules = DEFAULT_RULES) -> "RawTables":
@@ -68,7 +70,8 @@ class RawTables:
 
     def with_rules(self, rules: Rules) -> "RawTables":
         return RawTables(self.spark, self.transactions, self.transaction_items, self.stores,
-                         self.products, self.vendors, self.store_promotions, rules, self._dim_rows)
+                         self.products, self.vendors, self.store_promotions, rules, self.item_feed,
+                         self._dim_rows)
 
     # ---- access --------------------------------------------------------
     def table(self, name: str) -> DataFrame:

@@ -122,7 +122,16 @@ FACT_SALES = _schema(
     ("customer_key", L, True), ("payment_method", S, False), ("loyalty_card", B, False),
     ("status", S, False), ("quantity", L, False), ("unit_price", D, False), ("gmv", D, False),
     ("unit_cost", D, False), ("gross_margin", D, False), ("was_on_promo", B, False),
-    ("total_amount_reported", D, True), ("data_quality_flag", S, True),
+    ("total_amount_reported", D, True), ("data_quality_flag", S, True), ("late_arrival", B, True),
+)
+
+# The point-of-sale feed of the incremental pipeline: one row per line version.
+ITEM_FEED = _schema(
+    ("transaction_item_id", S, False), ("transaction_id", S, False), ("store_id", S, False),
+    ("customer_id", S, True), ("transaction_date", DT, False), ("total_amount", D, True),
+    ("payment_method", S, False), ("loyalty_card", B, True), ("status", S, False),
+    ("item_id", S, False), ("quantity", L, False), ("unit_price", D, False), ("was_on_promo", B, True),
+    ("ingestion_timestamp", T.TimestampType(), False), ("source_record_id", S, False),
 )
 
 STAR = {
