@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.rules import DEFAULT_RULES, Rules
 from shelfspark.sources import driver_tables
-from shelfspark.sources.schemas import DIMENSIONS, RAW
+from shelfspark.sources.schemas import DIMENSIONS, ITEM_FEED, RAW
 
 
 @dataclass
@@ -46,9 +46,14 @@ class RawTables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, base: str, rules: Rules = DEFAULT_RULES) -> "RawTables":
-        frames = {name: spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{name}")
-                  for name, schema in RAW.items()}
-        return cls(spark=spark, rules=rules, **frames)
+        base = base.rstrip("/")
+        frames = {name: spark.read.schema(schema).parquet(f"{base}/{name}") for name, schema in RAW.items()}
+        feed = None
+        try:
+            feed = spark.read.schema(ITEM_FEED).parquet(f"{base}/item_feed")
+        except Exception:  # no feed landed next to the tables
+            feed = None
+        return cls(spark=spark, rules=rules, item_feed=feed, **frames)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, base: str, rules: Rules = DEFAULT_RULES,
@@ -103,10 +108,15 @@ class RawTables:
 
     # ---- sink ----------------------------------------------------------
     def land(self, base: str, mode: str = "overwrite") -> "RawTables":
-        """Write all six tables as Parquet folders and return readers over them."""
+        """Write all six tables (and the feed, if any) as Parquet folders and
+        return readers over them. Sales tables are written clustered by their
+        join key so that row-group statistics prune well."""
+        base = base.rstrip("/")
         for name in RAW:
             df = self.table(name)
-            if name == "transactions":
-                df = df.repartitionByRange("transaction_date")
-            df.write.mode(mode).parquet(f"{base.rstrip('/')}/{name}")
+            if name in ("transactions", "transaction_items"):
+                df = df.sortWithinPartitions("transaction_id")
+            df.write.mode(mode).parquet(f"{base}/{name}")
+        if self.item_feed is not None:
+            self.item_feed.sortWithinPartitions("ingestion_timestamp").write.mode(mode).parquet(f"{base}/item_feed")
         return RawTables.from_parquet(self.spark, base, self.rules)
