@@ -10,8 +10,9 @@ single-partition step:
    partition ``i`` holds smaller keys than ``i+1``);
 2. tag each row with its partition and position (``monotonically_increasing_id``
    packs both) and checkpoint, so the numbering is stable if tasks re-run;
-3. count rows per partition — one small row per partition — and turn the counts
-   into running offsets;
+3. count rows per partition — one number per partition, bounded by the
+   partition count, not by the data — and turn the counts into running offsets
+   (the scheme of ``RDD.zipWithIndex``);
 4. key = offset of the partition + position inside it + 1.
 """
 
@@ -45,12 +46,13 @@ def surrogate_key(df: DataFrame, order_cols: Sequence[str], key_name: str, small
               .checkpoint(eager=True))
     tagged = (tagged.withColumn("_sk_part", F.shiftright("_sk_id", _POS_BITS))
               .withColumn("_sk_pos", F.col("_sk_id").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    counts = tagged.groupBy("_sk_part").agg(F.count(F.lit(1)).alias("_sk_n"))
-    # One row per partition: a global window here is bounded by the partition count.
-    offsets = counts.select(
-        "_sk_part",
-        F.coalesce(F.sum("_sk_n").over(Window.orderBy("_sk_part")
-                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sk_off"))
-    return (tagged.join(F.broadcast(offsets), "_sk_part")
+    counts = sorted((r[0], r[1]) for r in
+                    tagged.groupBy("_sk_part").agg(F.count(F.lit(1))).collect())
+    running, offsets = 0, []
+    for part, cnt in counts:
+        offsets.append((part, running))
+        running += cnt
+    offsets_df = spark.createDataFrame(offsets or [(0, 0)], "_sk_part bigint, _sk_off bigint")
+    return (tagged.join(F.broadcast(offsets_df), "_sk_part")
             .withColumn(key_name, (F.col("_sk_off") + F.col("_sk_pos") + 1).cast("bigint"))
             .drop("_sk_id", "_sk_part", "_sk_pos", "_sk_off"))
