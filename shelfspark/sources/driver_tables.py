@@ -9,7 +9,7 @@ columns a job does not use and pushes filters down to the Parquet scans.
 ``SQL_PRELUDE`` is the same derivation as SQL common table expressions, for the
 independent DuckDB oracle. The two must stay in step.
 
-Mapping (a design of this repo, not of the analysed scripts):
+Mapping (a design of this repository):
 
 * stores — one per nation, joined to its region.
 * transactions — one per order; the store is the customer's nation; two out of

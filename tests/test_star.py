@@ -90,3 +90,28 @@ def test_salt_is_applied_on_both_sides(spark):
     import hashlib
     assert star.dim_customer.first()["customer_id_hashed"] == hashlib.sha256(b"C1pepper").hexdigest()
     assert star.fact_sales.first()["customer_key"] == 1
+
+
+def test_written_star_honours_its_contract(spark, scratch):
+    import pytest as _pytest
+    from shelfspark.operators.checks import ContractError, assert_dense_key, assert_not_null
+    from shelfspark.sources.raw import RawTables
+    from shelfspark.sources.schemas import STAR
+    t = RawTables.from_driver(spark, "/root/testdata/sf0.001")
+    out = build_star(t, f"{scratch}/star")
+    for name, key in [("dim_store", "store_key"), ("dim_product", "product_key"),
+                      ("dim_customer", "customer_key"), ("dim_promotion", "promotion_key")]:
+        assert_dense_key(out[name], key)
+    for name in ("dim_date", "dim_vendor", "dim_product", "dim_store", "dim_customer", "dim_promotion",
+                 "bridge_promotion", "fact_sales"):
+        assert_not_null(out[name], STAR[name])
+    # anonymous sales keep a NULL customer key, card holders get one
+    fact = out["fact_sales"]
+    assert fact.filter("NOT loyalty_card AND customer_key IS NOT NULL").count() == 0
+    assert fact.filter("loyalty_card AND customer_key IS NULL AND total_amount_reported > 0 "
+                       "AND status = 'COMPLETED'").count() == 0
+    # Σ fact GMV equals Σ line amounts of the items the lookups kept
+    items_total = t.transaction_items.selectExpr("sum(round(unit_price * 100) * quantity) / 100.0").first()[0]
+    assert abs(fact.agg(F.sum("gmv")).first()[0] - items_total) < 1e-6 * max(1.0, items_total)
+    with _pytest.raises(ContractError):
+        assert_dense_key(out["dim_vendor"], "vendor_key")      # sentinel keys sit above the dense range
