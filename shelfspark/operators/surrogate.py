@@ -33,10 +33,17 @@ def surrogate_key(df: DataFrame, order_cols: Sequence[str], key_name: str, small
     Callers make ``order_cols`` unique (add tie-breakers) when the numbering
     must be reproducible.
     """
+    return numbered(df, order_cols, key_name, small, num_partitions)[0]
+
+
+def numbered(df: DataFrame, order_cols: Sequence[str], key_name: str, small: bool = False,
+             num_partitions: int | None = None) -> tuple[DataFrame, int | None]:
+    """``surrogate_key`` plus the row count when the scalable path measured it
+    (None on the small path)."""
     order = [F.col(c).asc_nulls_first() for c in order_cols]
     if small:
         w = Window.orderBy(*order)
-        return df.withColumn(key_name, F.row_number().over(w).cast("bigint"))
+        return df.withColumn(key_name, F.row_number().over(w).cast("bigint")), None
 
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -53,6 +60,7 @@ def surrogate_key(df: DataFrame, order_cols: Sequence[str], key_name: str, small
         offsets.append((part, running))
         running += cnt
     offsets_df = spark.createDataFrame(offsets or [(0, 0)], "_sk_part bigint, _sk_off bigint")
-    return (tagged.join(F.broadcast(offsets_df), "_sk_part")
-            .withColumn(key_name, (F.col("_sk_off") + F.col("_sk_pos") + 1).cast("bigint"))
-            .drop("_sk_id", "_sk_part", "_sk_pos", "_sk_off"))
+    keyed = (tagged.join(F.broadcast(offsets_df), "_sk_part")
+             .withColumn(key_name, (F.col("_sk_off") + F.col("_sk_pos") + 1).cast("bigint"))
+             .drop("_sk_id", "_sk_part", "_sk_pos", "_sk_off"))
+    return keyed, running

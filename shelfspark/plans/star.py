@@ -19,7 +19,7 @@ Physical choices:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -29,7 +29,7 @@ from shelfspark.functions.dates import date_key, month_start, months_before
 from shelfspark.functions.money import from_cents, to_cents
 from shelfspark.functions.privacy import pseudonymise
 from shelfspark.operators.interval_join import interval_join
-from shelfspark.operators.surrogate import surrogate_key
+from shelfspark.operators.surrogate import numbered, surrogate_key
 from shelfspark.plans.common import last_sale_date
 from shelfspark.sources.raw import RawTables
 from shelfspark.sources.schemas import STAR
@@ -50,7 +50,9 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 @dataclass
 class Star:
     t: RawTables
-    _cache: dict = field(default_factory=dict, repr=False)
+    # Row count of the customer dimension, known once it has been numbered
+    # (or set by whoever supplies a written dimension).
+    customer_rows: int | None = None
 
     # ---- S1 -------------------------------------------------------------
     @cached_property
@@ -135,7 +137,7 @@ class Star:
 
     @cached_property
     def dim_customer(self) -> DataFrame:
-        first = surrogate_key(self.first_purchases(), ["customer_id"], "customer_key")
+        first, self.customer_rows = numbered(self.first_purchases(), ["customer_id"], "customer_key")
         stores = self.current_stores().select(F.col("store_id").alias("first_store_id"),
                                               F.col("store_key").alias("acquisition_store_key"),
                                               F.col("country").alias("acquisition_country"))
@@ -183,6 +185,10 @@ class Star:
             F.when(card, pseudonymise("customer_id", self.t.rules.customer_salt)),
             F.concat(F.lit("~"), F.col("transaction_id"))))
         customers = self.dim_customer.select(F.col("customer_id_hashed").alias("_cust"), "customer_key")
+        # Broadcast only when the numbering step measured the dimension small.
+        rows = getattr(self, "customer_rows", None)
+        if rows is not None and rows <= self.t.rules.broadcast_max_rows:
+            customers = F.broadcast(customers)
         return keyed.join(customers, "_cust", "left").drop("_cust")
 
     def products_lookup(self) -> DataFrame:

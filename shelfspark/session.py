@@ -28,12 +28,13 @@ BASE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  driver_memory: str = "8g", app: str = "shelfspark") -> SparkSession:
+                  driver_memory: str = "8g", app: str = "shelfspark",
+                  extra_conf: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory)
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
-    for k, v in BASE_CONF.items():
+    for k, v in {**BASE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -61,3 +61,19 @@ def test_dedup_aggregates_map_side(landed):
     # the partial limit runs before the shuffle
     assert p.index("WindowGroupLimit") < p.index("Exchange") or "Partial" in p
     assert "Partial" in p
+
+
+def test_bucketed_layout_joins_without_exchange_and_same_results(spark, tmp_path):
+    from pyspark.sql import functions as F  # noqa: F401
+    src = RawTables.from_driver(spark, "/root/testdata/sf0.001")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shelf_test LOCATION '{tmp_path}/db'")
+    bucketed = src.land_bucketed("shelf_test", buckets=4)
+    p = plan(audit.header_line_reconciliation(bucketed))
+    assert "Exchange hashpartitioning" not in p
+    p = plan(reports.gmroi_by_vendor_category(bucketed))
+    sales_join = p[p.index("SortMergeJoin"):] if "SortMergeJoin" in p else ""
+    assert "SortMergeJoin" not in p or "Exchange hashpartitioning(transaction_id" not in sales_join
+    for job in (reports.stockout_gaps, reports.promotion_impact, audit.header_line_reconciliation):
+        a = sorted(map(tuple, job(bucketed).collect()), key=repr)
+        b = sorted(map(tuple, job(src).collect()), key=repr)
+        assert a == b
