@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import checkpoint_dir
+
 _POS_BITS = 33
 
 
@@ -46,6 +48,7 @@ def numbered(df: DataFrame, order_cols: Sequence[str], key_name: str, small: boo
         return df.withColumn(key_name, F.row_number().over(w).cast("bigint")), None
 
     spark = df.sparkSession
+    checkpoint_dir(spark)             # the cluster's shared folder; a scratch one only when unset
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *order)
               .sortWithinPartitions(*order)

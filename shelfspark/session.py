@@ -50,8 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(current)
         return current
+    existing = spark.sparkContext.getCheckpointDir()
+    if existing:                      # set on the context by the application
+        return existing
     path = tempfile.mkdtemp(prefix="shelfspark-ckpt-", dir=os.environ.get("SHELFSPARK_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
