@@ -10,8 +10,9 @@ a batch replayed after a failure is absorbed by the idempotent upsert. With
 (or six-hourly, per scope) run.
 
 ``daily_store_gmv`` is the event-time view of the same feed: GMV per store and
-sale day, with a watermark equal to the late-data window (48 h), so a day's
-total is emitted once no more late lines are accepted for it.
+sale day from the latest version of each line, with a watermark equal to the
+late-data window (48 h), so a day's total is emitted once no more late lines
+are accepted for it.
 """
 
 from __future__ import annotations
@@ -49,17 +50,23 @@ def start_fact_loader(t: RawTables, feed_dir: str, fact_path: str, checkpoint_lo
 
 
 def daily_store_gmv(feed: DataFrame, late_hours: int = 48) -> DataFrame:
-    """Streaming GMV per (store, sale day) for completed, positively priced lines.
+    """Streaming GMV per (store, sale day) of completed, positively priced lines.
 
-    Versions of a line are de-duplicated within the watermark (first arrival
-    kept); corrections of an already counted line reach the numbers through
-    the fact upsert, not through this running view."""
-    events = (feed.withColumn("event_time", F.col("transaction_date").cast("timestamp"))
-              .withWatermark("event_time", f"{late_hours} hours")
-              .dropDuplicatesWithinWatermark(["transaction_item_id"])
-              .filter((F.col("status") == "COMPLETED") & (F.col("unit_price") > 0)))
-    return (events.groupBy(F.window("event_time", "1 day").alias("day"), "store_id")
-            .agg(F.sum(line_cents("unit_price", "quantity")).alias("cents"),
-                 F.count(F.lit(1)).alias("lines"))
+    Two chained event-time aggregations under one watermark (the late window):
+    first the latest version of each line within its sale day (latest
+    ingestion, then record id — the batch rule), then the day's sum per store.
+    A day is emitted once the watermark has passed it, i.e. when no more late
+    lines are accepted for it. A correction that moves a line to another day
+    reaches the numbers through the fact upsert, not through this view."""
+    versions = (feed.withColumn("event_time", F.col("transaction_date").cast("timestamp"))
+                .withWatermark("event_time", f"{late_hours} hours"))
+    latest = (versions.groupBy(F.window("event_time", "1 day").alias("day"), "store_id", "transaction_item_id")
+              .agg(F.max_by(F.struct("status", "unit_price", "quantity"),
+                            F.struct("ingestion_timestamp", "source_record_id")).alias("v")))
+    lines = (latest.filter((F.col("v.status") == "COMPLETED") & (F.col("v.unit_price") > 0))
+             .select("store_id", F.window_time("day").alias("day_time"),
+                     line_cents("v.unit_price", "v.quantity").alias("cents")))
+    return (lines.groupBy(F.window("day_time", "1 day").alias("day"), "store_id")
+            .agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("lines"))
             .select("store_id", F.to_date(F.col("day.start")).alias("transaction_date"),
                     from_cents("cents").alias("gmv"), "lines"))
