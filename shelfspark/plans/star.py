@@ -44,7 +44,8 @@ HOLIDAY_COUNTRIES = ("CR", "GT", "HN", "SV", "NI")
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Select and cast to the declared star schema (column order and types)."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in STAR[name].fields])
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata)
+                      for f in STAR[name].fields])
 
 
 @dataclass
@@ -297,6 +298,13 @@ def build_star(t: RawTables, base: str) -> dict[str, DataFrame]:
     return out
 
 
+def register_views(tables: dict[str, DataFrame]) -> None:
+    """Expose a built star (the dict of ``build_star``) to Spark SQL: one
+    temporary view per table, plus ``view_clean_sales``."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def fact_coverage(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
     """Item rows, fact rows and the rows the inner store/product lookups dropped."""
     fact = Star(t).fact_sales if fact is None else fact

@@ -115,3 +115,12 @@ def test_written_star_honours_its_contract(spark, scratch):
     assert abs(fact.agg(F.sum("gmv")).first()[0] - items_total) < 1e-6 * max(1.0, items_total)
     with _pytest.raises(ContractError):
         assert_dense_key(out["dim_vendor"], "vendor_key")      # sentinel keys sit above the dense range
+
+
+def test_views_and_column_comments(spark, scratch):
+    from shelfspark.plans.star import register_views
+    txs = [tx("T1", date="2024-03-05")]
+    out = build_star(tables(spark, txs, [item("a", "T1", qty=2)]), f"{scratch}/star")
+    register_views(out)
+    assert spark.sql("SELECT sum(gmv) FROM view_clean_sales").first()[0] == 20.0
+    assert Star(tables(spark, txs)).dim_date.schema["date_key"].metadata.get("comment") == "PK surrogate YYYYMMDD"
