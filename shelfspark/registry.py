@@ -20,6 +20,7 @@ def _register(module: str, table: str) -> None:
 
 for _module, _table in (("shelfspark.plans.audit", "AUDITS"),
                         ("shelfspark.plans.star", "STAR_JOBS"),
+                        ("shelfspark.plans.star_reports", "STAR_REPORTS"),
                         ("shelfspark.plans.pipeline", "PIPELINE_JOBS")):
     try:
         _register(_module, _table)

@@ -124,3 +124,16 @@ def test_views_and_column_comments(spark, scratch):
     register_views(out)
     assert spark.sql("SELECT sum(gmv) FROM view_clean_sales").first()[0] == 20.0
     assert Star(tables(spark, txs)).dim_date.schema["date_key"].metadata.get("comment") == "PK surrogate YYYYMMDD"
+
+
+def test_reports_on_star_use_the_view_definition(spark):
+    from shelfspark.plans import reports, star_reports
+    products = [product("I1", vendor="V1"), product("I2", vendor="VX"), product("I3", vendor="V1", cost=0.0)]
+    txs = [tx("T1", date="2024-03-05"), tx("T2", date="2024-03-06")]
+    items = [item("a", "T1", "I1", price=10.0, qty=2), item("b", "T1", "I2", price=5.0),       # orphan vendor
+             item("c", "T2", "I3", price=0.0, promo=True)]                                     # free promo line
+    t = tables(spark, txs, items, products=products)
+    on_star = {(r["vendor_id"], r["skus_activos"]) for r in star_reports.gmroi_on_star(t).collect()}
+    on_raw = {(r["vendor_id"], r["skus_activos"]) for r in reports.gmroi_by_vendor_category(t).collect()}
+    assert on_star == {("V1", 2)}          # the free promo line's SKU is active on the star
+    assert on_raw == {("V1", 1)}           # the reports drop every zero price
