@@ -314,6 +314,23 @@ def fact_coverage(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
                     (F.col("item_rows") - fact_rows).alias("dropped_rows")))
 
 
+def flag_distribution(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
+    """Fact lines and GMV per data-quality flag (NULL = clean).
+
+    Without a written fact, the lines are flagged directly: only the store and
+    product lookups that decide whether a line enters the fact are applied
+    (no surrogate keys, no customer lookup)."""
+    if fact is None:
+        stores = t.dim("stores").select("store_id", "opening_date")
+        items = t.transaction_items.join(t.dim("products").select("item_id"), "item_id", "left_semi")
+        lines = items.join(t.transactions.join(stores, "store_id"), "transaction_id")
+        fact = lines.select(quality_flag().alias("data_quality_flag"),
+                            from_cents(to_cents("unit_price") * F.col("quantity")).alias("gmv"))
+    return (fact.groupBy("data_quality_flag")
+            .agg(F.count(F.lit(1)).alias("lineas"), from_cents(F.sum(to_cents("gmv"))).alias("gmv"))
+            .orderBy("data_quality_flag"))
+
+
 STAR_JOBS = {
     "s1_dim_date": lambda t: Star(t).dim_date,
     "s2_dim_vendor": lambda t: Star(t).dim_vendor,
@@ -323,5 +340,6 @@ STAR_JOBS = {
     "s6_dim_promotion": lambda t: Star(t).dim_promotion,
     "s7_bridge_promotion": lambda t: Star(t).bridge_promotion,
     "s8_fact_sales": lambda t: Star(t).fact_sales,
+    "s8f_flag_distribution": flag_distribution,
     "s9_clean_sales": lambda t: Star(t).clean_sales(),
 }

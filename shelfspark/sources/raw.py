@@ -85,6 +85,13 @@ class RawTables:
                          self.products, self.vendors, self.store_promotions, rules, self.item_feed,
                          self._dim_rows)
 
+    def register_views(self) -> None:
+        """Expose the raw tables (and the feed) to Spark SQL under their names."""
+        for name in RAW:
+            self.table(name).createOrReplaceTempView(name)
+        if self.item_feed is not None:
+            self.item_feed.createOrReplaceTempView("item_feed")
+
     # ---- access --------------------------------------------------------
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -137,3 +137,18 @@ def test_reports_on_star_use_the_view_definition(spark):
     on_raw = {(r["vendor_id"], r["skus_activos"]) for r in reports.gmroi_by_vendor_category(t).collect()}
     assert on_star == {("V1", 2)}          # the free promo line's SKU is active on the star
     assert on_raw == {("V1", 1)}           # the reports drop every zero price
+
+
+def test_command_line_runner(spark, scratch):
+    from shelfspark.__main__ import main
+    assert main(["--source", "driver", "--path", "/root/testdata/sf0.001", "--out", f"{scratch}/out",
+                 "a1_completeness", "s8f_flag_distribution"]) == 0
+    assert spark.read.parquet(f"{scratch}/out/a1_completeness").count() == 1
+    flags = {r["data_quality_flag"] for r in spark.read.parquet(f"{scratch}/out/s8f_flag_distribution").collect()}
+    assert None in flags and "MONTO_INVALIDO" in flags
+
+
+def test_raw_views_accept_sql(spark):
+    t = tables(spark, transactions=[tx("T1"), tx("T2", total=0.0)])
+    t.register_views()
+    assert spark.sql("SELECT count(*) FROM transactions WHERE total_amount <= 0").first()[0] == 1
