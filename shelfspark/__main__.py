@@ -1,6 +1,6 @@
 """Run named jobs and write their results as Parquet.
 
-    spark-submit --py-files shelfspark.zip -m shelfspark \\
+    spark-submit --py-files shelfspark.zip shelfspark/__main__.py \\
         --source parquet --path s3://…/raw --out s3://…/reports b1_comparable_sales b5_stockout_gaps
 
 ``--source`` is ``parquet`` (landed folders), ``csv`` (exports with headers),
