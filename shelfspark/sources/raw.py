@@ -121,19 +121,36 @@ class RawTables:
         return df
 
     # ---- sink ----------------------------------------------------------
-    def land_bucketed(self, database: str, buckets: int, location: str | None = None) -> "RawTables":
+    def heaviest_transaction_share(self) -> float:
+        """Largest share of all item rows held by one transaction (one
+        partially aggregated pass over the key column)."""
+        per_tx = self.transaction_items.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
+        row = per_tx.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
+        return (row["top"] or 0) / row["total"] if row["total"] else 0.0
+
+    def land_bucketed(self, database: str, buckets: int, location: str | None = None,
+                      guard: bool = True) -> "RawTables":
         """Write the tables as catalog tables, transactions and their items both
         bucketed and sorted by ``transaction_id`` into the same number of buckets.
 
         The items ⋈ transactions join of every report then runs bucket by
         bucket, without an exchange of either side; filters and broadcast
         lookups in between keep that partitioning. Master tables and the feed
-        are written plain."""
+        are written plain.
+
+        A bucketed join has no shuffle for adaptive execution to split, so a
+        transaction holding more than an average bucket's share of the lines
+        would make one task read it whole. With ``guard`` (default) that is
+        measured first, and such data is landed without buckets instead, where
+        the shuffle join's skew splitting applies."""
+        bucket_by = ("transactions", "transaction_items")
+        if guard and self.heaviest_transaction_share() > 1.0 / buckets:
+            bucket_by = ()
         where = f" LOCATION '{location}'" if location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
         for name in RAW:
             writer = self.table(name).write.mode("overwrite").format("parquet")
-            if name in ("transactions", "transaction_items"):
+            if name in bucket_by:
                 writer = writer.bucketBy(buckets, "transaction_id").sortBy("transaction_id")
             writer.saveAsTable(f"{database}.{name}")
         if self.item_feed is not None:

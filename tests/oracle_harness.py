@@ -17,9 +17,13 @@ DRIVER_VIEWS = ("region", "nation", "customer", "supplier", "part", "orders", "l
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    import os
     con = duckdb.connect()
     for t in DRIVER_VIEWS:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        path = f"{sf_dir}/{t}.parquet"
+        if os.path.isdir(path):                 # a folder written by Spark
+            path = f"{path}/*.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 

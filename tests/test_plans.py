@@ -77,3 +77,46 @@ def test_bucketed_layout_joins_without_exchange_and_same_results(spark, tmp_path
         a = sorted(map(tuple, job(bucketed).collect()), key=repr)
         b = sorted(map(tuple, job(src).collect()), key=repr)
         assert a == b
+
+
+def test_bucketing_guard_refuses_a_hot_transaction(spark, tmp_path):
+    from tests.fixtures import item, tables, tx
+    hot = tables(spark, transactions=[tx("T1"), tx("T2")],
+                 items=[item(f"a{i}", "T1") for i in range(30)] + [item("b", "T2")])
+    assert hot.heaviest_transaction_share() > 0.9
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shelf_guard LOCATION '{tmp_path}/db'")
+    landed = hot.land_bucketed("shelf_guard", buckets=4)
+    assert spark.sql("DESCRIBE TABLE EXTENDED shelf_guard.transaction_items").filter(
+        "col_name = 'Num Buckets'").count() == 0
+    assert landed.transaction_items.count() == 31
+
+
+def test_hot_transaction_is_split_by_adaptive_skew_join(spark, tmp_path):
+    """One basket holds most lines of the fact build; AQE splits its partition."""
+    from pyspark.sql import functions as F
+    from shelfspark.plans.star import Star
+    from tests.fixtures import item, product, tables, tx
+    base = tables(spark, transactions=[tx(f"T{i}") for i in range(200)],
+                  items=[item(f"h{i}", "T0", price=1.0 + i % 7) for i in range(6000)]
+                  + [item(f"n{i}", f"T{i % 200}") for i in range(3000)], products=[product("I1")])
+    # Land the sales tables as many files, so the hot basket's lines come from many map tasks.
+    for name in ("transactions", "transaction_items"):
+        base.table(name).repartition(16, F.rand(7)).write.parquet(str(tmp_path / name))
+    t = tables(spark, products=[product("I1")])
+    t.transactions = spark.read.parquet(str(tmp_path / "transactions"))
+    t.transaction_items = spark.read.parquet(str(tmp_path / "transaction_items"))
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        fact = Star(t).fact_sales
+        assert len(fact.collect()) == 9000
+        assert "skew=true" in plan(fact)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
