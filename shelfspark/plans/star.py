@@ -276,9 +276,34 @@ def read_table(spark, base: str, name: str) -> DataFrame:
     return spark.read.schema(STAR[name]).parquet(f"{base.rstrip('/')}/{name}")
 
 
-def build_star(t: RawTables, base: str) -> dict[str, DataFrame]:
+DENSE_KEYS = {"dim_store": "store_key", "dim_product": "product_key", "dim_customer": "customer_key",
+              "dim_promotion": "promotion_key"}
+
+
+def validate_dimensions(out: dict[str, DataFrame]) -> None:
+    """NOT NULL columns hold no NULL and surrogate keys are dense (1..n)."""
+    from shelfspark.operators.checks import assert_dense_key, assert_not_null
+    for name in ("dim_date", "dim_vendor", "dim_product", "dim_store", "dim_customer", "dim_promotion"):
+        assert_not_null(out[name], STAR[name])
+        if name in DENSE_KEYS:
+            assert_dense_key(out[name], DENSE_KEYS[name])
+
+
+def uncovered_sales(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """Fact lines whose date is missing from the calendar (they would vanish
+    from the clean view's calendar join), with their count per date."""
+    days = F.broadcast(dim_date.select(F.col("date_key").alias("transaction_date_key")))
+    return (fact.join(days, "transaction_date_key", "left_anti")
+            .groupBy("transaction_date").agg(F.count(F.lit(1)).alias("lineas")))
+
+
+def build_star(t: RawTables, base: str, validate: bool = True) -> dict[str, DataFrame]:
     """Materialise the model under ``base``: dimensions first, re-read so later
-    steps use the written surrogate keys, then bridge and fact. Returns readers."""
+    steps use the written surrogate keys, then bridge and fact. Returns readers.
+
+    With ``validate`` the written dimensions are checked against the schema's
+    NOT NULL columns and their surrogate keys for density before the fact is
+    built (a failed check raises ``ContractError``)."""
     spark = t.spark
     star = Star(t)
     out = {}
@@ -290,6 +315,8 @@ def build_star(t: RawTables, base: str) -> dict[str, DataFrame]:
         getattr(star, name).write.mode("overwrite").parquet(f"{base}/{name}")
         out[name] = read_table(spark, base, name)
         star.__dict__[name] = out[name]
+    if validate:
+        validate_dimensions(out)
     star.bridge_promotion.write.mode("overwrite").parquet(f"{base}/bridge_promotion")
     out["bridge_promotion"] = read_table(spark, base, "bridge_promotion")
     write_fact(star.fact_sales, f"{base}/fact_sales")

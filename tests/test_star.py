@@ -152,3 +152,19 @@ def test_raw_views_accept_sql(spark):
     t = tables(spark, transactions=[tx("T1"), tx("T2", total=0.0)])
     t.register_views()
     assert spark.sql("SELECT count(*) FROM transactions WHERE total_amount <= 0").first()[0] == 1
+
+
+def test_calendar_coverage_and_dimension_validation(spark, scratch):
+    import datetime as dt
+    import pytest as _pytest
+    from shelfspark.operators.checks import ContractError
+    from shelfspark.plans.star import uncovered_sales, validate_dimensions
+    txs = [tx("T1", date="2024-03-01"), tx("T2", date="2024-03-05")]
+    items = [item("a", "T1"), item("b", "T2")]
+    star = Star(tables(spark, txs, items, rules=Rules(calendar_start=dt.date(2024, 3, 3))))
+    assert rows(uncovered_sales(star.fact_sales, star.dim_date)) == [(D("2024-03-01"), 1)]
+    bad = Star(tables(spark, txs, items, products=[product("I1", vendor=None)]))
+    dims = {n: getattr(bad, n) for n in ("dim_date", "dim_vendor", "dim_product", "dim_store",
+                                        "dim_customer", "dim_promotion")}
+    with _pytest.raises(ContractError):
+        validate_dimensions(dims)            # a product without vendor has no vendor_key
