@@ -195,15 +195,27 @@ class Star:
     def products_lookup(self) -> DataFrame:
         return self.t.small(self.dim_product.select("item_id", "product_key", "cost"), "products")
 
-    @cached_property
-    def fact_sales(self) -> DataFrame:
+    def _fact(self, with_customer: bool) -> DataFrame:
         stores = self.current_stores().select("store_id", "store_key", "opening_date")
+        tx = self.t.transactions.join(stores, "store_id")
         # Transaction grain first: the customer lookup shuffles one row per
         # transaction rather than one per line.
-        tx = self.customer_lookup(self.t.transactions.join(stores, "store_id"))
+        tx = (self.customer_lookup(tx) if with_customer
+              else tx.withColumn("customer_key", F.lit(None).cast("bigint")))
         items = self.t.transaction_items.join(self.products_lookup(), "item_id")
         return conform(fact_columns(items.join(tx, "transaction_id"), F.lit(False)), "fact_sales")
 
+    @cached_property
+    def fact_sales(self) -> DataFrame:
+        return self._fact(with_customer=True)
+
+    @cached_property
+    def fact_sales_without_customer(self) -> DataFrame:
+        """The fact with ``customer_key`` left NULL, for analyses that do not use
+        it: same rows (the customer lookup is a left join on a unique key)
+        without building the customer dimension."""
+        return self._fact(with_customer=False)
+
     def fact_from_feed(self, increment: DataFrame) -> DataFrame:
         """Fact rows for a batch of feed rows (line versions with header columns),
         flagged late when ingested after the day following the sale."""

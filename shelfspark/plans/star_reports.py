@@ -5,7 +5,8 @@ keeps zero-priced lines sold on promotion and drops lines of unknown vendors
 everywhere, and it excludes flagged lines rather than filtering raw columns.
 These jobs answer the same questions as B2/B4/B5 for users of the star and
 make the difference between the two definitions measurable. Amounts are
-summed as exact cents of the fact's columns.
+summed as exact cents of the fact's columns. None of them reads the customer
+key, so they use the fact without the customer lookup.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ def productivity_on_star(t: RawTables) -> DataFrame:
     """B2 on the star: last-months GMV and transactions per m², ticket, rank, P25 status."""
     r = t.rules
     star = Star(t)
-    last = star.fact_sales.agg(F.max("transaction_date")).scalar()
-    view = star.clean_sales().filter(F.col("transaction_date") >= months_before(last, r.recent_months))
+    fact = star.fact_sales_without_customer
+    last = fact.agg(F.max("transaction_date")).scalar()
+    view = star.clean_sales(fact).filter(F.col("transaction_date") >= months_before(last, r.recent_months))
     attrs = ["store_key", "store_name", "country", "format", "size_sqm"]
     per_tx = view.groupBy(*attrs, "transaction_id").agg(F.sum(to_cents("gmv")).alias("cents"))
     per_store = per_tx.groupBy(*attrs).agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n_tx"))
@@ -48,7 +50,8 @@ def productivity_on_star(t: RawTables) -> DataFrame:
 def gmroi_on_star(t: RawTables) -> DataFrame:
     """B4 on the star: GMROI per vendor × category from the fact's margin and cost."""
     r = t.rules
-    view = Star(t).clean_sales()
+    star = Star(t)
+    view = star.clean_sales(star.fact_sales_without_customer)
     keys = ["vendor_id", "vendor_name", "category"]
     per_product = (view.groupBy(*keys, "product_key")
                    .agg(F.sum(to_cents("gmv")).alias("gmv_c"),
@@ -77,7 +80,8 @@ def gmroi_on_star(t: RawTables) -> DataFrame:
 def stockouts_on_star(t: RawTables) -> DataFrame:
     """B5 on the star: selling-day gaps per (store, product) of the clean view."""
     r = t.rules
-    daily = (Star(t).clean_sales()
+    star = Star(t)
+    daily = (star.clean_sales(star.fact_sales_without_customer)
              .groupBy("store_key", "product_key", "item_name", "category", "transaction_date")
              .agg(F.sum("quantity").alias("units"), F.sum(to_cents("gmv")).alias("cents")))
     part = Window.partitionBy("store_key", "product_key")
