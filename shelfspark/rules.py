@@ -14,6 +14,12 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Rules:
+    # The defaults below are the thresholds, periods, labels and
+    # keys of the analyses as specified (status labels, 1-cent tolerance,
+    # 7-day freshness gap, 13-month comparability, January–June comparison,
+    # 3-month window, 25th percentile, cohort months 1/2/3/6, GMROI floor 1,
+    # 3-day stock-out gap over 7 selling days, sentinel vendor key 9999,
+    # 48-hour late window, 2-day silence alert).
     # shared sales filter
     completed_status: str = "COMPLETED"
     returned_status: str = "RETURNED"
@@ -39,7 +45,6 @@ class Rules:
     # star schema
     calendar_start: dt.date | None = None        # None: first sale date
     unknown_vendor_key: int = 9999
-    unknown_vendor_id: str = "VND_031"
     contaminated_stores: tuple[str, ...] | None = None  # None: stores in more than one variant
     customer_salt: str = ""
     # pipeline
