@@ -48,7 +48,7 @@ class Rules:
     contaminated_stores: tuple[str, ...] | None = None  # None: stores in more than one variant
     customer_salt: str = ""
     # pipeline
-    run_date: dt.date | None = None              # None: last sale date
+    run_date: dt.date | None = None              # None: the day after the last sale
     late_window_days: int = 2
     silent_store_days: int = 2
     idle_item_days: int = 30
