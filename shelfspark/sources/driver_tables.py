@@ -103,7 +103,7 @@ def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("l_discount") >= 0.09).alias("was_on_promo"),
                     F.concat_ws("_", F.lit("TI"), F.col("l_orderkey").cast("string"),
                                 F.col("l_linenumber").cast("string")).alias("version_key"),
-                    F.col("l_shipdate").cast("timestamp").alias("ingestion_timestamp")))
+                    F.col("l_shipdate").cast("timestamp_ntz").alias("ingestion_timestamp")))
 
 
 def transaction_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,12 +126,13 @@ FACT_SALES = _schema(
 )
 
 # The point-of-sale feed of the incremental pipeline: one row per line version.
+# Ingestion time is a wall-clock timestamp without time zone, as exported.
 ITEM_FEED = _schema(
     ("transaction_item_id", S, False), ("transaction_id", S, False), ("store_id", S, False),
     ("customer_id", S, True), ("transaction_date", DT, False), ("total_amount", D, True),
     ("payment_method", S, False), ("loyalty_card", B, True), ("status", S, False),
     ("item_id", S, False), ("quantity", L, False), ("unit_price", D, False), ("was_on_promo", B, True),
-    ("ingestion_timestamp", T.TimestampType(), False), ("source_record_id", S, False),
+    ("ingestion_timestamp", T.TimestampNTZType(), False), ("source_record_id", S, False),
 )
 
 STAR = {

@@ -26,3 +26,19 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.columns[:4] == ["country", "format", "store_id", "store_name"]
     assert df.count() >= 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+def test_result_types_agree_with_the_oracle(spark, con):
+    """Column names and types of every job equal those of its SQL statement."""
+    bad = {}
+    for name, sql in oracle_sql().items():
+        duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+        spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                       for f in queries()[name](spark, SF).schema.fields}
+        if spark_types != duck_types:
+            bad[name] = (spark_types, duck_types)
+    assert not bad, bad
