@@ -38,7 +38,7 @@ def main() -> None:
     only = [a for a in sys.argv[1:] if a in JOBS]
     layout = os.environ.get("BENCH_LAYOUT", "bucketed")
     scratch = tempfile.mkdtemp(prefix="shelfspark-bench-", dir=os.environ.get("SHELFSPARK_SCRATCH", "/tmp"))
-    partitions = max(2 * cpus, 8)
+    partitions = int(os.environ.get("BENCH_PARTITIONS", max(2 * cpus, 8)))
     spark = local_session(cores=cpus, shuffle_partitions=partitions, driver_memory="16g", app="shelfspark-bench",
                           extra_conf={"spark.sql.warehouse.dir": f"{scratch}/warehouse"})
 
