@@ -9,8 +9,9 @@ then the fact is written partitioned by date and clustered by store and product.
 Physical choices:
 
 * dimensions whose size is measured (stores, products, vendors, promotions) are
-  broadcast; the customer dimension grows with the business and is joined with
-  a shuffle;
+  broadcast when under the limit; the customer dimension grows with the
+  business: its numbering counts it exactly, and above the same limit it is
+  joined with a shuffle;
 * anonymous sales (no card, no id — the majority) would all hash to one
   shuffle partition in the customer lookup; their join key is replaced by a
   per-transaction value that can never match a hash, spreading them evenly;
