@@ -36,6 +36,9 @@ class RawTables:
     rules: Rules = DEFAULT_RULES
     # Incremental point-of-sale feed (line versions with ingestion time), when available.
     item_feed: DataFrame | None = None
+    # Filtered item-grain sales computed once and shared by several reports
+    # (see plans.daily.refresh_reports); None means derive them per job.
+    shared_sales: DataFrame | None = None
     _dim_rows: dict | None = field(default=None, repr=False)
 
     # ---- constructors --------------------------------------------------
@@ -83,7 +86,7 @@ class RawTables:
     def with_rules(self, rules: Rules) -> "RawTables":
         return RawTables(self.spark, self.transactions, self.transaction_items, self.stores,
                          self.products, self.vendors, self.store_promotions, rules, self.item_feed,
-                         self._dim_rows)
+                         self.shared_sales, self._dim_rows)
 
     def register_views(self) -> None:
         """Expose the raw tables (and the feed) to Spark SQL under their names."""

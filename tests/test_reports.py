@@ -97,3 +97,12 @@ def test_promotion_flag_is_per_basket_and_ignores_zero_price(spark):
     assert (c1["ticket_sin_promo"], c1["ticket_con_promo"], c1["num_tx_sin_promo"], c1["num_tx_con_promo"]) == (10.0, 40.0, 1, 1)
     assert (c1["POR_lift_ticket"], c1["POR_lift_unidades"], c1["diferencia_ticket"]) == (300.0, 100.0, 30.0)
     assert (c2["ticket_sin_promo"], c2["ticket_con_promo"], c2["POR_lift_ticket"]) == (15.0, 5.0, -66.67)
+
+
+def test_refresh_from_shared_sales_equals_each_report(spark, scratch):
+    from shelfspark.plans.daily import refresh_reports
+    from shelfspark.sources.raw import RawTables
+    t = RawTables.from_driver(spark, "/root/testdata/sf0.001")
+    out = refresh_reports(t, f"{scratch}/reports")
+    for name, job in reports.REPORTS.items():
+        assert sorted(map(tuple, out[name].collect())) == sorted(map(tuple, job(t).collect())), name
