@@ -52,6 +52,7 @@ class Rules:
     late_window_days: int = 2
     silent_store_days: int = 2
     idle_item_days: int = 30
+    mark_lookback_days: int = 30                 # high-water mark when no control table exists yet
     # physical
     broadcast_max_rows: int = 2_000_000
     extra: dict = field(default_factory=dict)
