@@ -56,6 +56,18 @@ class Star:
     # (or set by whoever supplies a written dimension).
     customer_rows: int | None = None
 
+    @classmethod
+    def from_written(cls, t: RawTables, base: str) -> "Star":
+        """A star whose dimensions (and bridge) are read from a model written by
+        ``build_star`` — what daily incremental runs use, instead of rebuilding
+        the dimensions from all raw data every day."""
+        star = cls(t)
+        for name in ("dim_date", "dim_vendor", "dim_product", "dim_store", "dim_customer", "dim_promotion",
+                     "bridge_promotion"):
+            star.__dict__[name] = read_table(t.spark, base, name)
+        star.customer_rows = star.dim_customer.count()   # one metadata-cheap count; decides the broadcast
+        return star
+
     # ---- S1 -------------------------------------------------------------
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -320,11 +332,7 @@ def build_star(t: RawTables, base: str, validate: bool = True) -> dict[str, Data
     spark = t.spark
     star = Star(t)
     out = {}
-    for name in ("dim_date", "dim_vendor", "dim_store", "dim_promotion"):
-        getattr(star, name).write.mode("overwrite").parquet(f"{base}/{name}")
-        out[name] = read_table(spark, base, name)
-        star.__dict__[name] = out[name]
-    for name in ("dim_product", "dim_customer"):
+    for name in ("dim_date", "dim_vendor", "dim_store", "dim_promotion", "dim_product", "dim_customer"):
         getattr(star, name).write.mode("overwrite").parquet(f"{base}/{name}")
         out[name] = read_table(spark, base, name)
         star.__dict__[name] = out[name]

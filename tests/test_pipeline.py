@@ -190,3 +190,15 @@ def test_streaming_daily_gmv_with_watermark(spark, scratch):
     q.awaitTermination(300)
     got = rows(spark.table("gmv_test"), "store_id", "transaction_date", "gmv", "lines")
     assert ("S1", D("2024-03-01"), 90.0, 1) in got and ("S1", D("2024-03-02"), 20.0, 1) in got
+
+
+def test_daily_run_on_a_written_star(spark, scratch):
+    from shelfspark.plans.star import build_star
+    t = tables(spark, transactions=[tx("T1", loyal=True, customer="C1")], items=[item("L1", "T1")],
+               feed=[feed_row("L2", "2024-03-02 10:00:00", "r1", qty=2, loyal=True, customer="C1")])
+    build_star(t, f"{scratch}/star")
+    star = Star.from_written(t, f"{scratch}/star")
+    assert star.customer_rows == 1
+    pipeline.daily_run(t, f"{scratch}/star/fact_sales", f"{scratch}/mark", star)
+    got = rows(spark.read.parquet(f"{scratch}/star/fact_sales"), "transaction_item_id", "customer_key", "quantity")
+    assert got == [("L1", 1, 1), ("L2", 1, 2)]
