@@ -89,9 +89,11 @@ def test_pseudonymisation_salt(spark):
 
 
 def test_reconciliation_returns_in_gross_not_net(spark):
-    txs = [tx("T1", total=10.0), tx("T2", total=20.0, status="RETURNED"), tx("T3", total=5.0)]
+    txs = [tx("T1", total=10.0), tx("T2", total=20.0, status="RETURNED", loyal=True, customer="C1"),
+           tx("T3", total=5.0)]
     items = [item("a", "T1", price=10.0), item("b", "T2", price=20.0), item("c", "T1", price=0.0)]
     r = pipeline.gmv_reconciliation(tables(spark, txs, items)).first().asDict()
+    assert r["gmv_lealtad"] == 20.0
     assert (r["gmv_reportado"], r["gmv_bruto"], r["gmv_neto"], r["gmv_devoluciones"], r["gmv_valido"],
             r["lineas_precio_cero"], r["diferencia_reportado_vs_lineas"]) == (35.0, 30.0, 10.0, 20.0, 10.0, 1, 5.0)
 
