@@ -42,6 +42,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized to the data: about one shuffle partition per 256 MB of
+    input (never fewer than two per core), AQE coalescing toward the same size,
+    and input splits of 128 MB. ``buckets`` is the matching bucket count for
+    ``RawTables.land_bucketed`` (a power of two, so tables can be co-bucketed)."""
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    buckets = 1 << max(0, (partitions - 1).bit_length())
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "buckets": buckets,
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
