@@ -42,13 +42,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+               bucket_bytes: int = 1 << 30) -> dict:
     """Settings sized to the data: about one shuffle partition per 256 MB of
     input (never fewer than two per core), AQE coalescing toward the same size,
-    and input splits of 128 MB. ``buckets`` is the matching bucket count for
-    ``RawTables.land_bucketed`` (a power of two, so tables can be co-bucketed)."""
+    and input splits of 128 MB. ``buckets`` is a bucket count for
+    ``RawTables.land_bucketed``: about 1 GB per bucket file, a power of two (so
+    tables can be co-bucketed), at least one per core."""
     partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
-    buckets = 1 << max(0, (partitions - 1).bit_length())
+    wanted = max(total_cores, -(-input_bytes // bucket_bytes))
+    buckets = 1 << max(0, (wanted - 1).bit_length())
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),

@@ -152,7 +152,12 @@ class RawTables:
         where = f" LOCATION '{location}'" if location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
         for name in RAW:
-            writer = self.table(name).write.mode("overwrite").format("parquet")
+            df = self.table(name)
+            if name in bucket_by:
+                # Same hash as the buckets: each task writes exactly one bucket file,
+                # instead of every task writing a file for every bucket.
+                df = df.repartition(buckets, "transaction_id")
+            writer = df.write.mode("overwrite").format("parquet")
             if name in bucket_by:
                 writer = writer.bucketBy(buckets, "transaction_id").sortBy("transaction_id")
             writer.saveAsTable(f"{database}.{name}")

@@ -44,6 +44,6 @@ def test_scale_conf_sizes_partitions_to_the_data():
     from shelfspark.session import scale_conf
     c = scale_conf(100 * 2**40, total_cores=8000)          # 100 TB on 1000 executors × 8 cores
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
-    assert c["buckets"] == 524288
+    assert c["buckets"] == 131072                           # ~1 GB per bucket file
     small = scale_conf(10 * 2**20, total_cores=8)
-    assert int(small["spark.sql.shuffle.partitions"]) == 16 and small["buckets"] == 16
+    assert int(small["spark.sql.shuffle.partitions"]) == 16 and small["buckets"] == 8
