@@ -204,3 +204,18 @@ def test_daily_run_on_a_written_star(spark, scratch):
     pipeline.daily_run(t, f"{scratch}/star/fact_sales", f"{scratch}/mark", star)
     got = rows(spark.read.parquet(f"{scratch}/star/fact_sales"), "transaction_item_id", "customer_key", "quantity")
     assert got == [("L1", 1, 1), ("L2", 1, 2)]
+
+
+def test_upsert_leaves_untouched_partitions_with_static_session_mode(spark, scratch):
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        target = f"{scratch}/fact"
+        upsert_partitions(spark, target, _fact_rows(spark, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1)]),
+                          "transaction_item_id", "transaction_date")
+        upsert_partitions(spark, target, _fact_rows(spark, [("b", "2024-03-02", 2)]),
+                          "transaction_item_id", "transaction_date")
+        assert rows(spark.read.parquet(target), "transaction_item_id", "v") == [("a", 1), ("b", 2)]
+        assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)

@@ -168,3 +168,12 @@ def test_calendar_coverage_and_dimension_validation(spark, scratch):
                                         "dim_customer", "dim_promotion")}
     with _pytest.raises(ContractError):
         validate_dimensions(dims)            # a product without vendor has no vendor_key
+
+
+def test_rebuild_replaces_the_whole_fact(spark, scratch):
+    first = tables(spark, [tx("T1", date="2024-03-01"), tx("T2", date="2024-03-02")],
+                   [item("a", "T1"), item("b", "T2")])
+    build_star(first, f"{scratch}/star")
+    second = tables(spark, [tx("T2", date="2024-03-02")], [item("b", "T2")])
+    out = build_star(second, f"{scratch}/star")
+    assert rows(out["fact_sales"], "transaction_item_id") == [("b",)]      # the 03-01 partition is gone
