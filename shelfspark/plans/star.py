@@ -353,9 +353,17 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def fact_lines(t: RawTables) -> DataFrame:
+    """The item lines that enter the fact (known transaction, store and product),
+    with what the flags need — without building surrogate keys."""
+    stores = t.dim("stores").select("store_id", "opening_date")
+    items = t.transaction_items.join(t.dim("products").select("item_id"), "item_id", "left_semi")
+    return items.join(t.transactions.join(stores, "store_id"), "transaction_id")
+
+
 def fact_coverage(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
     """Item rows, fact rows and the rows the inner store/product lookups dropped."""
-    fact = Star(t).fact_sales if fact is None else fact
+    fact = fact_lines(t) if fact is None else fact
     fact_rows = fact.agg(F.count(F.lit(1))).scalar()
     return (t.transaction_items.agg(F.count(F.lit(1)).alias("item_rows"))
             .select("item_rows", fact_rows.alias("fact_rows"),
@@ -369,10 +377,7 @@ def flag_distribution(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
     product lookups that decide whether a line enters the fact are applied
     (no surrogate keys, no customer lookup)."""
     if fact is None:
-        stores = t.dim("stores").select("store_id", "opening_date")
-        items = t.transaction_items.join(t.dim("products").select("item_id"), "item_id", "left_semi")
-        lines = items.join(t.transactions.join(stores, "store_id"), "transaction_id")
-        fact = lines.select(quality_flag().alias("data_quality_flag"),
+        fact = fact_lines(t).select(quality_flag().alias("data_quality_flag"),
                             from_cents(to_cents("unit_price") * F.col("quantity")).alias("gmv"))
     return (fact.groupBy("data_quality_flag")
             .agg(F.count(F.lit(1)).alias("lineas"), from_cents(F.sum(to_cents("gmv"))).alias("gmv"))
@@ -389,5 +394,6 @@ STAR_JOBS = {
     "s7_bridge_promotion": lambda t: Star(t).bridge_promotion,
     "s8_fact_sales": lambda t: Star(t).fact_sales,
     "s8f_flag_distribution": flag_distribution,
+    "s8c_fact_coverage": fact_coverage,
     "s9_clean_sales": lambda t: Star(t).clean_sales(),
 }
