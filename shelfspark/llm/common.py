@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from shelfspark.session import checkpoint_dir, scratch_path
 
@@ -26,12 +28,9 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a flat DDL string, in Spark's types."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(ddl))
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    """The Arrow form of a DDL string or of a DataFrame's schema."""
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
