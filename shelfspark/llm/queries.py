@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe_codec, decontamination, line_dedup, token_counts
+from shelfspark.llm import bpe_codec, decontamination, line_dedup, pii, token_counts
 
-MODULES = (line_dedup, decontamination, bpe_codec, token_counts)
+MODULES = (pii, line_dedup, decontamination, bpe_codec, token_counts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
