@@ -1,9 +1,9 @@
-"""The queries of the ten operators and of the pipeline, with SQL where SQL can express them."""
+"""The queries of the operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe_codec, decontamination, line_dedup, pii, token_counts
+from shelfspark.llm import bpe_codec, decontamination, language_id, line_dedup, pii, token_counts, token_file
 
-MODULES = (pii, line_dedup, decontamination, bpe_codec, token_counts)
+MODULES = (language_id, pii, line_dedup, decontamination, bpe_codec, token_counts, token_file)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
