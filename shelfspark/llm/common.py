@@ -7,13 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from shelfspark.session import checkpoint_dir, scratch_path
+from shelfspark.session import scratch_path
 
 #: Texts handled together inside a task, in characters; a longer text is a slice of its own.
 SLICE_CHARS = 4 << 20
@@ -66,15 +65,32 @@ def written(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    folder = checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+class Scratch:
+    """A database of intermediate tables inside the shared checkpoint folder; ``drop`` and ``close`` delete their files."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name, self.made = spark, f"scratch_{uuid.uuid4().hex[:12]}", 0
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{scratch_path(spark, self.name)}'")
 
-def kept_on_disk(df: DataFrame) -> DataFrame:
-    """Persisted on executor disks; a lost block is recomputed from the lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    def keep(self, df: DataFrame, buckets: int = 0, by: tuple[str, ...] = ()) -> str:
+        """Writes ``df`` as a table, bucketed and sorted if asked for, and returns its name."""
+        self.made += 1
+        name = f"{self.name}.t{self.made}"
+        writer = df.write.format("parquet")
+        if buckets:
+            writer = writer.bucketBy(buckets, *by).sortBy(*by)
+        writer.saveAsTable(name)
+        return name
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` read back from a table of this database."""
+        return self.spark.table(self.keep(df))
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
 
 def tokenizer_path(name: str) -> str:

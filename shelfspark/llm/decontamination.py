@@ -19,7 +19,6 @@ length are scanned whole; other columns pass through ``decontaminate`` as they a
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -28,68 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import arrow_schema, id_and_text, read_table, slices, written
+from shelfspark.llm.words import ALPHANUMERIC, Words
 
 WINDOW = 10
 #: Text of benchmark items whose windows are broadcast at a time.
 BLOCK_BYTES = 32 << 20
 COLUMNS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-IS_WORD = np.array([not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
-STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CODES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "big") for b in range(256)], np.uint64)
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads high bits over all bits (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words:
-    """Words of several texts: byte bounds in one buffer, the text of each word, and 64-bit word hashes."""
-
-    def __init__(self, texts: list[bytes]):
-        self.buffer = b"\n".join(texts).translate(LOWER) + b"\n"
-        data = np.frombuffer(self.buffer, np.uint8)
-        inside = IS_WORD[data]
-        change = np.flatnonzero(np.diff(inside, prepend=False))
-        self.start, self.end = change[::2], change[1::2]
-        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-        self.text = np.searchsorted(ends, self.start, side="right")
-        self.text_start = ends - [len(t) + 1 for t in texts] if texts else ends
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODES[data] * powers(STEP, len(data)), dtype=np.uint64)])
-        self.hash = mixed((running[self.end] - running[self.start]) * powers(INVERSE, len(data) + 1)[self.start]
-                          + (self.end - self.start).astype(np.uint64))
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the windows of ``size`` words within one text, and their hashes."""
-        n = len(self.hash) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.zeros(n, np.uint64)
-        for j in range(size):
-            total = total * STEP + self.hash[j:j + n]
-        first = np.flatnonzero(self.text[:n] == self.text[size - 1:])
-        return first, mixed(total)[first]
-
-    def joined(self, first: int, size: int) -> bytes:
-        return b" ".join(self.buffer[s:e] for s, e in zip(self.start[first:first + size], self.end[first:first + size]))
-
-
 class TestWindows:
     """The hash set: per window length the sorted hashes, and by hash the exact windows with their items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int):
-        words = Words([(t or "").encode() for _, t in items])
+        words = Words([(t or "").encode() for _, t in items], ALPHANUMERIC)
         count = np.bincount(words.text, minlength=len(items)) if items else np.zeros(0, np.int64)
         exact: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(dict))
         for length in sorted({min(size, int(n)) for n in count if n}):
@@ -103,7 +52,7 @@ class TestWindows:
 
     def scan(self, texts: list[bytes]) -> tuple[Words, np.ndarray, list[set]]:
         """Words of the texts, a mark per word that some window covers, and the items found per text."""
-        words = Words(texts)
+        words = Words(texts, ALPHANUMERIC)
         marks = np.zeros(len(words.hash) + 1, np.int32)
         items: list[set] = [set() for _ in texts]
         for size, hashes in self.sorted.items():

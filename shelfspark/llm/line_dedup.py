@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import arrow_schema, read_table, slices, written
+from shelfspark.llm.common import Scratch, arrow_schema, read_table, slices, written
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -55,26 +55,17 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.name = f"line_run_{uuid.uuid4().hex[:12]}"
-        self.made = 0
+        self.scratch = Scratch(spark)
 
     def _write(self, keys: DataFrame) -> str:
         """A run: one file per bucket, sorted by hash."""
-        name = f"{self.name}_{self.made}"
-        self.made += 1
-        (keys.select("h1", "h2").repartition(self.buckets, "h1", "h2")
-         .write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name))
-        return name
-
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return self.scratch.keep(keys.select("h1", "h2").repartition(self.buckets, "h1", "h2"), self.buckets, ("h1", "h2"))
 
     def add(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         """``(doc, dropped array<int>)``: line numbers that the batch's documents lose, written to the shared folder."""
         lines = line_keys(docs, min_chars)
         fresh = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        keys = written(fresh.repartition(self.buckets, "h1", "h2"), "line-batch")
+        keys = self.scratch.kept(fresh.repartition(self.buckets, "h1", "h2"))
         old = None
         for run in [r for level in self.levels for r in level]:
             seen = keys.join(self.spark.table(run).hint("merge"), ["h1", "h2"], "left_semi").select("h1", "h2")
@@ -83,7 +74,7 @@ class LineRuns:
         if old is not None:  # a key is new in one batch only, so the runs hold it once
             for run in [r for level in self.levels for r in level]:
                 new = new.join(self.spark.table(run).hint("merge"), ["h1", "h2"], "left_anti")
-            new = written(new, "line-new")
+            new = self.scratch.kept(new)
             losing = (new.where("first < last").select("h1", "h2", "first")
                       .unionAll(old.select("h1", "h2", F.lit(None).cast("long").alias("first"))))
         lost = lines.join(losing, ["h1", "h2"]).where("first IS NULL OR doc > first")
@@ -103,14 +94,15 @@ class LineRuns:
             for run in self.levels[level]:
                 t = self.spark.table(run)
                 merged = t if merged is None else merged.unionAll(t)
-            name, old = self._write(merged), self.levels[level]
-            self._drop(old)
+            name = self._write(merged)
+            for run in self.levels[level]:
+                self.scratch.drop(run)
             self.levels[level] = []
             level += 1
 
     def close(self) -> None:
-        for level in self.levels:
-            self._drop(level)
+        """Deletes the runs."""
+        self.scratch.close()
         self.levels = []
 
 
