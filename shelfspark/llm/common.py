@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from shelfspark.session import scratch_path
 
 #: Texts handled together inside a task, in characters; a longer text is a slice of its own.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
