@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import bpe_codec, decontamination, jaccard_join, language_id, line_dedup
-from shelfspark.llm.common import read_table, tokenizer_path, written
+from shelfspark.llm.common import read_table, ship_package, tokenizer_path, written
 
 #: Languages come from a trained network, which SQL cannot express; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return language_id.with_known_language(docs)
 
 

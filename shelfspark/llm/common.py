@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,13 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+import shelfspark
 from shelfspark.session import scratch_path
 
 #: Texts handled together inside a task, in characters; a longer text is a slice of its own.
 SLICE_CHARS = 1 << 20
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per Spark context, so that tasks can import it wherever they start.
+
+    A package that was itself sent as an archive (``--py-files``) is left alone.
+    """
+    root, context = Path(shelfspark.__file__).resolve().parent, spark.sparkContext
+    if getattr(context, "shipped_package", None) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context.shipped_package = str(archive)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
