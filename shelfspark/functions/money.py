@@ -1,12 +1,11 @@
 """Exact money arithmetic and engine-independent rounding.
 
-Amounts are summed as integer cents (BIGINT): integer sums are exact and do not
-depend on the order in which partitions are combined, so a sum over 100 TB
-gives the same value on every run and on every engine. Converting back divides
-by 100.0 once, which is a single correctly rounded IEEE operation.
+Amounts are decimals: a price is taken to four places, ``price * quantity`` and
+sums stay decimals, and the sum is turned into a double once. Nothing is rounded
+before it is multiplied, and a sum does not depend on the order in which
+partitions are combined, so it is the same on every run and on every engine.
 
-Rounding is half away from zero, written with floor so that Spark and any SQL
-engine evaluating the same expression produce the same double.
+Rounding is half away from zero.
 """
 
 from __future__ import annotations
@@ -14,29 +13,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MONEY = "decimal(18,4)"
+COUNT = "decimal(18,0)"
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def to_cents(amount) -> Column:
-    """A money double with at most two decimals → exact BIGINT cents."""
-    return F.round(_c(amount) * 100).cast("bigint")
+def exact(amount) -> Column:
+    """A money double as a decimal of four places."""
+    return _c(amount).cast(MONEY)
 
 
-def from_cents(cents) -> Column:
-    """BIGINT cents → money double."""
-    return _c(cents) / F.lit(100.0)
+def as_money(amount) -> Column:
+    """A decimal amount as a double."""
+    return _c(amount).cast("double")
 
 
-def line_cents(unit_price, quantity) -> Column:
-    """Cents of ``unit_price * quantity`` for one line, exact."""
-    return to_cents(unit_price) * _c(quantity).cast("bigint")
+def times(amount, quantity) -> Column:
+    """A decimal amount, ``quantity`` times."""
+    return _c(amount) * _c(quantity).cast(COUNT)
 
 
-def sum_money(cents) -> Column:
-    """Exact sum of a cents column, returned as a money double."""
-    return from_cents(F.sum(_c(cents)))
+def line_amount(unit_price, quantity) -> Column:
+    """``unit_price * quantity`` of one line, as a decimal."""
+    return times(exact(unit_price), quantity)
 
 
 def round_half_away(x, digits: int) -> Column:
@@ -49,9 +51,3 @@ def round_half_away(x, digits: int) -> Column:
 def safe_div(num, den) -> Column:
     """num / den, NULL when den is 0 or NULL (SQL ``x / NULLIF(y, 0)``)."""
     return _c(num) / F.nullif(_c(den), F.lit(0))
-
-
-def sql_round(expr: str, digits: int) -> str:
-    """The same rounding as SQL text, for oracles and Spark SQL users."""
-    scale = 10 ** digits
-    return f"(sign({expr}) * floor(abs({expr}) * {scale} + 0.5) / {scale})"

@@ -6,7 +6,8 @@ replicated into the fixed-width date buckets their interval covers and the
 join key is extended with the bucket of the left row's date. A left row now
 meets only the intervals that overlap its bucket, and every match is found in
 exactly one bucket (the one holding the left date), so no de-duplication is
-needed.
+needed. Intervals are first cut to the dates the left side has, so that an open
+one (to the year 9999) covers no more buckets than there are dates.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ def _bucket(col, width: int):
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], point: str,
-                  start: str, end: str, bucket_days: int = 7, broadcast_right: bool = False,
-                  how: str = "inner") -> DataFrame:
+                  start: str, end: str, bucket_days: int = 7, how: str = "inner") -> DataFrame:
     """Rows of ``left`` × ``right`` with equal ``keys`` and
     ``right.start <= left.point <= right.end`` (inclusive, like BETWEEN)."""
-    # An empty or open interval can never satisfy BETWEEN.
-    spread = right.filter(F.col(start) <= F.col(end)).withColumn(
-        "_ij_bucket",
-        F.explode(F.sequence(_bucket(F.col(start), bucket_days), _bucket(F.col(end), bucket_days))))
-    if broadcast_right:
-        spread = F.broadcast(spread)
+    first = F.greatest(F.col(start), left.agg(F.min(point)).scalar())
+    last = F.least(F.col(end), left.agg(F.max(point)).scalar())
+    # An interval that is empty, or has no bound, or lies outside the dates can never satisfy BETWEEN.
+    spread = (right.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)) & (first <= last))
+              .withColumn("_ij_bucket", F.explode(F.sequence(_bucket(first, bucket_days), _bucket(last, bucket_days)))))
     probe = left.withColumn("_ij_bucket", _bucket(F.col(point), bucket_days))
     cond = [probe[k] == spread[k] for k in keys] + [probe["_ij_bucket"] == spread["_ij_bucket"],
                                                      probe[point].between(spread[start], spread[end])]

@@ -1,19 +1,15 @@
 """Dense surrogate keys 1..n in the order of some columns.
 
-SQL's ``ROW_NUMBER() OVER (ORDER BY k)`` runs in Spark as one task holding
-every row. That is acceptable for master tables whose size has been measured
-(stores, products, vendors, promotions) and is the ``small=True`` path. For
-tables that grow with the business (customers) the key is built without a
-single-partition step:
-
-1. range-partition and sort by the key columns (equal keys share a partition,
-   partition ``i`` holds smaller keys than ``i+1``);
-2. tag each row with its partition and position (``monotonically_increasing_id``
-   packs both) and checkpoint, so the numbering is stable if tasks re-run;
-3. count rows per partition — one number per partition, bounded by the
-   partition count, not by the data — and turn the counts into running offsets
-   (the scheme of ``RDD.zipWithIndex``);
-4. key = offset of the partition + position inside it + 1.
+SQL's ``ROW_NUMBER() OVER (ORDER BY k)`` runs in Spark as one task holding every
+row. Here the rows are first dealt into ordered ranges, so that each range is
+numbered by a task of its own:
+
+1. a hashed sample of about ``RANGES`` rows gives the range bounds (one array,
+   whatever the table's size). It depends on the rows alone, so a recomputed
+   task finds the same bounds, and the plan stays lazy;
+2. rows are counted per range and the counts turned into offsets (one row per
+   range);
+3. key = offset of the range + row number inside it.
 """
 
 from __future__ import annotations
@@ -23,47 +19,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.session import checkpoint_dir
-
-_POS_BITS = 33
+#: Ranges aimed at; a range holds about 1/RANGES of the rows.
+RANGES = 128
 
 
-def surrogate_key(df: DataFrame, order_cols: Sequence[str], key_name: str, small: bool = False,
-                  num_partitions: int | None = None) -> DataFrame:
-    """``df`` with a BIGINT ``key_name`` column numbering rows 1..n by ``order_cols``.
+def surrogate_key(df: DataFrame, order_cols: Sequence[str], key_name: str, above=None) -> DataFrame:
+    """``df`` with a BIGINT ``key_name`` column numbering rows 1..n by ``order_cols``, or from ``above`` + 1.
 
     Callers make ``order_cols`` unique (add tie-breakers) when the numbering
     must be reproducible.
     """
-    return numbered(df, order_cols, key_name, small, num_partitions)[0]
-
-
-def numbered(df: DataFrame, order_cols: Sequence[str], key_name: str, small: bool = False,
-             num_partitions: int | None = None) -> tuple[DataFrame, int | None]:
-    """``surrogate_key`` plus the row count when the scalable path measured it
-    (None on the small path)."""
-    order = [F.col(c).asc_nulls_first() for c in order_cols]
-    if small:
-        w = Window.orderBy(*order)
-        return df.withColumn(key_name, F.row_number().over(w).cast("bigint")), None
-
-    spark = df.sparkSession
-    checkpoint_dir(spark)             # the cluster's shared folder; a scratch one only when unset
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_sk_id", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    tagged = (tagged.withColumn("_sk_part", F.shiftright("_sk_id", _POS_BITS))
-              .withColumn("_sk_pos", F.col("_sk_id").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    counts = sorted((r[0], r[1]) for r in
-                    tagged.groupBy("_sk_part").agg(F.count(F.lit(1))).collect())
-    running, offsets = 0, []
-    for part, cnt in counts:
-        offsets.append((part, running))
-        running += cnt
-    offsets_df = spark.createDataFrame(offsets or [(0, 0)], "_sk_part bigint, _sk_off bigint")
-    keyed = (tagged.join(F.broadcast(offsets_df), "_sk_part")
-             .withColumn(key_name, (F.col("_sk_off") + F.col("_sk_pos") + 1).cast("bigint"))
-             .drop("_sk_id", "_sk_part", "_sk_pos", "_sk_off"))
-    return keyed, running
+    order = F.struct(*[F.col(c) for c in order_cols])
+    step = F.greatest(F.lit(1), (df.agg(F.count(F.lit(1))).scalar() / RANGES).cast("bigint"))
+    sample = df.select(order.alias("o")).where(F.pmod(F.xxhash64("o"), step) == 0)
+    bounds = sample.agg(F.array_sort(F.collect_set("o")).alias("_bounds"))  # one row
+    ranged = (df.withColumn("_order", order).crossJoin(bounds)
+              .withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_order")))).drop("_order", "_bounds"))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols]))
+    key = F.col("_before") + F.col("_inside") + (F.lit(0) if above is None else above)
+    return (ranged.withColumn("_inside", inside).join(offsets, "_range")
+            .withColumn(key_name, key.cast("bigint")).drop("_range", "_inside", "_before"))

@@ -1,8 +1,8 @@
 """Data-quality audits A0–A8 over the raw tables.
 
-Amount comparisons are exact: header and line amounts are both brought to
-integer cents, so "differs by more than one cent" means exactly that and sums
-do not depend on partition order.
+Amount comparisons are exact: header and line amounts are decimals, so "differs
+by more than one cent" means exactly that and sums do not depend on partition order.
+Output names and labels are fixed values of the analyses.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.money import from_cents, line_cents, round_half_away, to_cents
+from shelfspark.functions.money import as_money, exact, line_amount, round_half_away
 from shelfspark.operators.gaps import consecutive_gaps
 from shelfspark.sources.raw import RawTables
 from shelfspark.sources.schemas import RAW
@@ -45,22 +45,21 @@ def completeness(t: RawTables) -> DataFrame:
 def header_line_reconciliation(t: RawTables) -> DataFrame:
     """A2: transactions whose header total differs from the sum of their lines
     by more than the tolerance (transactions without lines are left out)."""
-    tol_cents = int(round(t.rules.reconciliation_tolerance * 100))
     lines = (t.transaction_items
              .groupBy("transaction_id")
-             .agg(F.sum(line_cents("unit_price", "quantity")).alias("lines_c")))
-    diff = (t.transactions.select("transaction_id", to_cents("total_amount").alias("header_c"))
+             .agg(F.sum(line_amount("unit_price", "quantity")).alias("lines_c")))
+    diff = (t.transactions.select("transaction_id", exact("total_amount").alias("header_c"))
             .join(lines, "transaction_id")
             .select(F.abs(F.col("header_c") - F.col("lines_c")).alias("d")))
-    bad = F.col("d") > tol_cents
+    bad = F.col("d") > exact(F.lit(t.rules.reconciliation_tolerance))
     n, n_bad = F.count(F.lit(1)), F.count_if(bad)
     return diff.agg(
         n.alias("total_transacciones"),
         n_bad.alias("inconsistentes"),
         round_half_away(n_bad / n * 100, 1).alias("pct_inconsistentes"),
-        round_half_away(from_cents(F.sum(F.when(bad, F.col("d")))) / F.nullif(n_bad, F.lit(0)), 2)
+        round_half_away(as_money(F.sum(F.when(bad, F.col("d")))) / F.nullif(n_bad, F.lit(0)), 2)
         .alias("diferencia_promedio"),
-        round_half_away(from_cents(F.max("d")), 2).alias("diferencia_maxima"))
+        round_half_away(as_money(F.max("d")), 2).alias("diferencia_maxima"))
 
 
 def reconciliation_drilldown(t: RawTables, transaction_id: str | None = None) -> DataFrame:
@@ -69,14 +68,14 @@ def reconciliation_drilldown(t: RawTables, transaction_id: str | None = None) ->
     (ties: smallest id) is chosen from the data."""
     lines = t.transaction_items.select(
         "transaction_id", "transaction_item_id", "quantity", "unit_price",
-        from_cents(line_cents("unit_price", "quantity")).alias("items_total_amount"))
+        as_money(line_amount("unit_price", "quantity")).alias("items_total_amount"))
     header = t.transactions.select("transaction_id", "total_amount")
     if transaction_id is None:
         per_tx = (t.transaction_items.groupBy("transaction_id")
-                  .agg(F.sum(line_cents("unit_price", "quantity")).alias("lines_c"))
+                  .agg(F.sum(line_amount("unit_price", "quantity")).alias("lines_c"))
                   .join(header, "transaction_id")
                   .select("transaction_id",
-                          F.abs(to_cents("total_amount") - F.col("lines_c")).alias("d")))
+                          F.abs(exact("total_amount") - F.col("lines_c")).alias("d")))
         pick = per_tx.agg(F.min_by("transaction_id", F.struct(-F.col("d"), F.col("transaction_id")))).scalar()
         target = F.col("transaction_id") == pick
     else:
@@ -121,14 +120,14 @@ def zero_price_without_promo(t: RawTables) -> DataFrame:
 def orphan_stores(t: RawTables) -> DataFrame:
     """A5.1: distinct store ids of transactions missing from the store master."""
     return (t.transactions.select("store_id")
-            .join(t.dim("stores").select("store_id"), "store_id", "left_anti")
+            .join(t.stores.select("store_id"), "store_id", "left_anti")
             .agg(F.count_distinct("store_id").alias("registros_huerfanos")))
 
 
 def orphan_vendors(t: RawTables) -> DataFrame:
     """A5.2: vendor ids of products missing from the vendor master, with product counts."""
     return (t.products.select("vendor_id")
-            .join(t.dim("vendors").select("vendor_id"), "vendor_id", "left_anti")
+            .join(t.vendors.select("vendor_id"), "vendor_id", "left_anti")
             .groupBy("vendor_id").agg(F.count(F.lit(1)).alias("productos_afectados")))
 
 
@@ -143,14 +142,14 @@ def store_freshness_gaps(t: RawTables) -> DataFrame:
 
 def sales_before_opening(t: RawTables) -> DataFrame:
     """A7: transactions dated before their store opened, per store."""
-    stores = t.dim("stores").select("store_id", "opening_date")
+    stores = t.stores.select("store_id", "opening_date")
     return (t.transactions.join(stores, "store_id")
             .filter(F.col("transaction_date") < F.col("opening_date"))
             .groupBy("store_id", "opening_date")
             .agg(F.count(F.lit(1)).alias("transacciones_antes_apertura"),
                  F.min("transaction_date").alias("primera_tran_invalida"),
                  F.max("transaction_date").alias("ultima_tran_invalida"),
-                 round_half_away(from_cents(F.sum(to_cents("total_amount"))), 2).alias("total_amount_afectado"))
+                 round_half_away(as_money(F.sum(exact("total_amount"))), 2).alias("total_amount_afectado"))
             .orderBy(F.col("transacciones_antes_apertura").desc()))
 
 

@@ -20,7 +20,7 @@ from shelfspark.plans.reports import REPORTS
 from shelfspark.session import scratch_path
 from shelfspark.sources.raw import RawTables
 
-SALES_COLUMNS = ("transaction_id", "item_id", "quantity", "unit_price", "was_on_promo", "line_cents",
+SALES_COLUMNS = ("transaction_id", "item_id", "quantity", "unit_price", "was_on_promo", "line_amount",
                  "store_id", "customer_id", "loyalty_card", "transaction_date")
 
 

@@ -8,13 +8,11 @@ then the fact is written partitioned by date and clustered by store and product.
 
 Physical choices:
 
-* dimensions whose size is measured (stores, products, vendors, promotions) are
-  broadcast when under the limit; the customer dimension grows with the
-  business: its numbering counts it exactly, and above the same limit it is
-  joined with a shuffle;
-* anonymous sales (no card, no id — the majority) would all hash to one
-  shuffle partition in the customer lookup; their join key is replaced by a
-  per-transaction value that can never match a hash, spreading them evenly;
+* no join is hinted: Spark broadcasts what is under its byte threshold;
+* surrogate keys are numbered range by range (``operators.surrogate``), for
+  every dimension alike;
+* only card holders' transactions meet the customer dimension; the anonymous
+  majority is united back with a NULL key, so no partition collects the NULLs;
 * the customer lookup happens at transaction grain, before the items join.
 """
 
@@ -27,11 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.dates import date_key, month_start, months_before
-from shelfspark.functions.money import from_cents, to_cents
+from shelfspark.functions.money import as_money, exact, line_amount, times
 from shelfspark.functions.privacy import pseudonymise
 from shelfspark.operators.interval_join import interval_join
-from shelfspark.operators.surrogate import numbered, surrogate_key
+from shelfspark.operators.surrogate import surrogate_key
 from shelfspark.plans.common import last_sale_date
+from shelfspark.session import Scratch, path_exists
 from shelfspark.sources.raw import RawTables
 from shelfspark.sources.schemas import STAR
 
@@ -40,6 +39,9 @@ UNKNOWN = "UNKNOWN"
 FLAG_INVALID_AMOUNT = "MONTO_INVALIDO"
 FLAG_BEFORE_OPENING = "TRAN_ANTES_APERTURA"
 FLAG_ZERO_PRICE = "PRECIO_CERO_SIN_PROMO"
+#: The columns that order the versions of a line.
+VERSION_COLUMNS = ("ingestion_timestamp", "source_record_id")
+#: The countries with a holiday column in the calendar.
 HOLIDAY_COUNTRIES = ("CR", "GT", "HN", "SV", "NI")
 
 
@@ -52,9 +54,6 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 @dataclass
 class Star:
     t: RawTables
-    # Row count of the customer dimension, known once it has been numbered
-    # (or set by whoever supplies a written dimension).
-    customer_rows: int | None = None
 
     @classmethod
     def from_written(cls, t: RawTables, base: str) -> "Star":
@@ -64,8 +63,8 @@ class Star:
         star = cls(t)
         for name in ("dim_date", "dim_vendor", "dim_product", "dim_store", "dim_customer", "dim_promotion",
                      "bridge_promotion"):
-            star.__dict__[name] = read_table(t.spark, base, name)
-        star.customer_rows = star.dim_customer.count()   # one metadata-cheap count; decides the broadcast
+            if path_exists(t.spark, f"{base.rstrip('/')}/{name}"):
+                star.__dict__[name] = read_table(t.spark, base, name)
         return star
 
     # ---- S1 -------------------------------------------------------------
@@ -74,7 +73,11 @@ class Star:
         r = self.t.rules
         start = F.lit(r.calendar_start) if r.calendar_start else F.min("transaction_date")
         bounds = self.t.transactions.agg(start.alias("lo"), F.max("transaction_date").alias("hi"))
-        days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("d"))
+        return self.calendar(bounds.select(F.explode(F.sequence("lo", "hi")).alias("d")))
+
+    @staticmethod
+    def calendar(days: DataFrame) -> DataFrame:
+        """The calendar rows of the dates ``d``."""
         d = F.col("d")
         dow = F.dayofweek(d)
         cols = {
@@ -90,59 +93,61 @@ class Star:
     # ---- S2 -------------------------------------------------------------
     @cached_property
     def orphan_vendor_ids(self) -> DataFrame:
-        """Vendor ids used by products but missing from the vendor master."""
+        """Vendor ids used by products but missing from the vendor master, and those ``Rules`` names as such."""
+        named = self.t.rules.excluded_vendors or ()
         return (self.t.products.select("vendor_id").filter(F.col("vendor_id").isNotNull()).distinct()
-                .join(self.t.dim("vendors").select("vendor_id"), "vendor_id", "left_anti"))
+                .join(self.t.vendors.filter(~F.col("vendor_id").isin(list(named))).select("vendor_id"), "vendor_id", "left_anti"))
 
     @cached_property
     def dim_vendor(self) -> DataFrame:
         r = self.t.rules
         vendors = self.t.vendors
-        small = self.t.dim_rows()["vendors"] <= r.broadcast_max_rows
-        valid = surrogate_key(vendors, ["vendor_id", "vendor_name", "country", "tier"], "vendor_key",
-                              small=small).withColumn("is_valid", F.lit(True))
+        valid = surrogate_key(vendors, ["vendor_id", "vendor_name", "country", "tier"],
+                              "vendor_key").withColumn("is_valid", F.lit(True))
         # One sentinel row per orphan vendor id, keyed from the fixed sentinel
         # key upwards (above every regular key).
         base = F.greatest(F.lit(r.unknown_vendor_key), vendors.agg(F.count(F.lit(1)) + 1).scalar())
-        orphans = surrogate_key(self.orphan_vendor_ids, ["vendor_id"], "_n", small=True)
-        sentinel = orphans.select(
-            (base + F.col("_n") - 1).alias("vendor_key"), "vendor_id",
-            F.lit(UNKNOWN).alias("vendor_name"), F.lit(UNKNOWN).alias("country"), F.lit(UNKNOWN).alias("tier"),
-            F.lit(False).alias("is_shared_catalog"), F.lit(False).alias("is_valid"))
+        orphans = surrogate_key(self.orphan_vendor_ids, ["vendor_id"], "_n")
+        sentinel = unknown_vendors(orphans.select((base + F.col("_n") - 1).alias("vendor_key"), "vendor_id"))
         return conform(valid.unionByName(sentinel), "dim_vendor")
 
     # ---- S3 -------------------------------------------------------------
     @cached_property
     def dim_product(self) -> DataFrame:
-        small = self.t.dim_rows()["products"] <= self.t.rules.broadcast_max_rows
-        products = surrogate_key(self.t.products, ["item_id", "vendor_id", "item_name"], "product_key", small=small)
-        vendors = self.t.small(self.dim_vendor.select("vendor_id", "vendor_key", "is_valid"), "vendors")
-        return conform(products.join(vendors, "vendor_id", "left")
-                       .withColumn("is_orphan_vendor", ~F.coalesce(F.col("is_valid"), F.lit(False))),
-                       "dim_product")
+        products = surrogate_key(self.t.products, ["item_id", "vendor_id", "item_name"], "product_key")
+        return conform(self.with_vendor(products), "dim_product")
+
+    def with_vendor(self, products: DataFrame) -> DataFrame:
+        """Products with their vendor's key and whether the vendor is missing from the master
+        (an id that was missing once and has a master row now keeps both; the valid one counts)."""
+        vendors = (self.dim_vendor.groupBy("vendor_id")
+                   .agg(F.max(F.struct("is_valid", "vendor_key")).alias("v")).select("vendor_id", "v.vendor_key", "v.is_valid"))
+        return (products.join(vendors, "vendor_id", "left")
+                .withColumn("is_orphan_vendor", ~F.coalesce(F.col("is_valid"), F.lit(False))))
 
     # ---- S4 -------------------------------------------------------------
     @cached_property
     def dim_store(self) -> DataFrame:
-        r = self.t.rules
-        small = self.t.dim_rows()["stores"] <= r.broadcast_max_rows
-        stores = surrogate_key(self.t.stores, ["store_id", "store_name"], "store_key", small=small)
-        return conform(stores.select(
+        return conform(self.store_columns(surrogate_key(self.t.stores, ["store_id", "store_name"], "store_key")), "dim_store")
+
+    def store_columns(self, stores: DataFrame) -> DataFrame:
+        comparable_before = months_before(last_sale_date(self.t), self.t.rules.comparable_months)
+        return stores.select(
             "*",
-            (F.col("opening_date") <= months_before(last_sale_date(self.t), r.comparable_months)).alias("is_comparable"),
+            (F.col("opening_date") <= comparable_before).alias("is_comparable"),
             F.col("opening_date").alias("valid_from"),
             F.lit(None).cast("date").alias("valid_to"),
-            F.lit(True).alias("is_current")), "dim_store")
+            F.lit(True).alias("is_current"))
 
     def current_stores(self) -> DataFrame:
-        return self.t.small(self.dim_store.filter(F.col("is_current")), "stores")
+        return self.dim_store.filter(F.col("is_current"))
 
     # ---- S5 -------------------------------------------------------------
-    def first_purchases(self) -> DataFrame:
+    def first_purchases(self, headers: DataFrame | None = None) -> DataFrame:
         """Per card holder: first completed purchase date and its store
-        (earliest date, then smallest transaction id)."""
+        (earliest date, then smallest transaction id), in the transactions or the given header rows."""
         r = self.t.rules
-        return (self.t.transactions
+        return ((self.t.transactions if headers is None else headers)
                 .filter(F.col("loyalty_card") & F.col("customer_id").isNotNull() & (F.col("total_amount") > 0)
                         & (F.col("status") == r.completed_status))
                 .groupBy("customer_id")
@@ -151,24 +156,26 @@ class Star:
 
     @cached_property
     def dim_customer(self) -> DataFrame:
-        first, self.customer_rows = numbered(self.first_purchases(), ["customer_id"], "customer_key")
+        first = surrogate_key(self.first_purchases(), ["customer_id"], "customer_key")
+        return conform(self.customer_columns(first), "dim_customer")
+
+    def customer_columns(self, first: DataFrame) -> DataFrame:
         stores = self.current_stores().select(F.col("store_id").alias("first_store_id"),
                                               F.col("store_key").alias("acquisition_store_key"),
                                               F.col("country").alias("acquisition_country"))
-        return conform(first.join(stores, "first_store_id", "left").select(
+        return first.join(stores, "first_store_id", "left").select(
             "customer_key",
             pseudonymise("customer_id", self.t.rules.customer_salt).alias("customer_id_hashed"),
             month_start("first_transaction_date").alias("cohort_month"),
-            "first_transaction_date", "acquisition_store_key", "acquisition_country"), "dim_customer")
+            "first_transaction_date", "acquisition_store_key", "acquisition_country")
 
     # ---- S6 -------------------------------------------------------------
     @cached_property
     def dim_promotion(self) -> DataFrame:
         r = self.t.rules
-        small = self.t.dim_rows()["store_promotions"] <= r.broadcast_max_rows
         promos = surrogate_key(self.t.store_promotions,
                                ["store_id", "promo_name", "variant", "start_date", "end_date", "promo_type"],
-                               "promotion_key", small=small)
+                               "promotion_key")
         if r.contaminated_stores is None:
             # Stores assigned to more than one variant (audit A8).
             variants = F.size(F.collect_set("variant").over(Window.partitionBy("store_id")))
@@ -183,30 +190,21 @@ class Star:
         tx = (self.t.transactions.select("transaction_id", "store_id", "transaction_date")
               .join(self.current_stores().select("store_id"), "store_id"))
         promos = self.dim_promotion.select("promotion_key", "store_id", "start_date", "end_date")
-        small = self.t.dim_rows()["store_promotions"] <= self.t.rules.broadcast_max_rows
-        pairs = interval_join(tx, promos, ["store_id"], "transaction_date", "start_date", "end_date",
-                              broadcast_right=small)
+        pairs = interval_join(tx, promos, ["store_id"], "transaction_date", "start_date", "end_date")
         return conform(pairs.select("transaction_id", "promotion_key").distinct(), "bridge_promotion")
 
     # ---- S8 -------------------------------------------------------------
     def customer_lookup(self, df: DataFrame) -> DataFrame:
-        """Attach ``customer_key`` to rows carrying customer_id / loyalty_card /
-        transaction_id. Rows without a card holder get a join key that cannot
-        match any hash, so they spread over all shuffle partitions instead of
-        piling up on the partition of NULL."""
-        card = F.col("loyalty_card") & F.col("customer_id").isNotNull()
-        keyed = df.withColumn("_cust", F.coalesce(
-            F.when(card, pseudonymise("customer_id", self.t.rules.customer_salt)),
-            F.concat(F.lit("~"), F.col("transaction_id"))))
+        """Attach ``customer_key`` to rows carrying customer_id and loyalty_card.
+        Only card holders' rows are joined; all others get a NULL key."""
+        card = F.coalesce(F.col("loyalty_card") & F.col("customer_id").isNotNull(), F.lit(False))
         customers = self.dim_customer.select(F.col("customer_id_hashed").alias("_cust"), "customer_key")
-        # Broadcast only when the numbering step measured the dimension small.
-        rows = getattr(self, "customer_rows", None)
-        if rows is not None and rows <= self.t.rules.broadcast_max_rows:
-            customers = F.broadcast(customers)
-        return keyed.join(customers, "_cust", "left").drop("_cust")
+        known = (df.filter(card).withColumn("_cust", pseudonymise("customer_id", self.t.rules.customer_salt))
+                 .join(customers, "_cust", "left").drop("_cust"))
+        return known.unionByName(df.filter(~card).withColumn("customer_key", F.lit(None).cast("bigint")))
 
     def products_lookup(self) -> DataFrame:
-        return self.t.small(self.dim_product.select("item_id", "product_key", "cost"), "products")
+        return self.dim_product.select("item_id", "product_key", "cost")
 
     def _fact(self, with_customer: bool) -> DataFrame:
         stores = self.current_stores().select("store_id", "store_key", "opening_date")
@@ -229,13 +227,28 @@ class Star:
         without building the customer dimension."""
         return self._fact(with_customer=False)
 
-    def fact_from_feed(self, increment: DataFrame) -> DataFrame:
-        """Fact rows for a batch of feed rows (line versions with header columns),
-        flagged late when ingested after the day following the sale."""
+    def lookups_from_feed(self, increment: DataFrame) -> DataFrame:
+        """Feed rows with their store's and product's columns, NULL where the master has none."""
         stores = self.current_stores().select("store_id", "store_key", "opening_date")
-        rows = self.customer_lookup(increment.join(stores, "store_id").join(self.products_lookup(), "item_id"))
+        return increment.join(stores, "store_id", "left").join(self.products_lookup(), "item_id", "left")
+
+    def fact_from_feed(self, increment: DataFrame, versions: bool = False) -> DataFrame:
+        """Fact rows for a batch of feed rows (line versions with header columns),
+        flagged late when ingested after the day following the sale. Rows of an
+        unknown store or product are left out (``unknown_lines`` has them); with
+        ``versions`` the version columns stay beside the fact's."""
+        found = self.lookups_from_feed(increment).filter(F.col("store_key").isNotNull() & F.col("product_key").isNotNull())
+        rows = self.customer_lookup(found)
         late = F.to_date("ingestion_timestamp") > F.date_add("transaction_date", 1)
-        return conform(fact_columns(rows, late), "fact_sales")
+        if not versions:
+            return conform(fact_columns(rows, late), "fact_sales")
+        fact = fact_columns(rows, late, VERSION_COLUMNS)
+        return fact.select([F.col(f.name).cast(f.dataType) for f in STAR["fact_sales"].fields] + list(VERSION_COLUMNS))
+
+    def unknown_lines(self, increment: DataFrame) -> DataFrame:
+        """The feed rows whose store or product no master table knows."""
+        missing = F.col("store_key").isNull() | F.col("product_key").isNull()
+        return self.lookups_from_feed(increment).filter(missing).select(increment.columns)
 
     # ---- S9 -------------------------------------------------------------
     def clean_sales(self, fact: DataFrame | None = None) -> DataFrame:
@@ -244,14 +257,11 @@ class Star:
         fact = self.fact_sales if fact is None else fact
         stores = self.current_stores().select("store_key", "store_name", "country", "format", "size_sqm",
                                               "region", "is_comparable")
-        products = self.t.small(self.dim_product.select("product_key", "item_name", "category", "department",
-                                                        "brand", "vendor_key"), "products")
-        vendors = self.t.small(self.dim_vendor.select("vendor_key", "vendor_id", "vendor_name",
-                                                      F.col("tier").alias("vendor_tier"),
-                                                      F.col("is_valid").alias("vendor_is_valid")), "vendors")
-        # The calendar has one row per day: broadcast-sized by construction.
-        dates = F.broadcast(self.dim_date.select(F.col("date_key").alias("transaction_date_key"), "year",
-                                                 "quarter", "month", "week_of_year", "is_weekend", "fiscal_period"))
+        products = self.dim_product.select("product_key", "item_name", "category", "department", "brand", "vendor_key")
+        vendors = self.dim_vendor.select("vendor_key", "vendor_id", "vendor_name", F.col("tier").alias("vendor_tier"),
+                                         F.col("is_valid").alias("vendor_is_valid"))
+        dates = self.dim_date.select(F.col("date_key").alias("transaction_date_key"), "year",
+                                     "quarter", "month", "week_of_year", "is_weekend", "fiscal_period")
         return (fact.filter(F.col("data_quality_flag").isNull() & (F.col("status") == self.t.rules.completed_status))
                 .join(stores, "store_key").join(products, "product_key").join(vendors, "vendor_key")
                 .filter(F.col("vendor_is_valid"))
@@ -262,6 +272,14 @@ class Star:
                         "week_of_year", "is_weekend", "fiscal_period"))
 
 
+def unknown_vendors(keyed: DataFrame) -> DataFrame:
+    """The sentinel rows of vendors without a master row."""
+    return keyed.select(
+        "vendor_key", "vendor_id",
+        F.lit(UNKNOWN).alias("vendor_name"), F.lit(UNKNOWN).alias("country"), F.lit(UNKNOWN).alias("tier"),
+        F.lit(False).alias("is_shared_catalog"), F.lit(False).alias("is_valid"))
+
+
 def quality_flag():
     """First matching data-quality issue of a sale line, NULL when clean."""
     return (F.when(F.col("total_amount") <= 0, F.lit(FLAG_INVALID_AMOUNT))
@@ -269,21 +287,21 @@ def quality_flag():
             .when((F.col("unit_price") == 0) & (F.col("was_on_promo") == F.lit(False)), F.lit(FLAG_ZERO_PRICE)))
 
 
-def fact_columns(rows: DataFrame, late_arrival) -> DataFrame:
-    """Fact projection of joined line + header + lookup rows."""
-    price_c, cost_c = to_cents("unit_price"), to_cents("cost")
+def fact_columns(rows: DataFrame, late_arrival, more: tuple[str, ...] = ()) -> DataFrame:
+    """Fact projection of joined line + header + lookup rows, and ``more`` of their columns."""
+    price, cost = exact("unit_price"), exact("cost")
     return rows.select(
         "transaction_item_id", "transaction_id", "transaction_date",
         date_key("transaction_date").alias("transaction_date_key"),
         "store_key", "product_key", "customer_key", "payment_method", "loyalty_card", "status",
         "quantity", "unit_price",
-        from_cents(price_c * F.col("quantity")).alias("gmv"),
+        as_money(times(price, "quantity")).alias("gmv"),
         F.col("cost").alias("unit_cost"),
-        from_cents((price_c - cost_c) * F.col("quantity")).alias("gross_margin"),
+        as_money(times(price - cost, "quantity")).alias("gross_margin"),
         "was_on_promo",
         F.col("total_amount").alias("total_amount_reported"),
         quality_flag().alias("data_quality_flag"),
-        late_arrival.alias("late_arrival"))
+        late_arrival.alias("late_arrival"), *more)
 
 
 def write_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -317,11 +335,70 @@ def validate_dimensions(out: dict[str, DataFrame]) -> None:
 def uncovered_sales(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Fact lines whose date is missing from the calendar (they would vanish
     from the clean view's calendar join), with their count per date."""
-    days = F.broadcast(dim_date.select(F.col("date_key").alias("transaction_date_key")))
+    days = dim_date.select(F.col("date_key").alias("transaction_date_key"))
     return (fact.join(days, "transaction_date_key", "left_anti")
             .groupBy("transaction_date").agg(F.count(F.lit(1)).alias("lineas")))
 
 
+DIMENSIONS = ("dim_date", "dim_vendor", "dim_store", "dim_promotion", "dim_product", "dim_customer")
+
+
+def build_dimensions(t: RawTables, base: str) -> Star:
+    """Write the dimensions under ``base`` and return a star that reads them back."""
+    star = Star(t)
+    for name in DIMENSIONS:
+        getattr(star, name).write.mode("overwrite").parquet(f"{base}/{name}")
+        star.__dict__[name] = read_table(t.spark, base, name)
+    return star
+
+
+def extend_dimensions(t: RawTables, base: str, feed: DataFrame) -> dict[str, int]:
+    """Append what the masters and the feed hold beyond the written dimensions:
+    new days, vendors, stores, products and card holders. Written rows keep their
+    keys; new ones are numbered above the largest. Returns the rows added."""
+    spark, added = t.spark, {}
+    star = Star(t)
+    for name in DIMENSIONS:
+        star.__dict__[name] = read_table(spark, base, name)
+
+    def append(name: str, rows: DataFrame, scratch: Scratch) -> None:
+        rows = scratch.kept(conform(rows, name))
+        added[name] = rows.count()
+        if added[name]:
+            rows.write.mode("append").parquet(f"{base}/{name}")
+            star.__dict__[name] = read_table(spark, base, name)
+
+    def numbered(rows: DataFrame, order: list[str], name: str, key: str) -> DataFrame:
+        top = read_table(spark, base, name).agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
+        return surrogate_key(rows, order, key, above=F.lit(top))
+
+    with Scratch(spark) as scratch:
+        known = star.dim_date.agg(F.min("full_date").alias("lo"), F.max("full_date").alias("hi"))
+        seen = feed.agg(F.min("transaction_date").alias("a"), F.max("transaction_date").alias("z"))
+        days = (seen.crossJoin(known).filter(F.col("a").isNotNull())  # one row each
+                .select(F.explode(F.sequence(F.least("a", "lo"), F.greatest("z", "hi"))).alias("d")))
+        append("dim_date", star.calendar(days.join(star.dim_date, F.col("d") == F.col("full_date"), "left_anti")), scratch)
+
+        valid = star.dim_vendor.filter("is_valid").select("vendor_id")
+        new = numbered(t.vendors.join(valid, "vendor_id", "left_anti"), ["vendor_id", "vendor_name", "country", "tier"], "dim_vendor", "vendor_key")
+        append("dim_vendor", new.withColumn("is_valid", F.lit(True)), scratch)
+        orphans = star.orphan_vendor_ids.join(star.dim_vendor.select("vendor_id"), "vendor_id", "left_anti")
+        top = F.greatest(F.lit(t.rules.unknown_vendor_key - 1), star.dim_vendor.agg(F.max("vendor_key")).scalar())
+        orphans = surrogate_key(orphans, ["vendor_id"], "vendor_key", above=top)
+        append("dim_vendor", unknown_vendors(orphans), scratch)
+
+        new = t.stores.join(star.dim_store.select("store_id"), "store_id", "left_anti")
+        append("dim_store", star.store_columns(numbered(new, ["store_id", "store_name"], "dim_store", "store_key")), scratch)
+        new = t.products.join(star.dim_product.select("item_id"), "item_id", "left_anti")
+        append("dim_product", star.with_vendor(numbered(new, ["item_id", "vendor_id", "item_name"], "dim_product", "product_key")), scratch)
+        hashed = pseudonymise("customer_id", t.rules.customer_salt)
+        known = star.dim_customer.select("customer_id_hashed")
+        new = (star.first_purchases(feed).withColumn("customer_id_hashed", hashed)
+               .join(known, "customer_id_hashed", "left_anti").drop("customer_id_hashed"))
+        append("dim_customer", star.customer_columns(numbered(new, ["customer_id"], "dim_customer", "customer_key")), scratch)
+    return added
+
+
 def build_star(t: RawTables, base: str, validate: bool = True) -> dict[str, DataFrame]:
     """Materialise the model under ``base``: dimensions first, re-read so later
     steps use the written surrogate keys, then bridge and fact. Returns readers.
@@ -330,12 +407,8 @@ def build_star(t: RawTables, base: str, validate: bool = True) -> dict[str, Data
     NOT NULL columns and their surrogate keys for density before the fact is
     built (a failed check raises ``ContractError``)."""
     spark = t.spark
-    star = Star(t)
-    out = {}
-    for name in ("dim_date", "dim_vendor", "dim_store", "dim_promotion", "dim_product", "dim_customer"):
-        getattr(star, name).write.mode("overwrite").parquet(f"{base}/{name}")
-        out[name] = read_table(spark, base, name)
-        star.__dict__[name] = out[name]
+    star = build_dimensions(t, base)
+    out = {name: getattr(star, name) for name in DIMENSIONS}
     if validate:
         validate_dimensions(out)
     star.bridge_promotion.write.mode("overwrite").parquet(f"{base}/bridge_promotion")
@@ -356,8 +429,8 @@ def register_views(tables: dict[str, DataFrame]) -> None:
 def fact_lines(t: RawTables) -> DataFrame:
     """The item lines that enter the fact (known transaction, store and product),
     with what the flags need — without building surrogate keys."""
-    stores = t.dim("stores").select("store_id", "opening_date")
-    items = t.transaction_items.join(t.dim("products").select("item_id"), "item_id", "left_semi")
+    stores = t.stores.select("store_id", "opening_date")
+    items = t.transaction_items.join(t.products.select("item_id"), "item_id", "left_semi")
     return items.join(t.transactions.join(stores, "store_id"), "transaction_id")
 
 
@@ -378,9 +451,9 @@ def flag_distribution(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
     (no surrogate keys, no customer lookup)."""
     if fact is None:
         fact = fact_lines(t).select(quality_flag().alias("data_quality_flag"),
-                            from_cents(to_cents("unit_price") * F.col("quantity")).alias("gmv"))
+                            as_money(line_amount("unit_price", "quantity")).alias("gmv"))
     return (fact.groupBy("data_quality_flag")
-            .agg(F.count(F.lit(1)).alias("lineas"), from_cents(F.sum(to_cents("gmv"))).alias("gmv"))
+            .agg(F.count(F.lit(1)).alias("lineas"), as_money(F.sum(exact("gmv"))).alias("gmv"))
             .orderBy("data_quality_flag"))
 
 

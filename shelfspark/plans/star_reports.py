@@ -5,7 +5,7 @@ keeps zero-priced lines sold on promotion and drops lines of unknown vendors
 everywhere, and it excludes flagged lines rather than filtering raw columns.
 These jobs answer the same questions as B2/B4/B5 for users of the star and
 make the difference between the two definitions measurable. Amounts are
-summed as exact cents of the fact's columns. None of them reads the customer
+summed as exact decimals of the fact's columns. None of them reads the customer
 key, so they use the fact without the customer lookup.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.dates import months_before
-from shelfspark.functions.money import from_cents, round_half_away, safe_div, to_cents
+from shelfspark.functions.money import as_money, exact, line_amount, round_half_away, safe_div
 from shelfspark.plans.reports import GMROI_OK, LOW_GMROI, LOW_PRODUCTIVITY, NORMAL
 from shelfspark.plans.star import Star
 from shelfspark.sources.raw import RawTables
@@ -29,9 +29,9 @@ def productivity_on_star(t: RawTables) -> DataFrame:
     last = fact.agg(F.max("transaction_date")).scalar()
     view = star.clean_sales(fact).filter(F.col("transaction_date") >= months_before(last, r.recent_months))
     attrs = ["store_key", "store_name", "country", "format", "size_sqm"]
-    per_tx = view.groupBy(*attrs, "transaction_id").agg(F.sum(to_cents("gmv")).alias("cents"))
-    per_store = per_tx.groupBy(*attrs).agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n_tx"))
-    gmv = from_cents("cents")
+    per_tx = view.groupBy(*attrs, "transaction_id").agg(F.sum(exact("gmv")).alias("amount"))
+    per_store = per_tx.groupBy(*attrs).agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n_tx"))
+    gmv = as_money("amount")
     metrics = per_store.select(
         *attrs, gmv.alias("gmv_raw"),
         round_half_away(gmv / F.col("size_sqm"), 2).alias("gmv_por_m2"),
@@ -54,19 +54,19 @@ def gmroi_on_star(t: RawTables) -> DataFrame:
     view = star.clean_sales(star.fact_sales_without_customer)
     keys = ["vendor_id", "vendor_name", "category"]
     per_product = (view.groupBy(*keys, "product_key")
-                   .agg(F.sum(to_cents("gmv")).alias("gmv_c"),
-                        F.sum(to_cents("unit_cost") * F.col("quantity")).alias("cost_c"),
-                        F.sum(to_cents("gross_margin")).alias("margin_c"),
+                   .agg(F.sum(exact("gmv")).alias("gmv_c"),
+                        F.sum(line_amount("unit_cost", "quantity")).alias("cost_c"),
+                        F.sum(exact("gross_margin")).alias("margin_c"),
                         F.sum("quantity").alias("units"),
                         F.min("transaction_date").alias("first_day"), F.max("transaction_date").alias("last_day")))
     agg = per_product.groupBy(*keys).agg(
         F.sum("gmv_c").alias("gmv_c"), F.sum("cost_c").alias("cost_c"), F.sum("margin_c").alias("margin_c"),
         F.count(F.lit(1)).alias("skus"), F.sum("units").alias("units"),
         F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
-    margin, cost = from_cents("margin_c"), from_cents("cost_c")
+    margin, cost = as_money("margin_c"), as_money("cost_c")
     ratio = safe_div(margin, cost)
     return (agg.select(*keys,
-                       round_half_away(from_cents("gmv_c"), 2).alias("gmv"),
+                       round_half_away(as_money("gmv_c"), 2).alias("gmv"),
                        round_half_away(cost, 2).alias("costo_total"),
                        round_half_away(margin, 2).alias("margen_bruto"),
                        round_half_away(ratio, 4).alias("gmroi"),
@@ -82,20 +82,21 @@ def stockouts_on_star(t: RawTables) -> DataFrame:
     r = t.rules
     star = Star(t)
     daily = (star.clean_sales(star.fact_sales_without_customer)
-             .groupBy("store_key", "product_key", "item_name", "category", "transaction_date")
-             .agg(F.sum("quantity").alias("units"), F.sum(to_cents("gmv")).alias("cents")))
+             .groupBy("store_key", "product_key", "transaction_date")
+             .agg(F.sum("quantity").alias("units"), F.sum(exact("gmv")).alias("amount")))
+    names = star.dim_product.select("product_key", "item_name", "category")
     part = Window.partitionBy("store_key", "product_key")
     gaps = (daily.withColumn("prev_date", F.lag("transaction_date").over(part.orderBy("transaction_date")))
             .withColumn("n_days", F.count(F.lit(1)).over(part))
             .withColumn("units_total", F.sum("units").over(part))
-            .withColumn("cents_total", F.sum("cents").over(part))
+            .withColumn("amount_total", F.sum("amount").over(part))
             .withColumn("gap_days", F.datediff("transaction_date", "prev_date"))
             .filter((F.col("gap_days") >= r.stockout_gap_days) & (F.col("n_days") >= r.stockout_min_selling_days)))
-    return (gaps.select("store_key", "product_key", "item_name", "category",
+    return (gaps.join(names, "product_key").select("store_key", "product_key", "item_name", "category",
                         F.col("prev_date").alias("fecha_inicio_gap"), F.col("transaction_date").alias("fecha_fin_gap"),
                         F.col("gap_days").cast("bigint").alias("duracion_dias"),
                         round_half_away(F.col("units_total") / F.col("n_days"), 2).alias("ventas_promedio_diarias"),
-                        round_half_away(from_cents("cents_total") / F.col("n_days") * (F.col("gap_days") - 1), 2)
+                        round_half_away(as_money("amount_total") / F.col("n_days") * (F.col("gap_days") - 1), 2)
                         .alias("gmv_estimado_perdido"))
             .orderBy(F.col("gmv_estimado_perdido").desc()))
 

@@ -6,27 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.plans.audit import AUDITS
+from shelfspark.plans.pipeline import PIPELINE_JOBS
 from shelfspark.plans.reports import REPORTS
+from shelfspark.plans.star import STAR_JOBS
+from shelfspark.plans.star_reports import STAR_REPORTS
 from shelfspark.sources.raw import RawTables
 
-JOBS: dict[str, Callable[[RawTables], DataFrame]] = {}
-JOBS.update(REPORTS)
-
-
-def _register(module: str, table: str) -> None:
-    import importlib
-    JOBS.update(getattr(importlib.import_module(module), table))
-
-
-for _module, _table in (("shelfspark.plans.audit", "AUDITS"),
-                        ("shelfspark.plans.star", "STAR_JOBS"),
-                        ("shelfspark.plans.star_reports", "STAR_REPORTS"),
-                        ("shelfspark.plans.pipeline", "PIPELINE_JOBS")):
-    try:
-        _register(_module, _table)
-    except ModuleNotFoundError as e:  # pragma: no cover - module not written yet
-        if e.name != _module:
-            raise
+JOBS: dict[str, Callable[[RawTables], DataFrame]] = {**REPORTS, **AUDITS, **STAR_JOBS, **STAR_REPORTS, **PIPELINE_JOBS}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

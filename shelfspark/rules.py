@@ -9,7 +9,7 @@ contaminated stores).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -52,10 +52,7 @@ class Rules:
     late_window_days: int = 2
     silent_store_days: int = 2
     idle_item_days: int = 30
-    mark_lookback_days: int = 30                 # high-water mark when no control table exists yet
-    # physical
-    broadcast_max_rows: int = 2_000_000
-    extra: dict = field(default_factory=dict)
+    correction_days: int = 2                     # a correction moves a sale by at most so many days
 
 
 DEFAULT_RULES = Rules()

@@ -2,16 +2,18 @@
 
 Jobs never create their own session; they take one. ``local_session`` is for
 tests, the bench and the smoke entry point. On a cluster the submitter owns the
-configuration; ``checkpoint_dir`` only fills in ``spark.checkpoint.dir`` when the
-cluster has not named a shared folder.
+configuration, ``spark.checkpoint.dir`` included: intermediate tables go there.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC dates, adaptive execution (runtime
 # coalescing, skew-join splitting, broadcast conversion), ANSI arithmetic.
@@ -64,8 +66,9 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` or from the Spark context. Only in local
+    mode, where one machine does everything, an unset folder is replaced by a
+    fresh scratch one; on a cluster it is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -75,6 +78,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:                      # set on the context by the application
         return existing
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="shelfspark-ckpt-", dir=os.environ.get("SHELFSPARK_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -85,3 +90,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds something to read at ``path``; any other trouble is raised."""
+    try:
+        spark.read.format("text").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+class Scratch:
+    """A database of intermediate tables inside the shared checkpoint folder; ``drop`` and ``close`` delete their files."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name, self.made = spark, f"scratch_{uuid.uuid4().hex[:12]}", 0
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{scratch_path(spark, self.name)}'")
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def keep(self, df: DataFrame, buckets: int = 0, by: tuple[str, ...] = ()) -> str:
+        """Writes ``df`` as a table, bucketed and sorted if asked for, and returns its name."""
+        self.made += 1
+        name = f"{self.name}.t{self.made}"
+        writer = df.write.format("parquet")
+        if buckets:
+            writer = writer.bucketBy(buckets, *by).sortBy(*by)
+        writer.saveAsTable(name)
+        return name
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` read back from a table of this database."""
+        return self.spark.table(self.keep(df))
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")

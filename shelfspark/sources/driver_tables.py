@@ -12,15 +12,19 @@ independent DuckDB oracle. The two must stay in step.
 Mapping (a design of this repository):
 
 * stores — one per nation, joined to its region.
-* transactions — one per order; the store is the customer's nation; two out of
-  five customers carry a loyalty card and only they have a customer id; every
-  997th order has a zero total; every tenth partially-filled order is a return.
+* transactions — one per order, every 1,499th twice; the store is the customer's
+  nation, or one that is not in the master; two out of five customers carry a
+  loyalty card and only they have a customer id, which every 307th order lacks;
+  every 997th order has a zero total; every tenth partially-filled order is a return.
 * transaction_items — one per lineitem; the SKU is (part type, brand); the unit
-  price is the line price per unit in whole cents, zero when the line has no
-  discount and no tax; lines with a discount of 9 % or more are on promotion.
-* products — one per SKU; the vendor follows the SKU's lowest part key, which
-  leaves vendor 31 without a master row (an orphan vendor).
-* vendors — the first 30 suppliers.
+  price is the line price per unit with four decimals, zero when the line has no
+  tax and either no discount or the highest one; lines with a discount of 9 % or
+  more are on promotion.
+* item_feed — the lines with their header; one part in five was first reported
+  with one unit more, a day earlier.
+* products — one per SKU; the vendor follows the SKU's lowest part key over one
+  vendor more than there are suppliers (an orphan vendor).
+* vendors — the suppliers.
 * store_promotions — one per supplier: its nation's store, three campaign
   names, CONTROL/TREATMENT by parity, sixty-day periods.
 """
@@ -37,8 +41,7 @@ EPOCH = "1995-01-01"
 STORE_OPENING_STEP_DAYS = 100
 PROMO_STEP_DAYS = 20
 PROMO_LENGTH_DAYS = 60
-VENDOR_COUNT = 30
-VENDOR_MODULUS = 31
+UNKNOWN_STORE = "ST_999"
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,10 @@ def _sku(ptype: str = "p_type", brand: str = "p_brand"):
     return F.concat(F.col(ptype), F.lit("_"), F.col(brand))
 
 
+def _vendor_id(number):
+    return F.concat(F.lit("VND_"), F.lpad((number + 1).cast("string"), 9, "0"))
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_driver(spark, sf_dir, "nation")
     region = read_driver(spark, sf_dir, "region")
@@ -72,10 +79,14 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_driver(spark, sf_dir, "orders")
     customer = read_driver(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     loyal = (F.col("o_custkey") % 5) < 2
+    copies = F.when(F.col("o_orderkey") % 1499 == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return (orders.join(customer, orders.o_custkey == customer.c_custkey)
+            .withColumn("_copy", F.explode(copies))
             .select(F.concat(F.lit("TX_"), F.col("o_orderkey").cast("string")).alias("transaction_id"),
-                    _store_id("c_nationkey").alias("store_id"),
-                    F.when(loyal, F.concat(F.lit("CU_"), F.col("o_custkey").cast("string"))).alias("customer_id"),
+                    F.when(F.col("o_custkey") % 211 == 7, F.lit(UNKNOWN_STORE))
+                     .otherwise(_store_id("c_nationkey")).alias("store_id"),
+                    F.when(loyal & (F.col("o_orderkey") % 307 != 1),
+                           F.concat(F.lit("CU_"), F.col("o_custkey").cast("string"))).alias("customer_id"),
                     F.col("o_orderdate").cast("date").alias("transaction_date"),
                     F.when(F.col("o_orderkey") % 997 == 0, F.lit(0.0))
                      .otherwise(F.col("o_totalprice")).alias("total_amount"),
@@ -89,9 +100,9 @@ def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_driver(spark, sf_dir, "lineitem")
     part = read_driver(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     qty = F.col("l_quantity").cast("bigint")
-    unit_cents = F.round(F.col("l_extendedprice") * 100).cast("bigint") / qty
-    unit_price = F.when((F.col("l_discount") == 0) & (F.col("l_tax") == 0), F.lit(0.0)) \
-        .otherwise(F.floor(unit_cents).cast("bigint") / F.lit(100.0))
+    unit = F.floor(F.round(F.col("l_extendedprice") * 100).cast("bigint") * 100 / qty).cast("bigint")
+    free = (F.col("l_tax") == 0) & ((F.col("l_discount") == 0) | (F.col("l_discount") >= 0.1))
+    unit_price = F.when(free, F.lit(0.0)).otherwise(unit / F.lit(10000.0))
     return (li.join(part, li.l_partkey == part.p_partkey)
             .select(F.concat_ws("_", F.lit("TI"), F.col("l_orderkey").cast("string"),
                                 F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
@@ -101,8 +112,7 @@ def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     qty.alias("quantity"),
                     unit_price.alias("unit_price"),
                     (F.col("l_discount") >= 0.09).alias("was_on_promo"),
-                    F.concat_ws("_", F.lit("TI"), F.col("l_orderkey").cast("string"),
-                                F.col("l_linenumber").cast("string")).alias("version_key"),
+                    (F.col("l_partkey") % 5 == 0).alias("corrected"),
                     F.col("l_shipdate").cast("timestamp_ntz").alias("ingestion_timestamp")))
 
 
@@ -115,19 +125,24 @@ def item_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The point-of-sale export as the incremental pipeline receives it: one
     row per line *version*, header columns repeated, with its ingestion time.
 
-    Lines sharing (order, line number) are treated as successive versions of
-    one ``transaction_item_id``; the ship timestamp plays the ingestion time;
-    ``source_record_id`` identifies the physical record (tie-breaker)."""
-    lines = _line_rows(spark, sf_dir)
+    The ship timestamp plays the ingestion time of a line's last version, which
+    is the line of ``transaction_items``; ``source_record_id`` identifies the
+    physical record (tie-breaker)."""
+    versions = F.when(F.col("corrected"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    lines = _line_rows(spark, sf_dir).withColumn("version", F.explode(versions))
+    older = (F.col("version") == 1).cast("int")
     return (lines.join(transactions(spark, sf_dir), "transaction_id")
-            .select(F.col("version_key").alias("transaction_item_id"), "transaction_id", "store_id",
+            .select("transaction_item_id", "transaction_id", "store_id",
                     "customer_id", "transaction_date", "total_amount", "payment_method", "loyalty_card",
-                    "status", "item_id", "quantity", "unit_price", "was_on_promo", "ingestion_timestamp",
-                    F.col("transaction_item_id").alias("source_record_id")))
+                    "status", "item_id", (F.col("quantity") + older).alias("quantity"), "unit_price", "was_on_promo",
+                    F.when(older == 1, F.col("ingestion_timestamp") - F.expr("INTERVAL 1 DAY"))
+                     .otherwise(F.col("ingestion_timestamp")).alias("ingestion_timestamp"),
+                    F.concat_ws("_", "transaction_item_id", F.col("version").cast("string")).alias("source_record_id")))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_driver(spark, sf_dir, "part")
+    vendors_and_one = read_driver(spark, sf_dir, "supplier").agg(F.count(F.lit(1)) + 1).scalar()
     per_sku = part.groupBy("p_type", "p_brand").agg(
         F.min("p_partkey").alias("min_key"), F.min("p_retailprice").alias("min_price"))
     cost_cents = F.floor(F.round(F.col("min_price") * 100).cast("bigint") * 5 / 2).cast("bigint")
@@ -135,17 +150,17 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sku().alias("item_id"),
         F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("item_name"),
         F.col("p_brand").alias("brand"),
-        F.concat(F.lit("VND_"), F.lpad((F.col("min_key") % VENDOR_MODULUS + 1).cast("string"), 3, "0")).alias("vendor_id"),
+        _vendor_id(F.col("min_key") % vendors_and_one).alias("vendor_id"),
         F.col("p_type").alias("category"),
         F.col("p_type").alias("department"),
         (cost_cents / F.lit(100.0)).alias("cost"))
 
 
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = read_driver(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < VENDOR_COUNT)
+    supplier = read_driver(spark, sf_dir, "supplier")
     nation = read_driver(spark, sf_dir, "nation")
     return (supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-            .select(F.concat(F.lit("VND_"), F.lpad((F.col("s_suppkey") + 1).cast("string"), 3, "0")).alias("vendor_id"),
+            .select(_vendor_id(F.col("s_suppkey")).alias("vendor_id"),
                     F.col("s_name").alias("vendor_name"),
                     F.col("n_name").alias("country"),
                     F.when(F.col("s_acctbal") > 5000, F.lit("A")).otherwise(F.lit("B")).alias("tier"),
@@ -189,59 +204,57 @@ stores AS (
 ),
 transactions AS (
   SELECT 'TX_' || CAST(o_orderkey AS VARCHAR) AS transaction_id,
-         'ST_' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS store_id,
-         CASE WHEN o_custkey % 5 < 2 THEN 'CU_' || CAST(o_custkey AS VARCHAR) END AS customer_id,
+         CASE WHEN o_custkey % 211 = 7 THEN '{UNKNOWN_STORE}' ELSE 'ST_' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') END AS store_id,
+         CASE WHEN o_custkey % 5 < 2 AND o_orderkey % 307 <> 1 THEN 'CU_' || CAST(o_custkey AS VARCHAR) END AS customer_id,
          CAST(o_orderdate AS DATE) AS transaction_date,
          CASE WHEN o_orderkey % 997 = 0 THEN 0.0 ELSE o_totalprice END AS total_amount,
          o_orderpriority AS payment_method,
          o_custkey % 5 < 2 AS loyalty_card,
          CASE WHEN o_orderstatus = 'P' AND o_orderkey % 10 = 0 THEN 'RETURNED' ELSE 'COMPLETED' END AS status
   FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN range(1, 3) AS copy(n) ON copy.n = 1 OR o_orderkey % 1499 = 3
 ),
-transaction_items AS (
+line_rows AS (
   SELECT 'TI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '_'
            || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS transaction_item_id,
          'TX_' || CAST(l_orderkey AS VARCHAR) AS transaction_id,
          p_type || '_' || p_brand AS item_id,
          CAST(l_quantity AS BIGINT) AS quantity,
-         CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0.0
-              ELSE CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(l_quantity AS BIGINT)) AS BIGINT) / 100.0
+         CASE WHEN l_tax = 0 AND (l_discount = 0 OR l_discount >= 0.1) THEN 0.0
+              ELSE CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) * 100 / CAST(l_quantity AS BIGINT)) AS BIGINT) / 10000.0
          END AS unit_price,
-         l_discount >= 0.09 AS was_on_promo
+         l_discount >= 0.09 AS was_on_promo,
+         l_partkey % 5 = 0 AS corrected,
+         CAST(l_shipdate AS TIMESTAMP) AS ingestion_timestamp
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
+transaction_items AS (
+  SELECT transaction_item_id, transaction_id, item_id, quantity, unit_price, was_on_promo FROM line_rows
+),
 item_feed AS (
-  SELECT 'TI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS transaction_item_id,
-         t.transaction_id, t.store_id, t.customer_id, t.transaction_date, t.total_amount, t.payment_method,
-         t.loyalty_card, t.status,
-         p_type || '_' || p_brand AS item_id,
-         CAST(l_quantity AS BIGINT) AS quantity,
-         CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0.0
-              ELSE CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(l_quantity AS BIGINT)) AS BIGINT) / 100.0
-         END AS unit_price,
-         l_discount >= 0.09 AS was_on_promo,
-         CAST(l_shipdate AS TIMESTAMP) AS ingestion_timestamp,
-         'TI_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '_'
-           || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS source_record_id
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN transactions t ON t.transaction_id = 'TX_' || CAST(l_orderkey AS VARCHAR)
+  SELECT l.transaction_item_id, t.transaction_id, t.store_id, t.customer_id, t.transaction_date, t.total_amount, t.payment_method,
+         t.loyalty_card, t.status, l.item_id,
+         CASE WHEN version.n = 1 THEN l.quantity + 1 ELSE l.quantity END AS quantity, l.unit_price, l.was_on_promo,
+         CASE WHEN version.n = 1 THEN l.ingestion_timestamp - INTERVAL 1 DAY ELSE l.ingestion_timestamp END AS ingestion_timestamp,
+         l.transaction_item_id || '_' || CAST(version.n AS VARCHAR) AS source_record_id
+  FROM line_rows l JOIN transactions t USING (transaction_id)
+  JOIN range(1, 3) AS version(n) ON version.n = 2 OR l.corrected
 ),
 products AS (
   SELECT p_type || '_' || p_brand AS item_id,
          p_type || ' ' || p_brand AS item_name,
          p_brand AS brand,
-         'VND_' || lpad(CAST(min(p_partkey) % {VENDOR_MODULUS} + 1 AS VARCHAR), 3, '0') AS vendor_id,
+         'VND_' || lpad(CAST(min(p_partkey) % (SELECT count(*) + 1 FROM supplier) + 1 AS VARCHAR), 9, '0') AS vendor_id,
          p_type AS category, p_type AS department,
          CAST(floor(CAST(round(min(p_retailprice) * 100) AS BIGINT) * 5 / 2) AS BIGINT) / 100.0 AS cost
   FROM part GROUP BY p_type, p_brand
 ),
 vendors AS (
-  SELECT 'VND_' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 3, '0') AS vendor_id,
+  SELECT 'VND_' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 9, '0') AS vendor_id,
          s_name AS vendor_name, n_name AS country,
          CASE WHEN s_acctbal > 5000 THEN 'A' ELSE 'B' END AS tier,
          s_suppkey % 2 = 0 AS is_shared_catalog
   FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  WHERE s_suppkey < {VENDOR_COUNT}
 ),
 store_promotions AS (
   SELECT 'ST_' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS store_id,

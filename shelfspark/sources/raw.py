@@ -6,22 +6,21 @@ Three origins give the same ``RawTables``:
 * ``from_parquet``  — landed Parquet folders (the production layout);
 * ``from_driver``   — derived on the fly from the TPC-H-style test tables.
 
-``dim(name)`` returns a master table marked for broadcast only after its row
-count has been measured and found under ``Rules.broadcast_max_rows``; beyond
-that the planner is left to pick a shuffle join. The measurement is one small
-job over the four master tables, done once per ``RawTables``.
+No join is hinted: Spark broadcasts a side whose bytes are under its threshold,
+at planning or at run time, and shuffles otherwise.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.rules import DEFAULT_RULES, Rules
 from shelfspark.sources import driver_tables
-from shelfspark.sources.schemas import DIMENSIONS, ITEM_FEED, RAW
+from shelfspark.session import path_exists
+from shelfspark.sources.schemas import ITEM_FEED, RAW
 
 
 @dataclass
@@ -39,7 +38,6 @@ class RawTables:
     # Filtered item-grain sales computed once and shared by several reports
     # (see plans.daily.refresh_reports); None means derive them per job.
     shared_sales: DataFrame | None = None
-    _dim_rows: dict | None = field(default=None, repr=False)
 
     # ---- constructors --------------------------------------------------
     @classmethod
@@ -52,10 +50,8 @@ class RawTables:
         base = base.rstrip("/")
         frames = {name: spark.read.schema(schema).parquet(f"{base}/{name}") for name, schema in RAW.items()}
         feed = None
-        try:
+        if path_exists(spark, f"{base}/item_feed"):
             feed = spark.read.schema(ITEM_FEED).parquet(f"{base}/item_feed")
-        except Exception:  # no feed landed next to the tables
-            feed = None
         return cls(spark=spark, rules=rules, item_feed=feed, **frames)
 
     @classmethod
@@ -86,7 +82,7 @@ class RawTables:
     def with_rules(self, rules: Rules) -> "RawTables":
         return RawTables(self.spark, self.transactions, self.transaction_items, self.stores,
                          self.products, self.vendors, self.store_promotions, rules, self.item_feed,
-                         self.shared_sales, self._dim_rows)
+                         self.shared_sales)
 
     def register_views(self) -> None:
         """Expose the raw tables (and the feed) to Spark SQL under their names."""
@@ -99,56 +95,22 @@ class RawTables:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def dim_rows(self) -> dict:
-        """Row counts of the master tables, measured once in a single job."""
-        if self._dim_rows is None:
-            counts = None
-            for name in DIMENSIONS:
-                one = self.table(name).select(F.lit(name).alias("t")).groupBy("t").count()
-                counts = one if counts is None else counts.unionByName(one)
-            self._dim_rows = {name: 0 for name in DIMENSIONS}
-            self._dim_rows.update({r["t"]: r["count"] for r in counts.collect()})
-        return self._dim_rows
-
-    def dim(self, name: str) -> DataFrame:
-        """A master table, hinted for broadcast when its measured size allows it."""
-        df = self.table(name)
-        if self.dim_rows().get(name, self.rules.broadcast_max_rows + 1) <= self.rules.broadcast_max_rows:
-            return F.broadcast(df)
-        return df
-
-    def small(self, df: DataFrame, bound_by: str) -> DataFrame:
-        """Broadcast a frame derived from master table ``bound_by`` (at most as many rows)."""
-        if self.dim_rows().get(bound_by, self.rules.broadcast_max_rows + 1) <= self.rules.broadcast_max_rows:
-            return F.broadcast(df)
-        return df
-
     # ---- sink ----------------------------------------------------------
-    def heaviest_transaction_share(self) -> float:
-        """Largest share of all item rows held by one transaction (one
-        partially aggregated pass over the key column)."""
-        per_tx = self.transaction_items.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
-        row = per_tx.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-        return (row["top"] or 0) / row["total"] if row["total"] else 0.0
-
     def land_bucketed(self, database: str, buckets: int, location: str | None = None,
-                      guard: bool = True) -> "RawTables":
+                      bucketed: tuple[str, ...] = ("transactions", "transaction_items")) -> "RawTables":
         """Write the tables as catalog tables, transactions and their items both
         bucketed and sorted by ``transaction_id`` into the same number of buckets.
 
         The items ⋈ transactions join of every report then runs bucket by
-        bucket, without an exchange of either side; filters and broadcast
-        lookups in between keep that partitioning. Master tables and the feed
-        are written plain.
-
-        A bucketed join has no shuffle for adaptive execution to split, so a
-        transaction holding more than an average bucket's share of the lines
-        would make one task read it whole. With ``guard`` (default) that is
-        measured first, and such data is landed without buckets instead, where
-        the shuffle join's skew splitting applies."""
-        bucket_by = ("transactions", "transaction_items")
-        if guard and self.heaviest_transaction_share() > 1.0 / buckets:
-            bucket_by = ()
+        bucket, without an exchange of either side; filters and lookups in
+        between keep that partitioning. Master tables and the feed are written
+        plain.
+
+        A bucketed join has no shuffle for adaptive execution to split. Where one
+        transaction may hold more lines than a bucket should, the caller lands
+        the tables plain (``bucketed=()``), and the shuffle join's skew splitting
+        applies."""
+        bucket_by = bucketed
         where = f" LOCATION '{location}'" if location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
         for name in RAW:

@@ -17,13 +17,12 @@ are accepted for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfspark.functions.money import from_cents, line_cents
-from shelfspark.plans.pipeline import apply_increment
-from shelfspark.plans.star import Star
+from shelfspark.functions.money import as_money, line_amount
+from shelfspark.plans.pipeline import Scope, apply_increment
 from shelfspark.sources.raw import RawTables
 from shelfspark.sources.schemas import ITEM_FEED
 
@@ -35,13 +34,11 @@ def feed_stream(spark: SparkSession, feed_dir: str, max_files_per_trigger: int |
     return reader.parquet(feed_dir)
 
 
-def start_fact_loader(t: RawTables, feed_dir: str, fact_path: str, checkpoint_location: str,
-                      star: Star | None = None, scope: Column | None = None,
+def start_fact_loader(t: RawTables, feed_dir: str, base: str, checkpoint_location: str, scope: Scope | None = None,
                       available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    star = star or Star(t)
-
+    """Bring arriving feed files into the model written under ``base`` (its dimensions must exist)."""
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        apply_increment(t, fact_path, star, feed=batch, scope=scope)
+        apply_increment(t, base, feed=batch, scope=scope)
 
     writer = (feed_stream(t.spark, feed_dir, max_files_per_trigger).writeStream
               .foreachBatch(apply).option("checkpointLocation", checkpoint_location))
@@ -57,7 +54,9 @@ def daily_store_gmv(feed: DataFrame, late_hours: int = 48) -> DataFrame:
     ingestion, then record id — the batch rule), then the day's sum per store.
     A day is emitted once the watermark has passed it, i.e. when no more late
     lines are accepted for it. A correction that moves a line to another day
-    reaches the numbers through the fact upsert, not through this view."""
+    reaches the numbers through the fact upsert, not through this view. Lines that
+    come after the watermark are not in it; Spark counts them per trigger as
+    ``numRowsDroppedByWatermark`` of the query's state operators."""
     versions = (feed.withColumn("event_time", F.col("transaction_date").cast("timestamp"))
                 .withWatermark("event_time", f"{late_hours} hours"))
     latest = (versions.groupBy(F.window("event_time", "1 day").alias("day"), "store_id", "transaction_item_id")
@@ -65,8 +64,8 @@ def daily_store_gmv(feed: DataFrame, late_hours: int = 48) -> DataFrame:
                             F.struct("ingestion_timestamp", "source_record_id")).alias("v")))
     lines = (latest.filter((F.col("v.status") == "COMPLETED") & (F.col("v.unit_price") > 0))
              .select("store_id", F.window_time("day").alias("day_time"),
-                     line_cents("v.unit_price", "v.quantity").alias("cents")))
+                     line_amount("v.unit_price", "v.quantity").alias("amount")))
     return (lines.groupBy(F.window("day_time", "1 day").alias("day"), "store_id")
-            .agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("lines"))
+            .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("lines"))
             .select("store_id", F.to_date(F.col("day.start")).alias("transaction_date"),
-                    from_cents("cents").alias("gmv"), "lines"))
+                    as_money("amount").alias("gmv"), "lines"))

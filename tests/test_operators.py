@@ -3,7 +3,9 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.money import round_half_away, to_cents
+from decimal import Decimal
+
+from shelfspark.functions.money import as_money, exact, line_amount, round_half_away
 from shelfspark.operators.interval_join import interval_join
 from shelfspark.operators.surrogate import surrogate_key
 
@@ -12,19 +14,48 @@ def test_rounding_is_half_away_from_zero(spark):
     df = spark.createDataFrame([(2.5,), (-2.5,), (0.125,), (1.0049,), (None,)], "x double")
     got = [r[0] for r in df.select(round_half_away("x", 0)).collect()]
     assert got == [3.0, -3.0, 0.0, 1.0, None]
-    assert [r[0] for r in df.select(to_cents("x")).collect()] == [250, -250, 13, 100, None]
+    assert [r[0] for r in df.select(exact("x")).collect()] == [Decimal("2.5"), Decimal("-2.5"), Decimal("0.125"), Decimal("1.0049"), None]
+
+
+def test_price_is_not_rounded_before_it_is_multiplied(spark):
+    df = spark.createDataFrame([(0.125, 1000), (0.1, 3)], "p double, q bigint").withColumn("a", line_amount("p", "q"))
+    assert [r[0] for r in df.select(as_money("a")).collect()] == [125.0, 0.3]
+    assert df.select(as_money(F.sum("a"))).first()[0] == 125.3
 
 
 def test_scalable_surrogate_equals_global_row_number(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5003).cast("string").alias("k"))
-    scalable = surrogate_key(df, ["k"], "sk", num_partitions=7)
-    exact = df.withColumn("rn", F.row_number().over(Window.orderBy("k")).cast("bigint"))
-    joined = scalable.join(exact, "k")
+    scalable = surrogate_key(df, ["k"], "sk")
+    numbers = df.withColumn("rn", F.row_number().over(Window.orderBy("k")).cast("bigint"))
+    joined = scalable.join(numbers, "k")
     assert joined.count() == 5000
     assert joined.filter(F.col("sk") != F.col("rn")).count() == 0
     assert scalable.agg(F.min("sk"), F.max("sk"), F.countDistinct("sk")).first() == (1, 5000, 5000)
 
 
+def test_surrogate_numbers_go_on_above_a_key_and_need_no_single_task(spark):
+    import contextlib
+    import io
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "k string, v int")
+    assert sorted((r.sk, r.v) for r in surrogate_key(df, ["k", "v"], "sk", above=F.lit(10)).collect()) == [(11, 3), (12, 2), (13, 1)]
+    assert surrogate_key(df.limit(0), ["k"], "sk").count() == 0
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        surrogate_key(spark.range(100).withColumnRenamed("id", "k"), ["k"], "sk").explain("formatted")
+    windows = [x for x in buf.getvalue().splitlines() if "row_number()" in x and "windowspecdefinition" in x]
+    assert windows and all("windowspecdefinition(_range" in x for x in windows)
+
+
+def test_interval_join_does_not_explode_open_intervals(spark):
+    left = spark.createDataFrame([("S", dt.date(2024, 1, d)) for d in range(1, 31)], "store_id string, d date")
+    right = spark.createDataFrame([(1, "S", dt.date(2024, 1, 5), dt.date(9999, 12, 31)), (2, "S", None, dt.date(2024, 2, 1))],
+                                  "pk int, store_id string, s date, e date")
+    joined = interval_join(left, right, ["store_id"], "d", "s", "e")
+    assert joined.count() == 26
+    spread = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "least" in spread and "greatest" in spread
+
+
 def test_interval_join_matches_brute_force(spark):
     base = dt.date(2024, 1, 1)
     left = spark.createDataFrame([(f"S{i % 3}", base + dt.timedelta(days=i)) for i in range(120)],

@@ -4,11 +4,12 @@ import os
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators.upsert import upsert_partitions
+from shelfspark.operators.upsert import upsert_versions
 from shelfspark.plans import pipeline
-from shelfspark.plans.star import Star
+from shelfspark.plans.star import Star, build_dimensions
 from shelfspark.rules import Rules
-from tests.fixtures import D, feed_row, item, rows, store, tables, tx
+from shelfspark.sources.schemas import STAR
+from tests.fixtures import D, feed_row, item, product, rows, store, tables, tx
 
 
 def test_latest_version_wins(spark):
@@ -42,35 +43,128 @@ def _fact_rows(spark, data):
     return spark.createDataFrame([(k, D(d), v) for k, d, v in data], schema)
 
 
+def _upsert(spark, target, data, **how):
+    return upsert_versions(spark, target, _fact_rows(spark, data), "transaction_item_id", "transaction_date", ("v",), **how)
+
+
+def _fact(spark, base, *columns):
+    return rows(spark.read.parquet(f"{base}/fact_sales"), *columns)
+
+
 def test_partition_upsert_is_idempotent_and_handles_moved_rows(spark, scratch):
     target = f"{scratch}/fact"
-    upsert_partitions(spark, target, _fact_rows(spark, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1),
-                                                        ("c", "2024-03-02", 1)]), "transaction_item_id",
-                      "transaction_date")
+    _upsert(spark, target, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1), ("c", "2024-03-02", 1)])
     # "a" moves out of its one-row partition; "b" is corrected in place; "d" is new.
-    inc = _fact_rows(spark, [("a", "2024-03-03", 2), ("b", "2024-03-02", 2), ("d", "2024-03-04", 2)])
-    first = upsert_partitions(spark, target, inc, "transaction_item_id", "transaction_date")
-    after_once = rows(spark.read.parquet(target), "transaction_item_id", "transaction_date", "v")
-    upsert_partitions(spark, target, inc, "transaction_item_id", "transaction_date")
-    after_twice = rows(spark.read.parquet(target), "transaction_item_id", "transaction_date", "v")
+    inc = [("a", "2024-03-03", 2), ("b", "2024-03-02", 2), ("d", "2024-03-04", 2)]
+    first = _upsert(spark, target, inc)
+    read = spark.read.schema("transaction_item_id string, v bigint, transaction_date date")
+    after_once = rows(read.parquet(target), "transaction_item_id", "transaction_date", "v")
+    _upsert(spark, target, inc)
+    after_twice = rows(read.parquet(target), "transaction_item_id", "transaction_date", "v")
     expected = [("a", D("2024-03-03"), 2), ("b", D("2024-03-02"), 2), ("c", D("2024-03-02"), 1),
                 ("d", D("2024-03-04"), 2)]
     assert after_once == expected and after_twice == expected
     assert first == {"touched": 4, "emptied": 1}
-    assert not os.path.exists(f"{target}/transaction_date=2024-03-01")
+
+
+def test_older_version_arriving_later_does_not_win(spark, scratch):
+    target = f"{scratch}/fact"
+    _upsert(spark, target, [("a", "2024-03-05", 9)])
+    _upsert(spark, target, [("a", "2024-03-05", 1), ("b", "2024-03-05", 1)])
+    assert rows(spark.read.parquet(target), "transaction_item_id", "v") == [("a", 9), ("b", 1)]
+
+
+def test_upsert_leaves_no_scratch_tables_behind(spark, scratch):
+    from shelfspark.session import checkpoint_dir
+    folder = checkpoint_dir(spark)
+    before = set(os.listdir(folder))
+    _upsert(spark, f"{scratch}/fact", [("a", "2024-03-01", 1)])
+    _upsert(spark, f"{scratch}/fact", [("a", "2024-03-01", 2)])
+    assert set(os.listdir(folder)) == before
 
 
 def test_daily_run_advances_mark_and_loads_fact(spark, scratch):
     t = tables(spark, transactions=[tx("T1")], items=[item("L1", "T1")],
                feed=[feed_row("L1", "2024-03-01 10:00:00", "r1", qty=1),
                      feed_row("L1", "2024-03-02 10:00:00", "r2", qty=4)])
-    star = Star(t)
-    fact, control = f"{scratch}/fact", f"{scratch}/mark"
-    r1 = pipeline.daily_run(t, fact, control, star)
+    build_dimensions(t, scratch)
+    r1 = pipeline.daily_run(t, scratch)
     assert r1["mark"] == dt.datetime(2024, 3, 2, 10, 0)
-    assert rows(spark.read.parquet(fact), "transaction_item_id", "quantity", "gmv") == [("L1", 4, 40.0)]
-    pipeline.daily_run(t, fact, control, star)                 # re-reading the mark's rows is harmless
-    assert spark.read.parquet(fact).count() == 1
+    assert _fact(spark, scratch, "transaction_item_id", "quantity", "gmv") == [("L1", 4, 40.0)]
+    pipeline.daily_run(t, scratch)                 # re-reading the mark's rows is harmless
+    assert len(_fact(spark, scratch, "transaction_item_id")) == 1
+
+
+def test_scoped_runs_lose_no_rows(spark, scratch):
+    stores = [store("S1", country="CR"), store("S2", country="GT")]
+    feed = [feed_row("L1", "2024-03-01 10:00:00", "r1", store_id="S1"),
+            feed_row("L2", "2024-02-20 10:00:00", "r2", store_id="S2")]
+    t = tables(spark, transactions=[tx("T1")], stores=stores, feed=feed)
+    build_dimensions(t, scratch)
+    for country in ("CR", "GT"):
+        pipeline.daily_run(t, scratch, pipeline.Scope(country, F.col("country") == country))
+    assert _fact(spark, scratch, "transaction_item_id") == [("L1",), ("L2",)]
+    pipeline.daily_run(t, scratch)
+    assert _fact(spark, scratch, "transaction_item_id") == [("L1",), ("L2",)]
+    assert set(pipeline.read_marks(spark, scratch)) == {"CR", "GT", "*"}
+
+
+def test_new_customers_products_and_days_are_added_and_keys_stay(spark, scratch):
+    t = tables(spark, transactions=[tx("T5", loyal=True, customer="C5")], items=[item("L0", "T5")],
+               feed=[feed_row("L1", "2024-03-02 10:00:00", "r1", loyal=True, customer="C5")])
+    build_dimensions(t, scratch)
+    pipeline.daily_run(t, scratch)
+    key = _fact(spark, scratch, "customer_key")
+    later = tables(spark, transactions=[tx("T5", loyal=True, customer="C5")], products=[product("I1"), product("I9")],
+                   feed=[feed_row("L2", "2024-04-02 10:00:00", "r2", date="2024-04-01", item_id="I9", loyal=True, customer="C1")])
+    result = pipeline.daily_run(later, scratch)
+    assert result["added"]["dim_customer"] == 1 and result["added"]["dim_product"] == 1 and result["added"]["dim_date"] > 0
+    star = Star.from_written(later, scratch)
+    assert len(rows(star.dim_customer, "customer_key")) == len(set(rows(star.dim_customer, "customer_key"))) == 2
+    fact = spark.read.parquet(f"{scratch}/fact_sales")
+    assert rows(fact.filter("transaction_item_id = 'L1'"), "customer_key") == key
+    assert rows(star.clean_sales(fact), "transaction_item_id") == [("L1",), ("L2",)]
+
+
+def test_lines_of_unknown_products_are_held_back_and_taken_up_later(spark, scratch):
+    t = tables(spark, transactions=[tx("T1")], feed=[feed_row("L1", "2024-03-01 10:00:00", "r1", item_id="I7"),
+                                                     feed_row("L2", "2024-03-01 11:00:00", "r2")])
+    build_dimensions(t, scratch)
+    assert pipeline.daily_run(t, scratch)["held_back"] == 1
+    assert _fact(spark, scratch, "transaction_item_id") == [("L2",)]
+    known = tables(spark, transactions=[tx("T1")], products=[product("I1"), product("I7")],
+                   feed=[feed_row("L3", "2024-03-02 10:00:00", "r3")])
+    assert pipeline.daily_run(known, scratch)["held_back"] == 0
+    assert _fact(spark, scratch, "transaction_item_id") == [("L1",), ("L2",), ("L3",)]
+
+
+def test_mark_less_reads_take_the_whole_feed(spark):
+    feed = [feed_row("L1", "2023-01-01 10:00:00", "r1"), feed_row("L2", "2024-03-01 10:00:00", "r2")]
+    assert pipeline.new_since_mark(tables(spark, feed=feed)).count() == 2
+
+
+def test_search_for_earlier_versions_is_pruned_by_date(spark, scratch):
+    import contextlib
+    import io
+
+    from shelfspark.operators.upsert import searched
+    target = f"{scratch}/fact"
+    _upsert(spark, target, [("a", "2024-03-01", 1), ("b", "2024-03-09", 1)])
+    found = searched(spark.read.parquet(target), "transaction_date", D("2024-03-09"), D("2024-03-09"), 2)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        found.explain("formatted")
+    line = next(x for x in buf.getvalue().splitlines() if x.startswith("PartitionFilters:"))
+    assert "2024-03-07" in line and "2024-03-11" in line
+    assert rows(found, "transaction_item_id") == [("b",)]
+
+
+def test_reconciliation_by_date_range_and_store(spark):
+    txs = [tx("T1", date="2024-03-01", total=10.0), tx("T2", date="2024-03-05", total=20.0)]
+    t = tables(spark, txs, [item("a", "T1"), item("b", "T2")])
+    got = pipeline.gmv_reconciliation(t, first=dt.date(2024, 3, 2), last=dt.date(2024, 3, 6), store_ids=["S1"])
+    assert rows(got, "transaction_date", "gmv_reportado") == [(D("2024-03-05"), 20.0)]
+    assert pipeline.gmv_reconciliation(t, store_ids=["S9"]).count() == 0
 
 
 def test_silent_store_monitor_includes_never_reporting(spark):
@@ -101,7 +195,6 @@ def test_reconciliation_returns_in_gross_not_net(spark):
 def test_idle_items(spark):
     txs = [tx("T1", date="2024-01-01"), tx("T2", date="2024-03-10")]
     items = [item("a", "T1", "I1"), item("b", "T2", "I2")]
-    from tests.fixtures import product
     t = tables(spark, txs, items, products=[product("I1"), product("I2")], rules=Rules(run_date=dt.date(2024, 3, 11)))
     assert rows(pipeline.idle_items(t), "item_id", "dias_sin_movimiento") == [("I1", 70)]
 
@@ -111,20 +204,19 @@ def test_streaming_loader_equals_batch(spark, scratch):
     feed = [feed_row("L1", "2024-03-01 10:00:00", "r1", qty=1), feed_row("L2", "2024-03-01 11:00:00", "r2"),
             feed_row("L1", "2024-03-05 10:00:00", "r3", qty=5, date="2024-03-02")]
     t = tables(spark, feed=feed)
-    star = Star(t)
+    t.transactions = tables(spark, transactions=[tx("T1")]).transactions
+    build_dimensions(t, f"{scratch}/star")
     for i, part in enumerate([feed[:2], feed[2:]]):
         tables(spark, feed=part).item_feed.write.parquet(f"{scratch}/feed/batch={i}")
-    q = start_fact_loader(t, f"{scratch}/feed/*", f"{scratch}/fact", f"{scratch}/ckpt", star=star,
-                          max_files_per_trigger=1)
+    q = start_fact_loader(t, f"{scratch}/feed/*", f"{scratch}/star", f"{scratch}/ckpt", max_files_per_trigger=1)
     q.awaitTermination(300)
-    got = rows(spark.read.parquet(f"{scratch}/fact"), "transaction_item_id", "transaction_date", "quantity")
+    read = spark.read.schema("transaction_item_id string, quantity bigint, transaction_date date")
+    got = rows(read.parquet(f"{scratch}/star/fact_sales"), "transaction_item_id", "transaction_date", "quantity")
     assert got == [("L1", D("2024-03-02"), 5), ("L2", D("2024-03-01"), 1)]
-    assert F is not None
 
 
 def test_k_increments_equal_one_load(spark, scratch):
     """Loading the feed in three runs (by ingestion time) gives the fact of one load."""
-    from tests.fixtures import product
     feed = [feed_row("L1", "2024-03-01 10:00:00", "r1", qty=1, date="2024-03-01"),
             feed_row("L2", "2024-03-01 12:00:00", "r2", qty=2, date="2024-03-01", item_id="I2"),
             feed_row("L1", "2024-03-03 10:00:00", "r3", qty=3, date="2024-03-02"),      # moves L1 to another day
@@ -132,26 +224,22 @@ def test_k_increments_equal_one_load(spark, scratch):
             feed_row("L2", "2024-03-05 09:00:00", "r5", qty=5, date="2024-03-01", item_id="I2", status="RETURNED")]
     t = tables(spark, transactions=[tx("T1", loyal=True, customer="C1")],
                products=[product("I1"), product("I2")], feed=feed)
-    star = Star(t)
-    one_shot = rows(star.fact_from_feed(pipeline.latest_versions(t)))
-    fact, control = f"{scratch}/fact", f"{scratch}/mark"
+    one_shot = rows(Star(t).fact_from_feed(pipeline.latest_versions(t)).drop("customer_key"))
+    build_dimensions(t, scratch)
     full = t.item_feed
     for cut in ("2024-03-02", "2024-03-04", "2100-01-01"):
         t.item_feed = full.filter(F.col("ingestion_timestamp") < F.lit(cut).cast("timestamp"))
-        pipeline.daily_run(t, fact, control, star)
-    t.item_feed = full
-    cols = one_shot and list(star.fact_from_feed(pipeline.latest_versions(t)).columns)
-    loaded = rows(spark.read.parquet(fact).select(*cols))
-    assert loaded == one_shot
-    assert len(loaded) == 3
+        pipeline.daily_run(t, scratch)
+    loaded = spark.read.schema(STAR["fact_sales"]).parquet(f"{scratch}/fact_sales").drop("customer_key")
+    assert rows(loaded) == one_shot
+    assert len(one_shot) == 3
 
 
 def test_upsert_reads_only_touched_partitions(spark, scratch):
     import contextlib
     import io
     target = f"{scratch}/fact"
-    upsert_partitions(spark, target, _fact_rows(spark, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1)]),
-                      "transaction_item_id", "transaction_date")
+    _upsert(spark, target, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1)])
     from shelfspark.operators.upsert import touched_partitions
     kept = touched_partitions(spark.read.parquet(target), "transaction_date", [D("2024-03-02")])
     buf = io.StringIO()
@@ -199,11 +287,8 @@ def test_daily_run_on_a_written_star(spark, scratch):
     t = tables(spark, transactions=[tx("T1", loyal=True, customer="C1")], items=[item("L1", "T1")],
                feed=[feed_row("L2", "2024-03-02 10:00:00", "r1", qty=2, loyal=True, customer="C1")])
     build_star(t, f"{scratch}/star")
-    star = Star.from_written(t, f"{scratch}/star")
-    assert star.customer_rows == 1
-    pipeline.daily_run(t, f"{scratch}/star/fact_sales", f"{scratch}/mark", star)
-    got = rows(spark.read.parquet(f"{scratch}/star/fact_sales"), "transaction_item_id", "customer_key", "quantity")
-    assert got == [("L1", 1, 1), ("L2", 1, 2)]
+    pipeline.daily_run(t, f"{scratch}/star")
+    assert _fact(spark, f"{scratch}/star", "transaction_item_id", "customer_key", "quantity") == [("L1", 1, 1), ("L2", 1, 2)]
 
 
 def test_upsert_leaves_untouched_partitions_with_static_session_mode(spark, scratch):
@@ -211,11 +296,21 @@ def test_upsert_leaves_untouched_partitions_with_static_session_mode(spark, scra
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
     try:
         target = f"{scratch}/fact"
-        upsert_partitions(spark, target, _fact_rows(spark, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1)]),
-                          "transaction_item_id", "transaction_date")
-        upsert_partitions(spark, target, _fact_rows(spark, [("b", "2024-03-02", 2)]),
-                          "transaction_item_id", "transaction_date")
+        _upsert(spark, target, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1)])
+        _upsert(spark, target, [("b", "2024-03-02", 2)])
         assert rows(spark.read.parquet(target), "transaction_item_id", "v") == [("a", 1), ("b", 2)]
         assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    import types
+
+    import pytest
+
+    from shelfspark.session import checkpoint_dir
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default=None: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)

@@ -79,18 +79,28 @@ def test_bucketed_layout_joins_without_exchange_and_same_results(spark, tmp_path
         assert a == b
 
 
-def test_bucketing_guard_refuses_a_hot_transaction(spark, tmp_path):
+def test_layout_is_the_callers_choice(spark, tmp_path):
     from tests.fixtures import item, tables, tx
     hot = tables(spark, transactions=[tx("T1"), tx("T2")],
                  items=[item(f"a{i}", "T1") for i in range(30)] + [item("b", "T2")])
-    assert hot.heaviest_transaction_share() > 0.9
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS shelf_guard LOCATION '{tmp_path}/db'")
-    landed = hot.land_bucketed("shelf_guard", buckets=4)
-    assert spark.sql("DESCRIBE TABLE EXTENDED shelf_guard.transaction_items").filter(
+    landed = hot.land_bucketed("shelf_plain", buckets=4, location=str(tmp_path / "db"), bucketed=())
+    assert spark.sql("DESCRIBE TABLE EXTENDED shelf_plain.transaction_items").filter(
         "col_name = 'Num Buckets'").count() == 0
     assert landed.transaction_items.count() == 31
 
 
+def test_baskets_are_summed_before_they_meet_their_header(spark):
+    """B2 and B6 bring a basket of any size to the join as one row (per item)."""
+    from tests.fixtures import item, product, tables, tx
+    t = tables(spark, transactions=[tx("T1"), tx("T2")], products=[product("I1")],
+               items=[item(f"h{i}", "T1") for i in range(50)] + [item("n", "T2")])
+    for job in (reports.productivity_per_sqm, reports.promotion_impact):
+        text = job(t)._jdf.queryExecution().optimizedPlan().toString()
+        scans = text[:text.index("transaction_item_id")] if "transaction_item_id" in text else text
+        assert "Aggregate [transaction_id" in scans
+    assert reports.basket_sales(t, "item_id").count() == 2
+
+
 def test_hot_transaction_is_split_by_adaptive_skew_join(spark, tmp_path):
     """One basket holds most lines of the fact build; AQE splits its partition."""
     from pyspark.sql import functions as F

@@ -48,7 +48,6 @@ def main(sf_dir: str, names: list[str]) -> None:
     spark = local_session(cores=8, shuffle_partitions=16)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     t = RawTables.from_driver(spark, sf_dir).land(tempfile.mkdtemp(prefix="explain-", dir="/tmp"))
-    t.dim_rows()
     print("| job | shuffles | broadcasts | sort-merge joins | windows | row-level single-partition exchanges |")
     print("|---|---|---|---|---|---|")
     for name in names or list(JOBS):

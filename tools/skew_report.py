@@ -41,7 +41,6 @@ def main(sf_dir: str, scratch: str, names: list[str]) -> None:
                                       # many map tasks, as input splits would be at scale
                                       "spark.sql.files.maxPartitionBytes": "256k"})
     t = RawTables.from_driver(spark, sf_dir).land(f"{scratch}/raw")
-    t.dim_rows()
     sc = spark.sparkContext
     for name in names or list(JOBS):
         sc.setJobDescription(name)
