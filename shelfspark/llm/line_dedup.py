@@ -20,11 +20,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Scratch, arrow_schema, read_table, slices, written
+from shelfspark.llm.common import arrow_schema, read_table, slices, written
+from shelfspark.session import Scratch
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -32,7 +34,6 @@ FANOUT = 2
 #: The id under which rows without one are kept.
 LAST_ID = (1 << 63) - 1
 BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COLUMNS = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
@@ -40,12 +41,31 @@ def owner_id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
 
 
+def line_key(line: str) -> bytes:
+    """What makes two lines the same: blanks stripped at both ends, A-Z lower-cased."""
+    return line.strip(BLANKS).encode().lower()  # bytes.lower() touches A-Z only
+
+
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(h1, h2, doc, pos)`` of every line whose key is long enough."""
-    lines = docs.select(owner_id().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    key = F.translate(F.btrim("line", F.lit(BLANKS)), UPPER, LOWER)
-    return (lines.select("doc", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
-            .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos"))
+    """``(h1, h2, doc, pos)`` of every line whose key is long enough: the key's 128-bit hash, the owner, the line's number."""
+    ddl = "h1 long, h2 long, doc long, pos int"
+    schema = arrow_schema(ddl)
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch):
+                doc, pos, hashes = [], [], []
+                for owner, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                    for i, line in enumerate((text or "").split("\n")):
+                        if len(line) >= min_chars and len(line.strip(BLANKS)) >= min_chars:
+                            doc.append(owner)
+                            pos.append(i)
+                            hashes.append(hashlib.blake2b(line_key(line), digest_size=16).digest())
+                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])),
+                                                  pa.array(doc, pa.int64()), pa.array(pos, pa.int32())], schema=schema)
+
+    return docs.select(owner_id().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(scan, ddl)
 
 
 class LineRuns:
@@ -57,33 +77,32 @@ class LineRuns:
         self.levels: list[list[str]] = []
         self.scratch = Scratch(spark)
 
-    def _write(self, keys: DataFrame) -> str:
+    def _run(self, keys: DataFrame) -> str:
         """A run: one file per bucket, sorted by hash."""
-        return self.scratch.keep(keys.select("h1", "h2").repartition(self.buckets, "h1", "h2"), self.buckets, ("h1", "h2"))
+        return self.scratch.keep(keys, self.buckets, ("h1", "h2"))
 
     def add(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         """``(doc, dropped array<int>)``: line numbers that the batch's documents lose, written to the shared folder."""
         lines = line_keys(docs, min_chars)
-        fresh = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        keys = self.scratch.kept(fresh.repartition(self.buckets, "h1", "h2"))
-        old = None
-        for run in [r for level in self.levels for r in level]:
-            seen = keys.join(self.spark.table(run).hint("merge"), ["h1", "h2"], "left_semi").select("h1", "h2")
-            old = seen if old is None else old.unionAll(seen)
-        new, losing = keys, keys.where("first < last").select("h1", "h2", "first")
-        if old is not None:  # a key is new in one batch only, so the runs hold it once
-            for run in [r for level in self.levels for r in level]:
-                new = new.join(self.spark.table(run).hint("merge"), ["h1", "h2"], "left_anti")
-            new = self.scratch.kept(new)
-            losing = (new.where("first < last").select("h1", "h2", "first")
-                      .unionAll(old.select("h1", "h2", F.lit(None).cast("long").alias("first"))))
-        lost = lines.join(losing, ["h1", "h2"]).where("first IS NULL OR doc > first")
+        batch = self._run(lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+        keys, runs = self.spark.table(batch), [self.spark.table(r) for level in self.levels for r in level]
+        # Keys of earlier batches lose all their lines (no first owner here), new ones all but the first owner's.
+        new, losing = keys, None
+        for run in runs:
+            old = keys.join(run.hint("merge"), ["h1", "h2"], "left_semi").select("h1", "h2", F.lit(None).cast("long").alias("first"))
+            losing = old if losing is None else losing.unionAll(old)
+            new = new.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        repeated = new.where("first < last").select("h1", "h2", "first")
+        losing = repeated if losing is None else losing.unionAll(repeated)
+        lost = lines.join(losing.hint("merge"), ["h1", "h2"]).where("first IS NULL OR doc > first")
         lost = written(lost.groupBy("doc").agg(F.collect_list("pos").alias("dropped")), "lines-lost")
-        self._store(new)
+        self._store(self._run(new.select("h1", "h2")))
+        self.scratch.drop(batch)
         return lost
 
-    def _store(self, new: DataFrame) -> None:
-        name, level = self._write(new), 0
+    def _store(self, name: str) -> None:
+        """The run goes to level 0; a full level is compacted into one run of the next."""
+        level = 0
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
@@ -94,7 +113,7 @@ class LineRuns:
             for run in self.levels[level]:
                 t = self.spark.table(run)
                 merged = t if merged is None else merged.unionAll(t)
-            name = self._write(merged)
+            name = self._run(merged.repartition(self.buckets, "h1", "h2"))
             for run in self.levels[level]:
                 self.scratch.drop(run)
             self.levels[level] = []
@@ -133,7 +152,7 @@ def _with_lost(docs: DataFrame, **how) -> DataFrame:
     lost = lost_lines(docs, **how)
     key, dropped = f"doc_{uuid.uuid4().hex}", f"dropped_{uuid.uuid4().hex}"
     lost = lost.select(F.col("doc").alias(key), F.col("dropped").alias(dropped))
-    return docs.join(lost, owner_id() == F.col(key), "left").drop(key)
+    return docs.join(lost.hint("merge"), owner_id() == F.col(key), "left").drop(key)  # alike at every size
 
 
 def kept_lines(text: str | None, dropped: list[int] | None) -> tuple[list[str], int]:
