@@ -86,32 +86,17 @@ def written(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Scratch:
-    """A database of intermediate tables inside the shared checkpoint folder; ``drop`` and ``close`` delete their files."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.name, self.made = spark, f"scratch_{uuid.uuid4().hex[:12]}", 0
-        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{scratch_path(spark, self.name)}'")
-
-    def keep(self, df: DataFrame, buckets: int = 0, by: tuple[str, ...] = ()) -> str:
-        """Writes ``df`` as a table, bucketed and sorted if asked for, and returns its name."""
-        self.made += 1
-        name = f"{self.name}.t{self.made}"
-        writer = df.write.format("parquet")
-        if buckets:
-            writer = writer.bucketBy(buckets, *by).sortBy(*by)
-        writer.saveAsTable(name)
-        return name
-
-    def kept(self, df: DataFrame) -> DataFrame:
-        """``df`` read back from a table of this database."""
-        return self.spark.table(self.keep(df))
-
-    def drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-    def close(self) -> None:
-        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, at most ``size``: whole bins of a log scale from the top.
+
+    The driver sees a few hundred bins; ``counts`` is read twice and should be a written table."""
+    bin_ = F.floor(F.log2("n") * 16).cast("int")
+    least, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r["bin"]):
+        if held + r["rows"] > size:
+            break
+        least, held = r["bin"], held + r["rows"]
+    return counts.where(bin_ >= least)
 
 
 def tokenizer_path(name: str) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Scratch, written
+from shelfspark.llm.common import written
+from shelfspark.session import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
