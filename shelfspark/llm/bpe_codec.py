@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.bpe import Bpe, bpe_of, read_spec
-from shelfspark.llm.common import arrow_schema, id_and_text, map_texts, read_table, slices, tokenizer_path
+from shelfspark.llm.common import arrow_schema, id_and_text, map_texts, most_frequent, read_table, slices, tokenizer_path, written
 
 #: Words in the lexicon (a few MB of automaton); the rest is merged.
 LEXICON_WORDS = 1 << 16
@@ -196,10 +196,10 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, spec: str, size: int = LEXICON_WORDS) -> bytes:
-    """The compiled automaton of the ``size`` most frequent pre-tokens (ties: smaller bytes first) seen more than once."""
+    """The compiled automaton of the most frequent pre-tokens seen more than once, at most ``size``."""
     bpe = bpe_of(spec)
-    frequent = (word_counts(docs, spec).where((F.col("n") > 1) & (F.length("word") <= 64))
-                .orderBy(F.desc("n"), "word").limit(size).select("word").collect())  # bounded by the lexicon's size
+    counts = written(word_counts(docs, spec).where((F.col("n") > 1) & (F.length("word") <= 64)), "word-counts")
+    frequent = most_frequent(counts, size).select("word").collect()  # at most ``size`` words
     return Transducer.compile({bytes(r[0]): bpe.merge(bytes(r[0]).decode()) for r in frequent}).dump()
 
 
