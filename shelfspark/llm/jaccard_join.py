@@ -37,19 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Scratch, arrow_schema, id_and_text, read_table, slices, written
+from shelfspark.llm.common import arrow_schema, id_and_text, map_texts, most_frequent, read_table, slices, written
 from shelfspark.llm.graph import components
 from shelfspark.llm.words import NOT_BLANK, Words, mixed
+from shelfspark.session import Scratch
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Documents from which on a token counts as frequent; only the order depends on it, never the result.
-FREQUENT = 48
+FREQUENT = 32
 #: Frequent tokens that are broadcast (8 bytes each), the most frequent first; the rest are ordered as rare.
 FREQUENT_TOKENS = 1 << 20
-#: Tokens a task gathers before it counts them, and the count from which on it reports a token.
-GATHERED, REPORTED = 1 << 22, 4
+#: Bytes of tokens that a counting task takes, about.
+BUCKET_BYTES = 32 << 20
 PART = 4
 #: Members verified with one set in one group.
 GROUP = 512
@@ -90,20 +91,21 @@ def part_counts(n: int, percent: int) -> list[int]:
     return [1 << k for k in range(low.bit_length() - 1, high.bit_length())]
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a sorted set; ``frequent`` is the sorted array of frequent tokens."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, buckets: int) -> tuple[np.ndarray, bool]:
+    """The signatures of a sorted set, and whether its prefix holds rare tokens only; ``frequent`` holds sorted keys."""
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, True
     errors = n - needed(n, percent)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
+        keys = token_keys(tokens, buckets)
+        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+        often = frequent[at] == keys
         rare, common = tokens[~often], tokens[often]
     else:
         rare, common = tokens, tokens[:0]
     if len(rare) > errors:
-        return rare[:errors + 1]
+        return rare[:errors + 1], True
     out, short = [rare], errors + 1 - len(rare)
     for parts in part_counts(n, percent):
         part = (common >> np.uint64(7)) % np.uint64(parts)
@@ -124,47 +126,58 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             inside = prefix[part == p]
             a, b = np.triu_indices(len(inside), 1)
             out.append(mixed(inside[a] * np.uint64(3) + mixed(inside[b] ^ salt)))
-    return np.concatenate(out)
+    return np.concatenate(out), False
 
 
-SCAN = "kind int, doc_id long, n long, d1 long, d2 long, token long"
+def token_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """What tokens are counted by: a bucket of their upper half, and their lower half."""
+    return (tokens >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | tokens & np.uint64(0xFFFFFFFF)
 
 
-def scanned(docs: DataFrame, size: int) -> DataFrame:
-    """Per document its set's size and digest (kind 0), and the tokens a task saw often with their counts (kind 1)."""
-    schema = arrow_schema(SCAN)
+def frequent_keys(docs: DataFrame, size: int, buckets: int) -> DataFrame:
+    """``(key, n)`` of the tokens that at least ``FREQUENT`` documents hold, counted over all documents.
 
-    def batch_of(kind, rows):
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+    Tokens cross the shuffle as four bytes each, packed by bucket."""
+    blob_ddl, rows_ddl = "bucket int, lower binary", "key long, n long"
+    blob, rows = arrow_schema(blob_ddl), arrow_schema(rows_ddl)
 
     def scan(batches):
-        held, gathered = [], 0
-
-        def often():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            tokens, counts = tokens[counts >= REPORTED], counts[counts >= REPORTED]
-            return batch_of(1, [(None, n, None, None, t) for t, n in zip(tokens.view(np.int64).tolist(), counts.tolist())])
-
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
-                yield batch_of(0, [(d, len(s), *digest(s), None) for d, s in zip(part.column("doc_id").to_pylist(), sets)])
-                held += sets
-                gathered += sum(map(len, sets))
-                if gathered > GATHERED:
-                    yield often()
-                    held, gathered = [], 0
-        if gathered:
-            yield often()
+                keys = np.sort(token_keys(np.concatenate(sets), buckets)) if sets else np.zeros(0, np.uint64)
+                ends = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(ends))
+                lower = keys.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([lower[ends[b]:ends[b + 1]].tobytes() for b in used.tolist()], pa.binary())],
+                                                 schema=blob)
+
+    def count(table: pa.Table) -> pa.Table:
+        lower, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("lower").to_pylist()]), return_counts=True)
+        often = n >= FREQUENT
+        key = lower[often].astype(np.int64) | table.column("bucket")[0].as_py() << 32
+        return pa.Table.from_arrays([pa.array(key), pa.array(n[often], pa.int64())], schema=rows)
+
+    return id_and_text(docs).mapInArrow(scan, blob_ddl).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, rows_ddl)
+
+
+SCAN = "doc_id long, n long, d1 long, d2 long"
+
+
+def scanned(docs: DataFrame, size: int) -> DataFrame:
+    """Per document its set's size and digest."""
+    def per_slice(ids, texts):
+        sets = shingle_sets([(t or "").encode() for t in texts], size)
+        found = [digest(s) for s in sets]
+        return {"doc_id": ids, "n": [len(s) for s in sets], "d1": [d for d, _ in found], "d2": [d for _, d in found]}
 
-    return id_and_text(docs).mapInArrow(scan, SCAN)
+    return map_texts(docs, per_slice, SCAN)
 
 
-def shared_signatures(docs: DataFrame, frequent, size: int, percent: int, buckets: int) -> DataFrame:
-    """``(sig, doc_id, d1)`` for every signature that documents of different sets share."""
-    blob = arrow_schema("bucket int, sigs binary, at binary, ids binary, digests binary")
-    rows = arrow_schema("sig long, doc_id long, d1 long")
+def shared_signatures(docs: DataFrame, frequent, size: int, buckets: int) -> DataFrame:
+    """``(sig, doc_id, d1, plain)`` for every signature that documents of different sets share; plain: the prefix is all rare."""
+    blob_ddl, rows_ddl = "bucket int, sigs binary, at binary, ids binary, digests binary, plain binary", "sig long, doc_id long, d1 long, plain boolean"
+    blob, rows = arrow_schema(blob_ddl), arrow_schema(rows_ddl)
 
     def scan(batches):
         seen: set[tuple[int, int]] = set()
@@ -178,8 +191,9 @@ def shared_signatures(docs: DataFrame, frequent, size: int, percent: int, bucket
                     if len(seen) > 1 << 20:
                         seen.clear()
                     seen.add(key)
-                    ids.append((doc, key[0]))
-                    sigs.append(np.unique(signatures(tokens, frequent.value, percent)))
+                    mine, plain = signatures(tokens, *frequent.value)
+                    ids.append((doc, key[0], plain))
+                    sigs.append(np.unique(mine))
                 if not ids:
                     continue
                 at = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(s) for s in sigs])
@@ -189,35 +203,52 @@ def shared_signatures(docs: DataFrame, frequent, size: int, percent: int, bucket
                 flat, at = flat[order], at[order]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 ids = np.array(ids, np.int64)
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for b in range(buckets):
                     if ends[b] < ends[b + 1]:
                         mine = at[ends[b]:ends[b + 1]]
                         used, local = np.unique(mine, return_inverse=True)
                         for column, value in zip(out, (b, flat[ends[b]:ends[b + 1]].tobytes(), local.astype(np.uint32).tobytes(),
-                                                       ids[used, 0].tobytes(), ids[used, 1].tobytes())):
+                                                       ids[used, 0].tobytes(), ids[used, 1].tobytes(), ids[used, 2].astype(bool).tobytes())):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, blob)], schema=blob)
 
     def match(table: pa.Table) -> pa.Table:
-        sigs, docs_, digests = [], [], []
-        for s, a, i, d in zip(*(table.column(c).to_pylist() for c in ("sigs", "at", "ids", "digests"))):
+        sigs, docs_, digests, plain = [], [], [], []
+        for s, a, i, d, p in zip(*(table.column(c).to_pylist() for c in ("sigs", "at", "ids", "digests", "plain"))):
             at = np.frombuffer(a, np.uint32)
             sigs.append(np.frombuffer(s, np.uint64))
             docs_.append(np.frombuffer(i, np.int64)[at])
             digests.append(np.frombuffer(d, np.int64)[at])
-        sigs, docs_, digests = map(np.concatenate, (sigs, docs_, digests))
+            plain.append(np.frombuffer(p, bool)[at])
+        sigs, docs_, digests, plain = map(np.concatenate, (sigs, docs_, digests, plain))
         order = np.argsort(sigs, kind="stable")
-        sigs, docs_, digests = sigs[order], docs_[order], digests[order]
+        sigs, docs_, digests, plain = sigs[order], docs_[order], digests[order], plain[order]
         starts = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sigs))))
         differs = np.zeros(len(starts), bool)
         differs[group[digests != digests[starts][group]]] = True
         keep = differs[group]
-        return pa.Table.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(docs_[keep]), pa.array(digests[keep])], schema=rows)
+        return pa.Table.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(docs_[keep]), pa.array(digests[keep]), pa.array(plain[keep])], schema=rows)
+
+    return (id_and_text(docs).mapInArrow(scan, blob_ddl)
+            .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match, rows_ddl))
+
 
-    return (id_and_text(docs).mapInArrow(scan, "bucket int, sigs binary, at binary, ids binary, digests binary")
-            .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match, "sig long, doc_id long, d1 long"))
+def alike_enough(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose shared signatures leave a link possible.
+
+    Between two sets with prefixes of rare tokens, common tokens outside both
+    prefixes are at most the larger set's tokens behind its prefix (one less than
+    it needs), so the others must be shared signatures.
+    """
+    def side(x: str) -> DataFrame:
+        return lists.select(F.col("rep").alias(x), F.col("d1").alias(f"{x}1"), F.col("sigs").alias(f"sigs_{x}"), F.col("plain").alias(f"plain_{x}"))
+
+    total = F.ceil((F.col("m") + F.col("n")) * percent / (100 + percent))
+    behind = F.ceil(F.greatest("m", "n") * percent / 100) - 1
+    possible = ~(F.col("plain_a") & F.col("plain_b")) | (F.size(F.array_intersect("sigs_a", "sigs_b")) >= total - behind)
+    return pairs.join(side("a"), ["a", "a1"]).join(side("b"), ["b", "b1"]).where(possible).select("a", "a1", "b", "b1")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -262,33 +293,44 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return texts.mapInArrow(sets, out).groupBy("a", "a1", "part").applyInArrow(check, "a long, b long")
 
 
+def one_per_group(now: DataFrame) -> DataFrame:
+    """Of the signatures whose sets are in several components, one for each different list of sets (told apart by two hash sums)."""
+    def summed(seed: int) -> F.Column:
+        return F.sum(F.xxhash64(F.lit(seed), "rep", "d1").cast("decimal(38,0)"))
+
+    lists = now.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size"),
+                                   summed(1).alias("s1"), summed(2).alias("s2")).where("c0 < c1")
+    return lists.groupBy("size", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig")
+
+
 def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``."""
     spark = docs.sparkSession
-    found = written(scanned(docs, size), "shingle-scan")
-    rows = found.where("kind = 0").select("doc_id", "n", "d1", "d2")
-    often = (found.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-             .orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).select("token").collect())  # 8 MB at most
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
+    total = id_and_text(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffle, int(total) // BUCKET_BYTES)  # a word has about six bytes, a token takes four
+    often = most_frequent(written(frequent_keys(docs, size, buckets), "shingle-counts"), FREQUENT_TOKENS).select("key").collect()  # 8 MB at most
+    frequent = spark.sparkContext.broadcast((np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)), percent, buckets))
+    rows = written(scanned(docs, size), "shingle-scan")
     linked = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.3 * 12) >> 25)
 
     scratch = Scratch(spark)
     try:
         ids = linked.select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).select("doc_id", "d1", "rep", "n")
-        shared = shared_signatures(docs, frequent, size, percent, buckets)
-        member = scratch.kept(shared.join(ids, ["doc_id", "d1"]).groupBy("sig", "rep", "d1").agg(F.first("n").alias("n")))
-        links, tried = None, None
-        component = None
+        shared = shared_signatures(docs, frequent, size, buckets)
+        member = scratch.kept(shared.join(ids, ["doc_id", "d1"]).groupBy("sig", "rep", "d1")
+                              .agg(F.first("n").alias("n"), F.first("plain").alias("plain")))
+        lists = scratch.kept(member.groupBy("rep", "d1").agg(F.collect_list("sig").alias("sigs"), F.first("plain").alias("plain")))
+        member = member.drop("plain")
+        links, tried, component = None, None, None
         for step in range(3):
             if component is None:
                 now = member.withColumn("c", F.col("rep"))
             else:
                 now = (member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
                        .select("sig", "rep", "d1", "n", F.coalesce("component", "rep").alias("c")))
-                now = now.join(now.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig"), "sig")
+                now = scratch.kept(now.join(one_per_group(now), "sig"))
             if step < 2:
                 head = now.groupBy("sig").agg(F.min_by(F.struct("rep", "d1", "n", "c"), "rep").alias("h"))
                 pairs = now.join(head, "sig").select(F.col("h.rep").alias("a"), F.col("h.d1").alias("a1"), F.col("h.n").alias("m"),
@@ -297,19 +339,19 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
                 other = now.select("sig", F.col("rep").alias("a"), F.col("d1").alias("a1"), F.col("n").alias("m"), F.col("c").alias("ca"))
                 pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c"), "sig")
             fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("c")) & fits).select("a", "a1", "b", "b1")
-            if step == 0:
-                pairs = pairs.groupBy("b", "b1").agg(F.min(F.struct("a", "a1")).alias("h")).select("h.a", "h.a1", "b", "b1")
+            pairs = (pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("c")) & fits)
+                     .groupBy("a", "a1", "m", "b", "b1", "n").agg(F.count(F.lit(1)).alias("common")))
+            if step == 0:  # for each set the one it shares most with
+                best = F.max_by(F.struct("a", "a1", "m", "n"), F.struct("common", -F.col("a"))).alias("h")
+                pairs = pairs.groupBy("b", "b1").agg(best).select("h.a", "h.a1", "h.m", "h.n", "b", "b1")
             else:
-                pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = scratch.kept(pairs)
+                pairs = pairs.join(tried, ["a", "a1", "b", "b1"], "left_anti")
+            pairs = scratch.kept(alike_enough(pairs, lists, percent))
+            tried = pairs if tried is None else tried.unionAll(pairs)
             if pairs.isEmpty():
-                if step:
-                    break
                 continue
             good = scratch.kept(verified(docs, pairs, size, percent))
             links = good if links is None else links.unionAll(good)
-            tried = pairs.select("a", "b") if tried is None else tried.unionAll(pairs.select("a", "b"))
             component = components(links)
         out = rows.join(classes.drop("n"), ["d1", "d2"], "left")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
