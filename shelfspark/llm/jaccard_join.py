@@ -13,11 +13,13 @@ that a partner's size allows, so both sides deal alike.
 
 Equal sets form classes first. Signatures go by hash to buckets, where those
 that two sets share are kept. Candidates are then verified on the exact sets in
-rounds: first every set with the smallest set it shares a signature with; then,
-only for signatures whose sets are not yet in one component, the smallest set
-with all others, and at last all pairs that are in different components. Sets
-already connected need no further check, so the components are exact and a large
-group of copies costs one check per set.
+rounds. A signature's head is the set with most shared signatures: the original
+of edited copies rather than one of them. First every set meets the head it
+shares most with; then, only for signatures whose sets are not yet in one
+component, the head meets all others, then the smallest set does, and at last
+all pairs that are in different components meet. Sets already connected need no
+further check, so the components are exact and a large group of copies costs
+one check per set.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer words
 than ``size`` is one shingle. Null and wordless texts have an empty set and link
@@ -319,27 +321,28 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
     try:
         ids = linked.select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).select("doc_id", "d1", "rep", "n")
         shared = shared_signatures(docs, frequent, size, buckets)
-        member = scratch.kept(shared.join(ids, ["doc_id", "d1"]).groupBy("sig", "rep", "d1")
-                              .agg(F.first("n").alias("n"), F.first("plain").alias("plain")))
-        lists = scratch.kept(member.groupBy("rep", "d1").agg(F.collect_list("sig").alias("sigs"), F.first("plain").alias("plain")))
-        member = member.drop("plain")
+        lists = scratch.kept(shared.join(ids, ["doc_id", "d1"]).groupBy("rep", "d1").agg(
+            F.collect_set("sig").alias("sigs"), F.first("n").alias("n"), F.first("plain").alias("plain")))
+        member = lists.select("rep", "d1", "n", F.size("sigs").alias("weight"), F.explode("sigs").alias("sig"))
         links, tried, component = None, None, None
-        for step in range(3):
+        for step in range(4):
             if component is None:
                 now = member.withColumn("c", F.col("rep"))
             else:
                 now = (member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
-                       .select("sig", "rep", "d1", "n", F.coalesce("component", "rep").alias("c")))
+                       .select("sig", "rep", "d1", "n", "weight", F.coalesce("component", "rep").alias("c")))
                 now = scratch.kept(now.join(one_per_group(now), "sig"))
-            if step < 2:
-                head = now.groupBy("sig").agg(F.min_by(F.struct("rep", "d1", "n", "c"), "rep").alias("h"))
+            if step < 3:
+                first = F.struct(F.lit(0).alias("weight") if step == 2 else -F.col("weight"), F.col("rep"))
+                head = now.groupBy("sig").agg(F.min_by(F.struct("rep", "d1", "n", "c"), first).alias("h"))
                 pairs = now.join(head, "sig").select(F.col("h.rep").alias("a"), F.col("h.d1").alias("a1"), F.col("h.n").alias("m"),
                                                      F.col("h.c").alias("ca"), F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c")
             else:
                 other = now.select("sig", F.col("rep").alias("a"), F.col("d1").alias("a1"), F.col("n").alias("m"), F.col("c").alias("ca"))
                 pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c"), "sig")
             fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-            pairs = (pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("c")) & fits)
+            once = F.col("a") < F.col("b") if step == 3 else F.col("a") != F.col("b")
+            pairs = (pairs.where(once & (F.col("ca") != F.col("c")) & fits)
                      .groupBy("a", "a1", "m", "b", "b1", "n").agg(F.count(F.lit(1)).alias("common")))
             if step == 0:  # for each set the one it shares most with
                 best = F.max_by(F.struct("a", "a1", "m", "n"), F.struct("common", -F.col("a"))).alias("h")
