@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -174,6 +175,18 @@ def test_scans_are_linear_on_runs():
         pii.proposals(unit * 20_000)
 
 
+def test_numbers_in_many_groups_are_found_whole():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    texts = [d["text"] for d in docs if d["text"] and re.search("[0-9@]", d["text"])]
+    model = pii.PiiModel(sorted(r for t in texts for r in pii.training_rows(t)))
+    for number, kind in (("00 33 1 23 45 67 89 01", pii.PHONE), ("00 49 3 01 23 45 67", pii.PHONE), ("41. 11. 11. 11. 11. 11. 11. 11", pii.CARD),
+                         ("41/ 11/ 11/ 11/ 11/ 11/ 11/ 11", pii.CARD)):
+        text = f"call or pay {number} today"
+        span = (12, kind, 12 + len(number))
+        assert span in pii.proposals(text), number
+        assert pii.find([text], model)[0][1] == [span], number
+
+
 def test_model_adds_spelled_out_addresses_and_keeps_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = pii.train(docs)
