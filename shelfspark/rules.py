@@ -52,7 +52,7 @@ class Rules:
     late_window_days: int = 2
     silent_store_days: int = 2
     idle_item_days: int = 30
-    correction_days: int = 2                     # a correction moves a sale by at most so many days
+    correction_days: int | None = None           # None: a correction may move a sale to any date
 
 
 DEFAULT_RULES = Rules()

@@ -95,6 +95,23 @@ def test_daily_run_advances_mark_and_loads_fact(spark, scratch):
     assert len(_fact(spark, scratch, "transaction_item_id")) == 1
 
 
+def test_a_correction_by_weeks_replaces_the_earlier_version(spark, scratch):
+    """Moved far away, and an older version that arrives after the newer one for a far date."""
+    runs = [[feed_row("L1", "2024-03-01 10:00:00", "r1", qty=1, date="2024-03-01"),
+             feed_row("L2", "2024-03-20 10:00:00", "r4", qty=4, date="2024-03-20")],
+            [feed_row("L1", "2024-03-09 10:00:00", "r2", qty=2, date="2024-03-08"),
+             feed_row("L2", "2024-03-02 10:00:00", "r3", qty=3, date="2024-03-02")]]
+    t = tables(spark, transactions=[tx("T1")], feed=runs[0] + runs[1])
+    one_shot = Star(t).fact_from_feed(pipeline.latest_versions(t))
+    build_dimensions(t, scratch)
+    for part in runs:
+        pipeline.apply_increment(t, scratch, tables(spark, feed=part).item_feed)
+    loaded = spark.read.schema(STAR["fact_sales"]).parquet(f"{scratch}/fact_sales")
+    assert rows(loaded, "transaction_item_id", "transaction_date", "quantity") == \
+        [("L1", D("2024-03-08"), 2), ("L2", D("2024-03-20"), 4)]
+    assert rows(loaded, *one_shot.columns) == rows(one_shot)
+
+
 def test_scoped_runs_lose_no_rows(spark, scratch):
     stores = [store("S1", country="CR"), store("S2", country="GT")]
     feed = [feed_row("L1", "2024-03-01 10:00:00", "r1", store_id="S1"),
