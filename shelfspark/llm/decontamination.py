@@ -120,31 +120,66 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, remove: str = "documents") -> DataFrame:
-    """``docs`` with all columns, without contaminated documents, or with the covered spans cut out of ``text``."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, remove: str = "documents", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all columns, without contaminated documents, or with the covered spans cut out of ``text``.
+
+    Spans are marked by every block on the unchanged text and cut once at the end."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    schema = None
-    for block in blocks(benchmark, size, BLOCK_BYTES):
-        if schema is not None:
-            docs = written(docs, "decontamination-pass")
-        schema = arrow_schema(docs.schema)
-        docs = docs.mapInArrow(_removal(block, schema, remove), docs.schema)
-    return docs
+    out, hit = docs, "hit"
+    while hit in map(str.lower, docs.columns):
+        hit = f"_{hit}"
+    if remove == "spans":
+        out = docs.withColumn(hit, F.lit(None).cast("binary"))
+    step = _dropping if remove == "documents" else _marking
+    for k, block in enumerate(blocks(benchmark, size, block_bytes)):
+        if k:
+            out = written(out, "decontamination-pass")
+        out = out.mapInArrow(step(block, arrow_schema(out.schema), hit), out.schema)
+    return out if remove == "documents" else out.mapInArrow(_cutting(arrow_schema(docs.schema), hit), docs.schema)
 
 
-def _removal(block, schema: pa.Schema, remove: str):
-    at = schema.get_field_index("text")
+def _dropping(block, schema: pa.Schema, hit: str):
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                words, covered, _ = block.value.scan([(t or "").encode() for t in texts])
+                bad = np.bincount(words.text[covered], minlength=len(texts)) > 0
+                yield part.filter(pa.array(~bad))
+
+    return scan
+
+
+def _marking(block, schema: pa.Schema, hit: str):
+    """Adds the words that the block covers to the marks in column ``hit``, a byte per word."""
+    at = schema.get_field_index(hit)
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(at).to_pylist()
+                texts = part.column("text").to_pylist()
                 words, covered, _ = block.value.scan([(t or "").encode() for t in texts])
-                if remove == "documents":
-                    bad = np.bincount(words.text[covered], minlength=len(texts)) > 0
-                    yield part.filter(pa.array(~bad))
-                    continue
+                count = np.bincount(words.text, minlength=len(texts))
+                hits = [c.astype(np.uint8) for c in np.split(covered, np.cumsum(count)[:-1])]
+                for new, before in zip(hits, part.column(at).to_pylist()):
+                    if before is not None:
+                        new |= np.frombuffer(before, np.uint8)
+                yield part.set_column(at, schema.field(at), pa.array([h.tobytes() for h in hits], pa.binary()))
+
+    return scan
+
+
+def _cutting(schema: pa.Schema, hit: str):
+    """Cuts the runs of marked words out of the texts; the marks themselves go."""
+    at = schema.get_field_index("text")
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                words = Words([(t or "").encode() for t in texts], ALPHANUMERIC)
+                covered = np.frombuffer(b"".join(part.column(hit).to_pylist()), np.uint8) > 0
                 edges = np.flatnonzero(np.diff(covered, prepend=False, append=False))
                 spans = defaultdict(list)
                 for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -159,6 +194,7 @@ def _removal(block, schema: pa.Schema, remove: str):
                         kept.append(raw[done:a])
                         done = b
                     texts[t] = (b"".join(kept) + raw[done:]).decode()
+                part = part.drop_columns([hit])
                 yield part.set_column(at, schema.field(at), pa.array(texts, schema.field(at).type))
 
     return scan

@@ -226,3 +226,15 @@ def test_pass_through_keeps_clashing_columns(spark):
     bench = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
     assert decontamination.decontaminate(docs, bench).first() == docs.first()
     assert hashlib.sha256(b"").hexdigest() == sha("")
+def test_spans_are_cut_alike_whatever_the_block_size(spark):
+    """Overlapping windows of several items, and clean words that only a cut would make neighbours."""
+    w = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([w[5:17], w[12:24], w[14:26], w[:5] + w[26:32], ["left", "right"]])],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(w), 7), (1, "left " + " ".join(w[5:17]) + " right", 8), (None, None, 9)], SCHEMA + ", hit int")
+    want = [(1, " ".join(w[:5]) + "  " + " ".join(w[26:]), 7), (1, "left  right", 8), (None, None, 9)]
+    for block in (decontamination.BLOCK_BYTES, 60):
+        got = decontamination.decontaminate(docs, bench, remove="spans", block_bytes=block)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want, block
+
+
