@@ -201,6 +201,17 @@ def test_model_adds_spelled_out_addresses_and_keeps_base(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_training_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "PiiModel", seen.append)
+    for first, texts in ((None, [f"mail a{i}@b.com" for i in range(300)]), (None, ["mail a@b.com"] * 300), (0, [f"mail a{i}@b.com" for i in range(300)])):
+        docs = spark.createDataFrame([(first if first is None else i, t) for i, t in enumerate(texts)], SCHEMA)
+        pii.train(docs, sample_docs=20)
+    per_text = len(pii.training_rows("mail a1@b.com"))
+    spread, copies, distinct = (len(rows) / per_text for rows in seen)
+    assert 0 < spread <= 40 and copies <= 40 and 0 < distinct <= 40
+
+
 # -- decontamination -----------------------------------------------------------------
 
 def test_windows_short_items_blocks_and_removal(spark):
@@ -221,11 +232,6 @@ def test_windows_short_items_blocks_and_removal(spark):
     assert not any(r.contaminated for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
 
-def test_pass_through_keeps_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a b", 7, "x", None)], SCHEMA + ", n_hit int, words string, lang string")
-    bench = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
-    assert decontamination.decontaminate(docs, bench).first() == docs.first()
-    assert hashlib.sha256(b"").hexdigest() == sha("")
 def test_spans_are_cut_alike_whatever_the_block_size(spark):
     """Overlapping windows of several items, and clean words that only a cut would make neighbours."""
     w = [f"w{i}" for i in range(40)]
@@ -238,3 +244,8 @@ def test_spans_are_cut_alike_whatever_the_block_size(spark):
         assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want, block
 
 
+def test_pass_through_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x", None)], SCHEMA + ", n_hit int, words string, lang string")
+    bench = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
+    assert decontamination.decontaminate(docs, bench).first() == docs.first()
+    assert hashlib.sha256(b"").hexdigest() == sha("")
