@@ -131,7 +131,8 @@ def gather(data: np.ndarray, bounds: np.ndarray, form: np.ndarray) -> tuple[np.n
     owner = np.searchsorted(bounds, at, side="right") - 1
     real = (form[owner] != PLAIN) if len(at) else np.zeros(0, bool)
     at, kind, owner = at[real], kind[real], owner[real]
-    starts, sources = [text_bounds[:-1][form == PLAIN]], [bounds[:-1][form == PLAIN]]
+    whole = (form == PLAIN) & (np.diff(bounds) > 0)
+    starts, sources = [text_bounds[:-1][whole]], [bounds[:-1][whole]]
     if len(moved):
         if len(at) != 3 * len(moved) or (owner != np.repeat(moved, 3)).any():
             raise ValueError("an output does not hold its three marks")
@@ -140,8 +141,9 @@ def gather(data: np.ndarray, bounds: np.ndarray, form: np.ndarray) -> tuple[np.n
         part = np.array([0, 2, 1])[kind.reshape(-1, 3)]
         order = np.argsort(part, axis=1)
         begin, size = (np.take_along_axis(x, order, 1) for x in (at + MARK, end - at - MARK))
-        starts.append((text_bounds[:-1][moved][:, None] + np.cumsum(size, 1) - size).ravel())
-        sources.append(begin.ravel())
+        real = size > 0  # an empty part would begin where the next text does
+        starts.append((text_bounds[:-1][moved][:, None] + np.cumsum(size, 1) - size)[real])
+        sources.append(begin[real])
     starts, sources = np.concatenate(starts), np.concatenate(sources)
     order = np.argsort(starts, kind="stable")
     n = int(text_bounds[-1])
