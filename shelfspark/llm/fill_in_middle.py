@@ -59,13 +59,15 @@ def strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())
 
 
-def marks_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of marks in a buffer and which of ``MARKS`` each is."""
+def marks_in(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of marks in a buffer of texts, which of ``MARKS`` each is, and the text that holds it whole."""
     at = np.flatnonzero((data[:-2] == ord("<")) & (data[2:] == ord(">"))) if len(data) > 2 else np.zeros(0, np.int64)
     kind = np.full(len(at), -1)
     for i, mark in enumerate(MARKS):
         kind[data[at + 1] == mark[1]] = i
-    return at[kind >= 0], kind[kind >= 0]
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    whole = (kind >= 0) & (at + MARK <= bounds[owner + 1])
+    return at[whole], kind[whole], owner[whole]
 
 
 def running(n: int, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -127,8 +129,7 @@ def gather(data: np.ndarray, bounds: np.ndarray, form: np.ndarray) -> tuple[np.n
     """The texts' buffer and bounds, from outputs and forms alone."""
     moved = np.flatnonzero(form != PLAIN)
     text_bounds = np.concatenate([[0], np.cumsum(np.diff(bounds) - 3 * MARK * (form != PLAIN))])
-    at, kind = marks_in(data)
-    owner = np.searchsorted(bounds, at, side="right") - 1
+    at, kind, owner = marks_in(data, bounds)
     real = (form[owner] != PLAIN) if len(at) else np.zeros(0, bool)
     at, kind, owner = at[real], kind[real], owner[real]
     whole = (form == PLAIN) & (np.diff(bounds) > 0)
@@ -162,10 +163,8 @@ def transformed(docs: DataFrame, seed: str = SEED, plain_from: int = PLAIN_FROM,
                 units, h = Units(data, bounds), hashes(ids, seed)
                 a, b = h[:, 0] % (units.n + 1), h[:, 1] % (units.n + 1)
                 cut1, cut2 = units.byte_of(np.minimum(a, b)), units.byte_of(np.maximum(a, b))
-                at, _ = marks_in(data)
-                owner = np.searchsorted(bounds, at, side="right") - 1
                 marked = np.zeros(len(ids), bool)
-                marked[owner[at + MARK <= bounds[owner + 1]]] = True
+                marked[marks_in(data, bounds)[2]] = True
                 plain = (np.diff(bounds) == 0) | marked | (h[:, 2] % 100 >= plain_from)
                 form = np.where(plain, PLAIN, np.where(h[:, 3] % 100 < spm_below, SPM, PSM))
                 out, out_bounds = scatter(data, bounds, cut1, cut2, form)

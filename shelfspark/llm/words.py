@@ -31,8 +31,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of several texts: byte bounds in one buffer, the text of each word, and 64-bit word hashes."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray):
-        self.buffer = b"\n".join(texts).translate(LOWER) + b"\n"
+    def __init__(self, texts: list[bytes], is_word: np.ndarray, lower: bool = True):
+        joined = b"\n".join(texts)
+        self.buffer = (joined.translate(LOWER) if lower else joined) + b"\n"
         data = np.frombuffer(self.buffer, np.uint8)
         inside = is_word[data]
         change = np.flatnonzero(np.diff(inside, prepend=False))
