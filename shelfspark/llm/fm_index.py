@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols up to which suffixes are sorted; patterns are no longer than this.
-DEPTH = 256
+DEPTH = 128
 #: Suffixes that the fine table of smallest documents looks over at once (a power of two).
 FINE = 16
 LOW_BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
@@ -28,15 +28,20 @@ def dense(keys: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols (ties: by place), by prefix doubling."""
-    n, rank, h = len(symbols), symbols.astype(np.int64), 1
-    while True:
+    """Suffixes sorted by their first ``depth`` symbols (ties: by place), by prefix doubling from as many symbols as a key holds."""
+    n, alphabet = len(symbols), int(symbols.max(initial=0)) + 2
+    h = max(1, min(n, 62 // alphabet.bit_length()))
+    key = np.zeros(n, np.int64)
+    for j in range(h):
+        key *= alphabet
+        key[:n - j] += symbols[j:] + 1
+    rank = dense(key)
+    while h < depth and int(rank.max(initial=0)) < n - 1:
         after = np.zeros(n, np.int64)
         after[:n - h] = rank[h:] + 1
         rank = dense(rank * (n + 2) + after)
         h *= 2
-        if h >= depth or int(rank.max(initial=0)) == n - 1:
-            return np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable")
 
 
 class WaveletTree:
@@ -127,13 +132,14 @@ class FmIndex:
 
         Each stretch is read from its right end: the pattern grows to the left as long
         as a smaller document holds it. What is ``least`` long or longer is an interval
-        whose windows all match; behind a failure the right end moves left.
+        whose windows all match. Where the pattern fails at a place k, the stretch left of k
+        is read on, and the windows over k that the interval does not hold are searched one by one.
         """
         n = len(self.symbols)
         edges = np.zeros(n + 1, np.int64)
         live = np.flatnonzero(end - start >= least)
         start, right, document = start[live], end[live] - 1, document[live]
-        at, first, last = right.copy(), np.zeros(len(live), np.int64), np.full(len(live), n)
+        at, first, last, alone = right.copy(), np.zeros(len(live), np.int64), np.full(len(live), n), np.zeros(len(live), bool)
         while len(start):
             a, b = self.step(self.symbols[at], first, last)
             on = (b > a) & (self.smallest.of(a, b) < document)
@@ -146,9 +152,16 @@ class FmIndex:
             long = s[right[s] - at[s] >= least]
             np.add.at(edges, at[long] + 1, 1)
             np.add.at(edges, right[long] - least + 2, -1)
-            right[s] = np.minimum(right[s] - 1, at[s] + least - 1)
-            at[s], first[s], last[s] = right[s], 0, n
-            keep = right - start >= least - 1
-            if not keep.all():
-                start, right, document, at, first, last = (x[keep] for x in (start, right, document, at, first, last))
+            s = s[~alone[s] & (at[s] >= start[s])]
+            fail = at[s]
+            # Windows over the place of failure that end before the pattern did, or less than a window behind that place.
+            low = np.maximum(start[s], fail - least + 1)
+            count = np.maximum(0, np.minimum(right[s] - 1, fail + least - 1) - least + 2 - low)
+            new = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            rest = s[fail - start[s] >= least]
+            keep = ~stop
+            start, right, document, at, first, last, alone = (np.concatenate([x[keep], y, z]) for x, y, z in (
+                (start, start[rest], new), (right, at[rest] - 1, new + least - 1), (document, document[rest], np.repeat(document[s], count)),
+                (at, at[rest] - 1, new + least - 1), (first, np.zeros(len(rest), np.int64), np.zeros(len(new), np.int64)),
+                (last, np.full(len(rest), n), np.full(len(new), n)), (alone, np.zeros(len(rest), bool), np.ones(len(new), bool))))
         return np.cumsum(edges)[:n] > 0

@@ -26,6 +26,8 @@ gives an empty result. Texts of any length are read whole; other columns are not
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +36,14 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import SLICE_CHARS, arrow_schema, read_table, slices, written
 from shelfspark.llm.fm_index import DEPTH, FmIndex, dense
 from shelfspark.llm.words import INVERSE, NOT_BLANK, STEP, Words, mixed, powers
+from shelfspark.session import scratch_path
 
 WINDOW = 50
 GRAM = 8
 #: Words of a shard, about.
 SHARD_WORDS = 1 << 20
 #: Runs of one anchor that go to one bucket.
-HOT = 4096
+HOT = 512
 #: The id under which rows without one are kept.
 LAST_ID = (1 << 63) - 1
 SETTLED, RUN = 0, 1
@@ -55,6 +58,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
+def bucketed(docs: DataFrame) -> DataFrame:
+    """``keyed`` documents written in buckets of their keys, so that texts are shuffled once for all later joins with lists of places."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"documents_{uuid.uuid4().hex[:12]}", scratch_path(spark, f"documents-{uuid.uuid4().hex[:12]}")
+    (keyed(docs).repartition(buckets, "doc", "t").write.format("parquet").option("path", path).bucketBy(buckets, "doc", "t").sortBy("doc", "t")
+     .saveAsTable(name))
+    return spark.table(name)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The words of the texts as hashes, and the number of words of each."""
     hashes, counts, a, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
@@ -208,7 +221,7 @@ def settled_and_runs(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, shar
         if held:
             yield from shard(held)
 
-    return keyed(docs).mapInArrow(scan, SCAN)
+    return docs.mapInArrow(scan, SCAN)
 
 
 def window_keys(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
@@ -238,7 +251,7 @@ def window_keys(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
 def with_wanted(docs: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with the ``columns`` of their runs as a list (of one text, so bounded by it); documents without runs are left out."""
     lists = runs.groupBy("doc", "t").agg(F.collect_set(F.struct(*columns)).alias("wanted"))
-    return keyed(docs).join(lists, ["doc", "t"])
+    return docs.join(lists.hint("merge"), ["doc", "t"])  # alike at every size: the documents stay in their buckets
 
 
 def shared_runs(runs: DataFrame, hot: int) -> DataFrame:
@@ -286,7 +299,7 @@ def matched(docs: DataFrame, wanted: DataFrame, size: int, gram: int, shard_word
 
 
 def matched_windows(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(doc, t, start, count)``: stretches of window starts that also start in a smaller document."""
+    """``(doc, t, start, count)``: stretches of window starts in ``docs(doc, t, text)`` that also start in a smaller document."""
     gram = min(gram, size)
     scan = written(settled_and_runs(docs, size, gram, shard_words), "windows-scanned")
     settled, runs = scan.where(F.col("kind") == SETTLED), scan.where(F.col("kind") == RUN)
@@ -311,18 +324,17 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, hot:
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_removed``, and ``kept``, the other words joined by one space."""
     ddl = "doc_id long, n_words long, n_removed long, kept string"
     schema = arrow_schema(ddl)
+    docs = bucketed(docs)
     spans = matched_windows(docs, size, gram, hot, shard_words)
     lists = spans.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "count")).alias("spans"))  # of one text
-    joined = keyed(docs).join(lists, ["doc", "t"], "left").select("doc", "text", "spans")
+    joined = docs.join(lists.hint("merge"), ["doc", "t"], "left").select("doc", "text", "spans")
 
     def remove(batches):
         for batch in batches:
             for part in slices(batch):
                 out = [[] for _ in schema]
                 for doc, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "spans"))):
-                    words = text.translate(BLANK_TO_SPACE).split(" ") if text else []
-                    words = [w for w in words if w]
-                    kept = words
+                    words = kept = text.encode().split()  # at [\x20\x09-\x0D], as bytes are
                     if spans:
                         edges = np.zeros(len(words) + 1, np.int64)
                         first, count = (np.array([s[c] for s in spans], np.int64) for c in ("start", "count"))
@@ -330,16 +342,13 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, hot:
                         np.add.at(edges, first + count + size - 1, -1)
                         gone = (np.cumsum(edges)[:-1] > 0).tolist()
                         kept = [w for w, g in zip(words, gone) if not g]
-                    for column, value in zip(out, (None if doc == LAST_ID else doc, len(words), len(words) - len(kept), " ".join(kept))):
+                    for column, value in zip(out, (None if doc == LAST_ID else doc, len(words), len(words) - len(kept), b" ".join(kept).decode())):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return joined.mapInArrow(remove, ddl)
 
 
-BLANK_TO_SPACE = {b: " " for b in range(0x09, 0x0E)}
-
-
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
