@@ -10,9 +10,10 @@ without another shuffle.
 
 A line's key is the line without leading and trailing ``[\\x20\\x09-\\x0D]``,
 A-Z lower-cased. Keys of fewer than ``MIN_CHARS`` code points are never dropped.
-Null or empty text is one empty line. Rows that share a doc_id are treated as
-one document's rows: a key keeps its lines in all of them. A null doc_id sorts
-behind every id. Empty tables give an empty result; other columns pass through.
+Null or empty text is one empty line. Rows that share a doc_id are told apart by their
+texts and judged as one document's rows: a key keeps its lines in all rows of its
+smallest id. A null doc_id sorts behind every id; rows without one share that place.
+Empty tables give an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -41,31 +42,37 @@ def owner_id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
 
 
+def text_key() -> F.Column:
+    """Tells apart the texts under one id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def line_key(line: str) -> bytes:
     """What makes two lines the same: blanks stripped at both ends, A-Z lower-cased."""
     return line.strip(BLANKS).encode().lower()  # bytes.lower() touches A-Z only
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(h1, h2, doc, pos)`` of every line whose key is long enough: the key's 128-bit hash, the owner, the line's number."""
-    ddl = "h1 long, h2 long, doc long, pos int"
+    """``(h1, h2, doc, t, pos)`` of every line whose key is long enough: the key's 128-bit hash, the owner and its text, the line's number."""
+    ddl = "h1 long, h2 long, doc long, t long, pos int"
     schema = arrow_schema(ddl)
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch):
-                doc, pos, hashes = [], [], []
-                for owner, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                doc, key, pos, hashes = [], [], [], []
+                for owner, text, t in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "t"))):
                     for i, line in enumerate((text or "").split("\n")):
                         if len(line) >= min_chars and len(line.strip(BLANKS)) >= min_chars:
                             doc.append(owner)
+                            key.append(t)
                             pos.append(i)
                             hashes.append(hashlib.blake2b(line_key(line), digest_size=16).digest())
                 h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])),
-                                                  pa.array(doc, pa.int64()), pa.array(pos, pa.int32())], schema=schema)
+                                                  pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(pos, pa.int32())], schema=schema)
 
-    return docs.select(owner_id().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(scan, ddl)
+    return docs.select(owner_id().alias("doc"), F.col("text").cast("string").alias("text"), text_key().alias("t")).mapInArrow(scan, ddl)
 
 
 class LineRuns:
@@ -82,7 +89,7 @@ class LineRuns:
         return self.scratch.keep(keys, self.buckets, ("h1", "h2"))
 
     def add(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-        """``(doc, dropped array<int>)``: line numbers that the batch's documents lose, written to the shared folder."""
+        """``(doc, t, dropped array<int>)``: line numbers that the batch's texts lose, written to the shared folder."""
         lines = line_keys(docs, min_chars)
         batch = self._run(lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
         keys, runs = self.spark.table(batch), [self.spark.table(r) for level in self.levels for r in level]
@@ -95,7 +102,7 @@ class LineRuns:
         repeated = new.where("first < last").select("h1", "h2", "first")
         losing = repeated if losing is None else losing.unionAll(repeated)
         lost = lines.join(losing.hint("merge"), ["h1", "h2"]).where("first IS NULL OR doc > first")
-        lost = written(lost.groupBy("doc").agg(F.collect_list("pos").alias("dropped")), "lines-lost")
+        lost = written(lost.groupBy("doc", "t").agg(F.collect_set("pos").alias("dropped")), "lines-lost")  # of one text
         self._store(self._run(new.select("h1", "h2")))
         self.scratch.drop(batch)
         return lost
@@ -126,17 +133,18 @@ class LineRuns:
 
 
 def batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """``docs`` in ``n`` ranges of ascending id with about as many documents each; equal ids stay together."""
-    id_ = owner_id()
+    """``docs`` in ``n`` ranges of ascending id with about as many documents each; equal ids stay together, rows without one
+    are in the last. The ranges are conditions on the column itself, which reach the scan."""
+    id_ = F.col("doc_id") if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else F.col("doc_id").cast("long")
     cuts = docs.select(F.percentile_approx(id_, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10000))).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
+    cuts = sorted({c for c in cuts or [] if c is not None})
     if not cuts:
         return [docs]
-    return [docs.where(id_ <= cuts[0]), *(docs.where((id_ > a) & (id_ <= b)) for a, b in zip(cuts, cuts[1:])), docs.where(id_ > cuts[-1])]
+    return [docs.where(id_ <= cuts[0]), *(docs.where((id_ > a) & (id_ <= b)) for a, b in zip(cuts, cuts[1:])), docs.where((id_ > cuts[-1]) | id_.isNull())]
 
 
 def lost_lines(docs: DataFrame, n: int = BATCHES, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
-    """All documents through the runs, batch by batch: ``(doc, dropped)``."""
+    """All documents through the runs, batch by batch: ``(doc, t, dropped)``."""
     runs, out = LineRuns(docs.sparkSession, fanout), None
     try:
         for batch in batches(docs, n):
@@ -148,11 +156,11 @@ def lost_lines(docs: DataFrame, n: int = BATCHES, min_chars: int = MIN_CHARS, fa
 
 
 def _with_lost(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the column ``dropped``; the id column of the lost lines cannot clash with a column of ``docs``."""
+    """``docs`` with the column ``dropped``; the key columns of the lost lines cannot clash with a column of ``docs``."""
     lost = lost_lines(docs, **how)
-    key, dropped = f"doc_{uuid.uuid4().hex}", f"dropped_{uuid.uuid4().hex}"
-    lost = lost.select(F.col("doc").alias(key), F.col("dropped").alias(dropped))
-    return docs.join(lost.hint("merge"), owner_id() == F.col(key), "left").drop(key)  # alike at every size
+    key, text, dropped = (f"{c}_{uuid.uuid4().hex}" for c in ("doc", "t", "dropped"))
+    lost = lost.select(F.col("doc").alias(key), F.col("t").alias(text), F.col("dropped").alias(dropped))
+    return docs.join(lost.hint("merge"), (owner_id() == F.col(key)) & (text_key() == F.col(text)), "left").drop(key, text)  # alike at every size
 
 
 def kept_lines(text: str | None, dropped: list[int] | None) -> tuple[list[str], int]:
@@ -164,8 +172,10 @@ def kept_lines(text: str | None, dropped: list[int] | None) -> tuple[list[str],
     return [line for i, line in enumerate(lines) if i not in gone], len(lines)
 
 
-def dedup_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all columns, repeated lines taken out of ``text`` (a null text stays null)."""
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, **how) -> DataFrame:
+    """``docs`` with all columns, repeated lines taken out of ``text`` (a null text stays null).
+
+    ``drop_emptied``: rows whose text has lost lines and has nothing but blanks left are left out."""
     joined = _with_lost(docs, **how)
     schema = arrow_schema(docs.schema)
     at = schema.get_field_index("text")
@@ -175,6 +185,9 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
             for part in slices(batch):
                 gone = part.column(part.num_columns - 1).to_pylist()
                 texts = [t if not g else "\n".join(kept_lines(t, g)[0]) for t, g in zip(part.column(at).to_pylist(), gone)]
+                if drop_emptied:
+                    stays = [not g or bool(t.strip(BLANKS)) for t, g in zip(texts, gone)]
+                    part, texts = part.filter(pa.array(stays, pa.bool_())), [t for t, s in zip(texts, stays) if s]
                 columns = [pa.array(texts, schema.field(at).type) if i == at else part.column(i) for i in range(len(schema))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
