@@ -30,38 +30,57 @@ from shelfspark.llm.common import arrow_schema, id_and_text, read_table, slices,
 from shelfspark.llm.words import ALPHANUMERIC, Words
 
 WINDOW = 10
-#: Text of benchmark items whose windows are broadcast at a time.
-BLOCK_BYTES = 32 << 20
+#: Text of benchmark items whose windows are broadcast at a time: some 50 MB of arrays.
+BLOCK_BYTES = 8 << 20
 COLUMNS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 class TestWindows:
-    """The hash set: per window length the sorted hashes, and by hash the exact windows with their items."""
+    """The hash set: per window length the sorted hashes, each with its item and first word, and the items' words for verification.
+
+    Arrays only: a window takes 16 bytes, a word 8 and its text."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int):
         words = Words([(t or "").encode() for _, t in items], ALPHANUMERIC)
         count = np.bincount(words.text, minlength=len(items)) if items else np.zeros(0, np.int64)
-        exact: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(dict))
-        for length in sorted({min(size, int(n)) for n in count if n}):
+        self.ids = [i for i, _ in items]
+        self.buffer, self.start, self.end = words.buffer, words.start.astype(np.int32), words.end.astype(np.int32)
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({min(size, int(n)) for n in np.unique(count) if n}):
             first, hashes = words.windows(length)
-            for i, h in zip(first.tolist(), hashes.tolist()):
-                item = int(words.text[i])
-                if length == size or count[item] == length:
-                    exact[length][h].setdefault(words.joined(i, length), set()).add(items[item][0])
-        self.exact = {n: dict(x) for n, x in exact.items()}
-        self.sorted = {n: np.array(sorted(x), np.uint64) for n, x in exact.items()}
+            item = words.text[first]
+            real = (count[item] == length) | (length == size)  # of a shorter item the whole, of others the full windows
+            first, hashes, item = first[real], hashes[real], item[real]
+            order = np.argsort(hashes, kind="stable")
+            self.sorted[length] = hashes[order], first[order].astype(np.int32), item[order].astype(np.int32)
+
+    def items_of(self, size: int, at: int, window: bytes) -> set | None:
+        """The items that hold exactly ``window``, among the entries with the hash of entry ``at``; None if none does."""
+        hashes, first, item = self.sorted[size]
+        last = int(np.searchsorted(hashes, hashes[at], side="right"))
+        who = set()
+        for f, i in zip(first[at:last].tolist(), item[at:last].tolist()):
+            if b" ".join(self.buffer[s:e] for s, e in zip(self.start[f:f + size].tolist(), self.end[f:f + size].tolist())) == window:
+                who.add(self.ids[i])
+        return who or None
 
     def scan(self, texts: list[bytes]) -> tuple[Words, np.ndarray, list[set]]:
         """Words of the texts, a mark per word that some window covers, and the items found per text."""
         words = Words(texts, ALPHANUMERIC)
         marks = np.zeros(len(words.hash) + 1, np.int32)
         items: list[set] = [set() for _ in texts]
-        for size, hashes in self.sorted.items():
+        for size, (hashes, _, _) in self.sorted.items():
             first, found = words.windows(size)
             if not len(first):
                 continue
-            at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-            for i, h in zip(first[hit := hashes[at] == found].tolist(), found[hit].tolist()):
-                who = self.exact[size][h].get(words.joined(i, size))
+            at = np.searchsorted(hashes, found)
+            hit = at < len(hashes)
+            hit[hit] = hashes[at[hit]] == found[hit]
+            known: dict[bytes, set | None] = {}
+            for i, a in zip(first[hit].tolist(), at[hit].tolist()):
+                window = words.joined(i, size)
+                if window not in known:
+                    known[window] = self.items_of(size, a, window)
+                who = known[window]
                 if who is not None:  # the hash was no coincidence
                     marks[i] += 1
                     marks[i + size] -= 1
