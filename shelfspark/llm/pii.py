@@ -53,8 +53,10 @@ DIAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 CLUSTER = re.compile(r"\+?[0-9][0-9 ()./_-]{6,}[0-9]")
-GROUP = re.compile(r"\+?\(?[0-9][0-9()./_-]*")
+GROUP = re.compile(r"\+?\(?[0-9]++")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({<] ?(?:at|AT) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?)[A-Za-z0-9-]{1,63}){1,8}")
+BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9-])")
+BARE_SIGN = re.compile(r" (?:dot|DOT) ")
 SPELLED_SIGN = re.compile(r"[\[({<] ?(?:at|AT) ?[\])}>]")
 SIX = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 HINTS = {EMAIL: ("mail", "contact", "write"), IP: ("ip", "host", "addr", "server"),
@@ -98,7 +100,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     """Overlapping ``(start, kind, end)`` of the high-recall generators."""
     out = set()
     for m in CLUSTER.finditer(text):
-        groups = [(m.start() + g.start(), m.start() + len(g[0].rstrip("()./_-")) + g.start()) for g in GROUP.finditer(m[0])]
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in GROUP.finditer(m[0])]  # runs of digits, cut at every separator
         digits = [sum(c.isdigit() for c in text[s:e]) for s, e in groups]
         for i, (start, _) in enumerate(groups):  # neighbouring groups form a number; each holds a digit, so at most 19 do
             n = 0
@@ -114,6 +116,8 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
                     out.add((start, IP, end))
     if SPELLED_SIGN.search(text):
         out.update((m.start(), EMAIL, m.end()) for m in SPELLED.finditer(text))
+    if BARE_SIGN.search(text):
+        out.update((m.start(), EMAIL, m.end()) for m in BARE.finditer(text))
     if text.count(":") > 1:
         out.update((m.start(), IP, m.end()) for m in SIX.finditer(text) if m.end() - m.start() > 6)
     return sorted(out)
@@ -157,7 +161,7 @@ def rewritten(kind: int, span: str, salt: int) -> list[str]:
     digits = NOT_DIGIT.sub("", span)
     if kind == EMAIL:
         name, domain = span.split("@")
-        return [f"{name} [at] {domain}", f"{name}(at){domain.replace('.', ' (dot) ')}"]
+        return [f"{name} [at] {domain}", f"{name}(at){domain.replace('.', ' (dot) ')}", f"{name} AT {domain.replace('.', ' DOT ')}"]
     if kind == IP:
         return [span.replace(".", " . ") if salt % 2 else span.replace(".", ". ")]
     sep = "./_"[salt % 3]
@@ -178,7 +182,7 @@ def broken(kind: int, span: str) -> str:
         return re.sub("[0-9]+", "981", span, count=1)
     if kind == PHONE:
         return re.sub(r"^\+?(00)? ?", "", span)[:9]
-    return span.replace("at", "to").replace("(dot)", "").replace(".", " ")
+    return span.replace("at", "to").replace(" AT ", " ON ").replace("(dot)", "").replace(" DOT ", " ").replace(".", " ")
 
 
 def training_rows(text: str) -> list[tuple[int, bool, list[float]]]:
