@@ -1,8 +1,8 @@
 """Language ID (1): a bidirectional gated recurrent network over bytes (``gru.py``).
 
 Trained here by backpropagation through time on a bounded sample: about
-``SAMPLE_DOCS`` labelled documents that are not held out, at most
-``SAMPLE_SEGMENTS`` segments of each. Held out are documents whose
+``SAMPLE_DOCS`` labelled documents that are not held out (by a hash of the whole row,
+in its order), at most ``SAMPLE_SEGMENTS`` segments of each. Held out are documents whose
 crc32(doc_id as text) mod 4 is 2. Prediction labels every byte position of the
 whole text and averages the probabilities; ``lang``, ``source`` and ``doc_id``
 are no inputs.
@@ -59,7 +59,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, **how) -> ByteGru | N
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held)
     n = labelled.select("lang").count()
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < sample_docs).limit(2 * sample_docs)
+    by = F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(max(1, n)))  # alike rows share a place, and are alike
+    sample = labelled.where(by < sample_docs).orderBy(by, "doc_id", "lang").limit(2 * sample_docs)
     schema = arrow_schema("lang string, segment binary")
 
     def segments(batches):
