@@ -295,6 +295,38 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return texts.mapInArrow(sets, out).groupBy("a", "a1", "part").applyInArrow(check, "a long, b long")
 
 
+def unshared(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """``(rep, d1, u)``: how many tokens of each of ``sets(rep, d1)`` no other of them holds (at least)."""
+    ddl = "token long, rep long, d1 long"
+    schema = arrow_schema(ddl)
+    texts = id_and_text(docs).join(sets.select(F.col("rep").alias("doc_id"), "d1"), "doc_id")
+
+    def tokens(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
+                mine = [(s, i, d) for s, i, d in zip(found, part.column("doc_id").to_pylist(), part.column("d1").to_pylist()) if digest(s)[0] == d]
+                n = [len(s) for s, _, _ in mine]
+                flat = np.concatenate([s for s, _, _ in mine] or [np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array([i for _, i, _ in mine], np.int64), n)),
+                                                  pa.array(np.repeat(np.array([d for _, _, d in mine], np.int64), n))], schema=schema)
+
+    alone = texts.mapInArrow(tokens, ddl).groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("rep", "d1")).alias("who")).where("held = 1")
+    return alone.groupBy("who.rep", "who.d1").agg(F.count(F.lit(1)).alias("u"))
+
+
+def linkable(docs: DataFrame, now: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``now`` with ``most``, the tokens that a set can share with any other here, without sets that can link with none.
+
+    A token that no other set here holds is lost in every link. A set left with fewer than it needs takes
+    its tokens along, so that others may be left with fewer: two rounds."""
+    for _ in range(2):
+        alone = scratch.kept(unshared(docs, now.select("rep", "d1").distinct(), size))
+        now = now.drop("most").join(alone, ["rep", "d1"], "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+        now = scratch.kept(now.where(F.col("most") * 100 >= F.col("n") * percent))
+    return now
+
+
 def one_per_group(now: DataFrame) -> DataFrame:
     """Of the signatures whose sets are in several components, one for each different list of sets (told apart by two hash sums)."""
     def summed(seed: int) -> F.Column:
@@ -307,6 +339,8 @@ def one_per_group(now: DataFrame) -> DataFrame:
 
 def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``."""
+    if not 50 < percent <= 100:  # below, a set may be too small for pairs of tokens where its partner signs pairs only
+        raise ValueError(f"percent is over 50 and at most 100, not {percent}")
     spark = docs.sparkSession
     total = id_and_text(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -338,8 +372,11 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
                 pairs = now.join(head, "sig").select(F.col("h.rep").alias("a"), F.col("h.d1").alias("a1"), F.col("h.n").alias("m"),
                                                      F.col("h.c").alias("ca"), F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c")
             else:
-                other = now.select("sig", F.col("rep").alias("a"), F.col("d1").alias("a1"), F.col("n").alias("m"), F.col("c").alias("ca"))
-                pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c"), "sig")
+                now = linkable(docs, now, size, percent, scratch)
+                now = scratch.kept(now.join(one_per_group(now), "sig"))
+                other = now.select("sig", F.col("rep").alias("a"), F.col("d1").alias("a1"), F.col("n").alias("m"), F.col("c").alias("ca"), F.col("most").alias("most_a"))
+                pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c", "most"), "sig")
+                pairs = pairs.where(F.least("most", "most_a") * (100 + percent) >= (F.col("m") + F.col("n")) * percent)
             fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
             once = F.col("a") < F.col("b") if step == 3 else F.col("a") != F.col("b")
             pairs = (pairs.where(once & (F.col("ca") != F.col("c")) & fits)
