@@ -49,6 +49,7 @@ LAST_ID = (1 << 63) - 1
 SETTLED, RUN = 0, 1
 SCAN = "kind int, key long, doc long, t long, start int, count int"
 PIECE = "bucket int, doc long, t long, start int, words binary"
+WANTED = "key long, part int, doc long, t long, start int, count int"
 SPAN = "doc long, t long, start int, count int"
 
 
@@ -224,28 +225,66 @@ def settled_and_runs(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, shar
     return docs.mapInArrow(scan, SCAN)
 
 
-def window_keys(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
-    """``runs`` of hot anchors window by window, keyed by the hash of all their words."""
-    ddl = "key long, doc long, t long, start int, count int"
-    schema = arrow_schema(ddl)
+def shared_windows(docs: DataFrame, runs: DataFrame, size: int, hot: int) -> DataFrame:
+    """``(key, part, doc, t, start, count)``: of the ``runs`` of hot anchors the windows that several documents hold, one by one.
+
+    The key is the hash of all words of a window. Hashes cross the shuffle packed by bucket. A window of more
+    than ``hot`` places is dealt into parts by document, each with a place in its smallest document."""
+    blob_ddl, rows_ddl = "bucket int, keys binary, at binary, starts binary, docs binary, texts binary", WANTED
+    blob, rows = arrow_schema(blob_ddl), arrow_schema(rows_ddl)
+    windows = runs.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(windows) // SHARD_WORDS)
 
     def split(batches):
         for batch in batches:
             for part in slices(batch):
                 hashes, counts = word_hashes([t.encode() for t in part.column("text").to_pylist()])
                 running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(STEP, len(hashes)), dtype=np.uint64)])
-                inverse, begin = powers(INVERSE, len(hashes) + 1), (np.cumsum(counts) - counts).tolist()
+                inverse, begin = powers(INVERSE, len(hashes) + 1), np.cumsum(counts) - counts
                 at, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i, wanted in enumerate(part.column("wanted").to_pylist()):
+                for i, (first, wanted) in enumerate(zip(begin.tolist(), part.column("wanted").to_pylist())):
                     for run in wanted:
-                        at.append(np.arange(run["start"], run["start"] + run["count"]) + begin[i])
+                        at.append(np.arange(run["start"], run["start"] + run["count"]) + first)
                         row.append(np.full(run["count"], i))
                 at, row = np.concatenate(at), np.concatenate(row)
                 key = mixed((running[at + size] - running[at]) * inverse[at])
-                columns = (key.view(np.int64), part.column("doc").to_numpy()[row], part.column("t").to_numpy()[row], at - np.array(begin, np.int64)[row], np.ones(len(at), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return with_wanted(docs, runs, "start", "count").mapInArrow(split, ddl)
+                bucket = (key >> np.uint64(40)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                out, docs_, texts = [[] for _ in blob], part.column("doc").to_numpy(), part.column("t").to_numpy()
+                for b in np.flatnonzero(np.diff(ends)).tolist():
+                    mine = order[ends[b]:ends[b + 1]]
+                    used, local = np.unique(row[mine], return_inverse=True)
+                    values = (b, key[mine], local.astype(np.uint32), (at - begin[row])[mine].astype(np.int32), docs_[used], texts[used])
+                    for column, value in zip(out, values):
+                        column.append(value if isinstance(value, int) else value.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, blob)], schema=blob)
+
+    def share(table: pa.Table) -> pa.Table:
+        columns = {c: [np.frombuffer(v, kind) for v in table.column(c).to_pylist()] for c, kind in (
+            ("keys", np.uint64), ("at", np.uint32), ("starts", np.int32), ("docs", np.int64), ("texts", np.int64))}
+        doc = np.concatenate([d[a] for d, a in zip(columns["docs"], columns["at"])])
+        text = np.concatenate([t[a] for t, a in zip(columns["texts"], columns["at"])])
+        key, start = np.concatenate(columns["keys"]), np.concatenate(columns["starts"])
+        order = np.lexsort((doc, key))
+        key, doc, text, start = key[order], doc[order], text[order], start[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size_ = np.diff(np.append(first, len(key)))
+        several = doc[first] < doc[first + size_ - 1]                       # sorted: the smallest and the largest document
+        parts = -(-size_ // hot)
+        group = np.repeat(np.arange(len(first)), size_)
+        part = (mixed(doc.view(np.uint64) ^ mixed(text.view(np.uint64))) % parts[group].astype(np.uint64)).astype(np.int64)
+        keep = np.flatnonzero(several[group])
+        # A copy of the smallest document's place in every part of its window.
+        dealt = np.flatnonzero(several & (parts > 1))
+        source = np.repeat(first[dealt], parts[dealt])
+        source_part = np.arange(len(source)) - np.repeat(np.cumsum(parts[dealt]) - parts[dealt], parts[dealt])
+        place, part = np.concatenate([keep, source]), np.concatenate([part[keep], source_part])
+        values = (key[place].view(np.int64), part, doc[place], text[place], start[place], np.ones(len(place), np.int64))
+        return pa.Table.from_arrays([pa.array(v, pa.int64() if v.dtype != np.int32 else pa.int32()).cast(f.type) for v, f in zip(values, rows)], schema=rows)
+
+    return (with_wanted(docs, runs, "start", "count").mapInArrow(split, blob_ddl)
+            .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(share, rows_ddl))
 
 
 def with_wanted(docs: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
@@ -254,10 +293,10 @@ def with_wanted(docs: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
     return docs.join(lists.hint("merge"), ["doc", "t"])  # alike at every size: the documents stay in their buckets
 
 
-def shared_runs(runs: DataFrame, hot: int) -> DataFrame:
-    """``(key, n, least)`` of the keys that several documents hold: their runs and the smallest document."""
-    least = F.min(F.struct("doc", "t", "start", "count")).alias("least")
-    return runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), least, F.max("doc").alias("last")).where("least.doc < last").drop("last")
+def shared_anchors(runs: DataFrame) -> DataFrame:
+    """``(key, n)`` of the anchors that several documents hold, and the number of their runs."""
+    return (runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+            .where("first < last").select("key", "n"))
 
 
 def matched(docs: DataFrame, wanted: DataFrame, size: int, gram: int, shard_words: int) -> DataFrame:
@@ -304,17 +343,12 @@ def matched_windows(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, hot:
     scan = written(settled_and_runs(docs, size, gram, shard_words), "windows-scanned")
     settled, runs = scan.where(F.col("kind") == SETTLED), scan.where(F.col("kind") == RUN)
     columns = ("key", "doc", "t", "start", "count")
-    keys = written(shared_runs(runs, hot), "anchors-shared")
+    keys = written(shared_anchors(runs), "anchors-shared")
     wanted = runs.select(*columns).join(keys.where(F.col("n") <= hot).select("key"), "key").withColumn("part", F.lit(0))
     hot_keys = keys.where(F.col("n") > hot).select("key")
     if not hot_keys.isEmpty():
-        windows = written(window_keys(docs, runs.select(*columns).join(hot_keys, "key"), size), "hot-windows")
-        parts = F.ceil(F.col("n") / hot).cast("int")
-        again = shared_runs(windows, hot).select("key", "least", parts.alias("parts"))
-        again = written(again, "hot-windows-shared")
-        dealt = windows.join(again.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("doc", "t"), F.col("parts")).cast("int")).select(*columns, "part")
-        source = again.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "least.*", "part").select(*columns, "part")
-        wanted = wanted.unionByName(dealt).unionByName(source)
+        hot_runs = written(runs.select(*columns).join(hot_keys, "key"), "runs-hot")
+        wanted = wanted.unionByName(shared_windows(docs, hot_runs, size, hot))
     wanted = written(wanted.select(*columns, "part"), "runs-wanted")
     found = matched(docs, wanted, size, gram, shard_words)
     return settled.select("doc", "t", "start", "count").unionByName(found)
