@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from shelfspark.llm import embedding_dedup, jaccard_join, line_dedup, queries, suffix_dedup
+from shelfspark.llm import embedding_dedup, jaccard_join, language_id, line_dedup, queries, suffix_dedup
+from shelfspark.llm.common import tokenizer_path
 from shelfspark.llm.graph import components
 from shelfspark.llm.hnsw import Hnsw
 from shelfspark.llm.repeats import Runs, SuffixArray
@@ -59,6 +62,19 @@ def test_line_runs_over_several_batches(spark):
     for n, fanout in ((1, 2), (5, 2)):
         got = sorted(tuple(r) for r in line_dedup.line_report(docs, n=n, fanout=fanout).collect())
         assert got == brute_lines(rows)
+    # Rows that share an id, or have none, lose only their own text's lines.
+    shared = spark.createDataFrame([(1, "a repeated long line"), (7, "one more different line"), (7, "a repeated long line\nzz"),
+                                    (None, "totally other words here\nsecond own line here"), (None, "a repeated long line\nand what follows it"),
+                                    (None, "and what follows it")], "doc_id long, text string")
+    for n in (1, 3):
+        kept = sorted((r.doc_id or 99, r.text) for r in line_dedup.dedup_lines(shared, n=n).collect())
+        assert kept == [(1, "a repeated long line"), (7, "one more different line"), (7, "zz"), (99, "and what follows it"), (99, "and what follows it"),
+                        (99, "totally other words here\nsecond own line here")]
+    left = sorted((r.doc_id or 99, r.text) for r in line_dedup.dedup_lines(shared.unionAll(documents(spark, ["a repeated long line\n \n", "", None], 50)),
+                                                                             drop_emptied=True).collect() if r.text)
+    assert (50, "") not in left and not [i for i, _ in left if i == 50]
+    plan = line_dedup.batches(spark.read.parquet(f"{SMALL}/documents.parquet"), 3)[1]._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id" in plan
     same = spark.createDataFrame([(1, "a repeated line", 9), (1, "a repeated line", 8), (None, "a repeated line", 7), (2, None, 6)],
                                  "doc_id long, text string, dropped int")
     kept = sorted((r.doc_id or 99, r.text, r.dropped) for r in line_dedup.dedup_lines(same).collect())
@@ -163,6 +179,32 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch):
     assert jaccard_join.classes_and_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_components_at_other_similarities_and_of_copies_that_do_not_link(spark, monkeypatch, percent):
+    """Many edits of one text: most copies share nearly all shingles and link with nothing."""
+    rng = np.random.default_rng(12)
+    base, texts = [f"b{i}" for i in range(60)], []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.choice(60, rng.integers(0, 6), replace=False):
+            copy[at] = f"e{i}x{at}" if rng.random() < 0.8 else f"common{at}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:40]), " ".join(base[:52]), " ".join(base + base[:9])]
+    for frequent in (2, 32):
+        monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+        got = sorted(tuple(r) for r in jaccard_join.classes_and_components(documents(spark, texts), percent=percent).collect())
+        assert got == brute_components(texts, percent)
+
+
+def test_percent_and_clashing_columns(spark):
+    docs = documents(spark, ["one two three four five six", "one two three four five six", "other"])
+    with pytest.raises(ValueError):
+        jaccard_join.classes_and_components(docs, percent=50)
+    wide = docs.withColumns({"component_id": F.lit(7), "n_shingles": F.lit("x"), "rep": F.lit(None).cast("long")})
+    kept = jaccard_join.keep_one(wide)
+    assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(9)
     for _ in range(300):
@@ -230,19 +272,72 @@ def test_embedding_links_equal_brute_force(spark):
 
 # -- pipeline -----------------------------------------------------------------------
 
-def test_pipeline_stages_keep_columns_and_clean_documents(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(120).withColumn("dropped", F.lit(1)).withColumn("ids", F.lit("x"))
-    twin = docs.where("doc_id = 1").withColumn("doc_id", F.lit(5000).cast("long"))
-    noise = docs.where("doc_id = 1").withColumns({"doc_id": F.lit(5001).cast("long"), "text": F.lit("123 456")})
-    docs = docs.unionAll(twin).unionAll(noise)
-    kept = {}
-    for name, stage in corpus_pipeline.STAGES:
-        after = corpus_pipeline.written(stage(spark, docs, SMALL), f"test-{name}")
-        if name != "bpe_codec":
-            assert after.columns == docs.columns
-        kept[name] = {r.doc_id for r in after.select("doc_id").collect()}
-        docs = after
-    assert 5001 not in kept["language_id"] and 5000 in kept["language_id"]
-    assert kept["line_dedup"] == kept["language_id"]
-    assert 5000 not in kept["jaccard_join"] and 1 in kept["jaccard_join"]
-    assert kept["bpe_codec"] == kept["decontamination"] <= kept["jaccard_join"]
+def stage(spark, name, docs):
+    return corpus_pipeline.written(dict(corpus_pipeline.STAGES)[name](spark, docs, SMALL), f"test-{name}")
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(90).withColumns({"dropped": F.lit(1), "ids": F.lit("x"), "hit": F.lit(None).cast("string")})
+    rows = {r.doc_id: r for r in docs.collect()}
+    first = next(r for r in rows.values() if r.text and len(r.text.split()) > 60)
+    benchmark = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    made = [(5000, first.text), (5001, "123 456"), (5002, " ".join(first.text.split())), (None, None), (5003, None), (5003, ""),
+            (5004, f"the new line that holds {max(benchmark, key=len)} and some more of the words that follow")]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"), allowMissingColumns=True)
+    columns = docs.columns
+
+    after = stage(spark, "language_id", docs)
+    model = language_id.train(docs)
+    want = sorted(r.doc_id for r in docs.collect() if (p := language_id.predict([r.text], model)[0])[0] != "und" and p[1] >= language_id.MIN_SCORE)
+    assert sorted(r.doc_id for r in after.collect()) == want and not {5001, 5003, None} & set(want) and {5000, 5002} <= set(want)
+    assert after.columns == columns
+
+    before, after = after.collect(), stage(spark, "line_dedup", after)
+    kept = dict((d, (n, text)) for d, n, text in brute_kept([(r.doc_id, r.text) for r in before]))
+    want = sorted((d, text) for d, (n, text) in kept.items() if not n or text.strip(line_dedup.BLANKS))
+    assert sorted((r.doc_id, r.text) for r in after.collect()) == want and after.columns == columns
+
+    before, after = after.collect(), stage(spark, "jaccard_join", after)
+    ids = [r.doc_id for r in before]
+    want = sorted({ids[c] for _, _, c in brute_components([r.text for r in before])})  # rows are in no order: any representative of a group
+    got = sorted(r.doc_id for r in after.collect())
+    groups = {}
+    for i, _, c in brute_components([r.text for r in before]):
+        groups.setdefault(c, []).append(ids[i])
+    assert got == sorted(min(g) for g in groups.values()) and len(got) == len(want) and after.columns == columns
+    assert 5002 not in got or first.doc_id not in got                  # the same words on one line are a near copy
+
+    before, after = after.collect(), stage(spark, "decontamination", after)
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())  # noqa: E731  (the test's texts are ASCII where it matters)
+    grams = {tuple(w[i:i + 10]) for w in map(words, benchmark) for i in range(max(1, len(w) - 9)) if w}
+    def hit(text):
+        w = words(text)
+        return any(tuple(w[i:i + n]) in grams for n in {len(g) for g in grams} for i in range(len(w) - n + 1))
+    assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in before if not hit(r.text)) and after.columns == columns
+    assert 5004 in {r.doc_id for r in before} and 5004 not in {r.doc_id for r in after.collect()}
+
+    before, after = after.collect(), stage(spark, "bpe_codec", after)
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = sorted((r.doc_id, len(ids := library.encode(r.text or "", add_special_tokens=False).ids), sha(library.decode(ids, skip_special_tokens=False))) for r in before)
+    assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in after.collect()) == want
+
+
+def brute_kept(rows):
+    first = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            key = line_dedup.line_key(line)
+            if len(key.decode()) >= 10:
+                first[key] = min(doc, first.get(key, doc))
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if first.get(line_dedup.line_key(x), doc) >= doc]
+        yield doc, len(lines) - len(kept), "\n".join(kept)
+
+
+def test_pipeline_of_an_empty_table_and_of_null_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for some in (docs.limit(0), docs.limit(3).withColumn("text", F.lit(None).cast("string"))):
+        for name, _ in corpus_pipeline.STAGES:
+            some = stage(spark, name, some)
+        assert some.count() == 0

@@ -1,6 +1,7 @@
 """Language ID, personal data, decontamination, and the tokenizer operators, against brute force or the library."""
 
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -71,6 +72,54 @@ def test_token_counts_equal_the_library(spark):
     assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in got] == [(len((t or "").encode()), n, n > 20) for t, n in zip(texts(), want)]
 
 
+def repeated(spark):
+    """Rows that share an id or have none, equal rows among them, and columns of the operators' own names."""
+    rows = [(None, "no id here"), (None, "no id here"), (None, None), (3, "zz top"), (3, "a first"), (3, "a first"), (9, "")]
+    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS n_tokens", "1 AS ids", "2.0 AS score", "'y' AS bucket", "'en' AS lang")
+
+
+def by_text(rows):
+    return sorted(rows, key=repr)
+
+
+def test_tokenizer_operators_give_a_row_for_every_row(spark):
+    docs = repeated(spark)
+    byte, word = (Tokenizer.from_file(tokenizer_path(n)) for n in (BYTE_LEVEL, WORD_LEVEL))
+    texts_ = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = bpe_codec.encode_decode(docs, tokenizer_path(BYTE_LEVEL)).collect()
+    assert by_text((r.doc_id, r.n_tokens, r.decoded_sha256) for r in got) == by_text(
+        (i, len(byte.encode(t, add_special_tokens=False).ids), sha(t)) for i, t in texts_)
+    got = token_counts.token_counts(docs, tokenizer_path(WORD_LEVEL)).collect()
+    assert by_text((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == by_text(
+        (i, len(t.encode()), len(word.encode(t, add_special_tokens=False).ids)) for i, t in texts_)
+
+
+def test_token_file_orders_missing_and_equal_ids(spark, tmp_path):
+    path = str(tmp_path / "index")
+    token_file.write_index(repeated(spark), path, tokenizer_path(BYTE_LEVEL), shards=2)
+    library, at = Tokenizer.from_file(tokenizer_path(BYTE_LEVEL)), 0
+    want = []
+    for i, t in [(None, ""), (None, "no id here"), (None, "no id here"), (3, "a first"), (3, "a first"), (3, "zz top"), (9, "")]:  # null ids first, then by text
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = sorted(map(tuple, token_file.documents_of(token_file.read_index(spark, path)).collect()), key=lambda r: r[1])
+    assert got == want
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    docs = repeated(spark)
+    model = ByteGru(["de", "en"], hidden=4)
+    got = language_id.languages(docs, model).collect()
+    assert len(got) == 7 and not any(r.held_out for r in got if r.doc_id is None)
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 5
+    assert {r.lang_pred for r in got if r.doc_id == 9} == {"und"}
+    kept = language_id.with_known_language(docs, model, min_score=0)
+    assert kept.columns == docs.columns and kept.count() == 5
+    alike = spark.createDataFrame([(1, f"word {i % 3}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    assert language_id.train(alike, sample_docs=20, rounds=1) is not None
+
+
 def test_proved_words_are_one_token():
     bpe, library = bpe_of(read_spec(tokenizer_path(WORD_LEVEL))), Tokenizer.from_file(tokenizer_path(WORD_LEVEL))
     proved = sorted(token_counts.proved_whole(bpe))
@@ -187,6 +236,19 @@ def test_numbers_in_many_groups_are_found_whole():
         assert pii.find([text], model)[0][1] == [span], number
 
 
+def test_glued_numbers_and_bare_spellings_are_proposed():
+    for text, span, kind in (("x 4111.1111.1111.1111/123456 y", "4111.1111.1111.1111", pii.CARD), ("0612345678/0612345679", "0612345679", pii.PHONE),
+                             ("0612345678-0612345679-12", "0612345678", pii.PHONE), ("bob AT example DOT com", "bob AT example DOT com", pii.EMAIL)):
+        at = text.index(span)
+        assert (at, kind, at + len(span)) in pii.proposals(text), text
+
+
+def test_redaction_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com", "x", 5, None)], SCHEMA + ", spans string, n_email int, kind string")
+    row = pii.redact(docs, pii.PiiModel([])).first()
+    assert row.asDict() == {"doc_id": 1, "text": "mail <EMAIL>", "spans": "x", "n_email": 5, "kind": None}
+
+
 def test_model_adds_spelled_out_addresses_and_keeps_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = pii.train(docs)
@@ -232,6 +294,18 @@ def test_windows_short_items_blocks_and_removal(spark):
     assert not any(r.contaminated for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
 
+def test_a_block_of_windows_stays_small():
+    rng = np.random.default_rng(6)
+    pool = [f"word{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choice(pool, 150))) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    windows = decontamination.TestWindows(items, 10)
+    assert len(pickle.dumps(windows)) < 8 * size
+    twice = decontamination.TestWindows(items + [(5000, items[7][1]), (5001, items[7][1] + " tail")], 10)
+    _, covered, found = twice.scan([items[7][1].encode(), b"", items[8][1].upper().encode()])
+    assert found == [{7, 5000, 5001}, set(), {8}] and covered.all()
+
+
 def test_spans_are_cut_alike_whatever_the_block_size(spark):
     """Overlapping windows of several items, and clean words that only a cut would make neighbours."""
     w = [f"w{i}" for i in range(40)]
