@@ -2,9 +2,18 @@
 
 Five stages, each working on all that its predecessor kept and written as Parquet
 before the next: language ID (documents without a recognisable language go), line
-dedup (repeated lines go), n-gram Jaccard join (one document of each group of
-near-copies stays), benchmark decontamination (documents that hold a benchmark
-window go), BPE encoding and decoding (ids and decoded text, as counts and hashes).
+dedup (repeated lines go, and documents that consisted of them), n-gram Jaccard join (one
+document of each group of near-copies stays), benchmark decontamination (documents that
+hold a benchmark window go), BPE encoding and decoding (ids and decoded text, as counts
+and hashes).
+
+Defined results: a null or empty text, or one without letters, has no language and goes
+in the first stage. Rows that share a doc_id are separate rows; exact copies among them lose
+no lines to each other in line dedup (they are one document there). Rows without doc_id count as
+the last document in line dedup, are never near-copies, and stay. Very long texts are read
+whole. Columns beyond those used pass through the first four stages, whatever
+their names. An empty table gives an empty result; without benchmark items nothing is
+contaminated.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
