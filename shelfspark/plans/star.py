@@ -9,8 +9,8 @@ then the fact is written partitioned by date and clustered by store and product.
 Physical choices:
 
 * no join is hinted: Spark broadcasts what is under its byte threshold;
-* surrogate keys are numbered range by range (``operators.surrogate``), for
-  every dimension alike;
+* surrogate keys are numbered range by range over a written table
+  (``operators.surrogate``), so a dimension is computed once, whatever reads it;
 * only card holders' transactions meet the customer dimension; the anonymous
   majority is united back with a NULL key, so no partition collects the NULLs;
 * the customer lookup happens at transaction grain, before the items join.
@@ -18,7 +18,8 @@ Physical choices:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime as dt
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -28,9 +29,9 @@ from shelfspark.functions.dates import date_key, month_start, months_before
 from shelfspark.functions.money import as_money, exact, line_amount, times
 from shelfspark.functions.privacy import pseudonymise
 from shelfspark.operators.interval_join import interval_join
+from shelfspark.operators.scd2 import Dimension, changes, merge_versions, state_hash, version_at
 from shelfspark.operators.surrogate import surrogate_key
-from shelfspark.plans.common import last_sale_date
-from shelfspark.session import Scratch, path_exists
+from shelfspark.session import Scratch, delete_path, path_exists, recover_folder, replace_folder, scratch_table
 from shelfspark.sources.raw import RawTables
 from shelfspark.sources.schemas import STAR
 
@@ -41,6 +42,10 @@ FLAG_BEFORE_OPENING = "TRAN_ANTES_APERTURA"
 FLAG_ZERO_PRICE = "PRECIO_CERO_SIN_PROMO"
 #: The columns that order the versions of a line.
 VERSION_COLUMNS = ("ingestion_timestamp", "source_record_id")
+#: The store dimension keeps a row per version of a store.
+STORE = Dimension("store_id", "store_key", ("store_name", "country", "city", "format", "size_sqm", "opening_date", "region"))
+#: Attributes of a product that the master's latest state overwrites.
+PRODUCT_STATE = ("item_name", "brand", "vendor_key", "vendor_id", "category", "department", "cost", "is_orphan_vendor")
 #: The countries with a holiday column in the calendar.
 HOLIDAY_COUNTRIES = ("CR", "GT", "HN", "SV", "NI")
 
@@ -67,6 +72,11 @@ class Star:
                 star.__dict__[name] = read_table(t.spark, base, name)
         return star
 
+    @cached_property
+    def sale_dates(self) -> tuple:
+        """The first and last transaction date, from one pass over that column."""
+        return tuple(self.t.transactions.agg(F.min("transaction_date"), F.max("transaction_date")).first())
+
     # ---- S1 -------------------------------------------------------------
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -131,7 +141,7 @@ class Star:
         return conform(self.store_columns(surrogate_key(self.t.stores, ["store_id", "store_name"], "store_key")), "dim_store")
 
     def store_columns(self, stores: DataFrame) -> DataFrame:
-        comparable_before = months_before(last_sale_date(self.t), self.t.rules.comparable_months)
+        comparable_before = months_before(F.lit(self.sale_dates[1]).cast("date"), self.t.rules.comparable_months)
         return stores.select(
             "*",
             (F.col("opening_date") <= comparable_before).alias("is_comparable"),
@@ -190,7 +200,7 @@ class Star:
         tx = (self.t.transactions.select("transaction_id", "store_id", "transaction_date")
               .join(self.current_stores().select("store_id"), "store_id"))
         promos = self.dim_promotion.select("promotion_key", "store_id", "start_date", "end_date")
-        pairs = interval_join(tx, promos, ["store_id"], "transaction_date", "start_date", "end_date")
+        pairs = interval_join(tx, promos, ["store_id"], "transaction_date", "start_date", "end_date", dates=self.sale_dates)
         return conform(pairs.select("transaction_id", "promotion_key").distinct(), "bridge_promotion")
 
     # ---- S8 -------------------------------------------------------------
@@ -228,9 +238,9 @@ class Star:
         return self._fact(with_customer=False)
 
     def lookups_from_feed(self, increment: DataFrame) -> DataFrame:
-        """Feed rows with their store's and product's columns, NULL where the master has none."""
-        stores = self.current_stores().select("store_id", "store_key", "opening_date")
-        return increment.join(stores, "store_id", "left").join(self.products_lookup(), "item_id", "left")
+        """Feed rows with the columns of their product and of their store as it was on the sale date, NULL where the master has none."""
+        found = version_at(increment, self.dim_store, "transaction_date", STORE, ["store_key", "opening_date"], "left")
+        return found.join(self.products_lookup(), "item_id", "left")
 
     def fact_from_feed(self, increment: DataFrame, versions: bool = False) -> DataFrame:
         """Fact rows for a batch of feed rows (line versions with header columns),
@@ -253,9 +263,9 @@ class Star:
     # ---- S9 -------------------------------------------------------------
     def clean_sales(self, fact: DataFrame | None = None) -> DataFrame:
         """Unflagged, completed sales of valid vendors, with store, product,
-        vendor and calendar attributes."""
+        vendor and calendar attributes. A sale's store is the version its key names, current or not."""
         fact = self.fact_sales if fact is None else fact
-        stores = self.current_stores().select("store_key", "store_name", "country", "format", "size_sqm",
+        stores = self.dim_store.select("store_key", "store_name", "country", "format", "size_sqm",
                                               "region", "is_comparable")
         products = self.dim_product.select("product_key", "item_name", "category", "department", "brand", "vendor_key")
         vendors = self.dim_vendor.select("vendor_key", "vendor_id", "vendor_name", F.col("tier").alias("vendor_tier"),
@@ -352,19 +362,54 @@ def build_dimensions(t: RawTables, base: str) -> Star:
     return star
 
 
-def extend_dimensions(t: RawTables, base: str, feed: DataFrame) -> dict[str, int]:
-    """Append what the masters and the feed hold beyond the written dimensions:
-    new days, vendors, stores, products and card holders. Written rows keep their
-    keys; new ones are numbered above the largest. Returns the rows added."""
+def merge_stores(star: Star, base: str, as_of: dt.date) -> int:
+    """Bring the store master's state of ``as_of`` into the written dimension: new versions of changed stores, first versions
+    of new ones. Returns the versions opened or replaced."""
+    master = star.store_columns(star.t.stores).drop("valid_from", "valid_to", "is_current")
+    n = changes(star.dim_store, master, STORE).count()
+    if n:
+        with Scratch(star.t.spark) as scratch:
+            merged = merge_versions(star.dim_store, master, as_of, STORE, "opening_date")
+            replace_folder(scratch.kept(conform(merged, "dim_store")), f"{base}/dim_store")
+        star.__dict__["dim_store"] = read_table(star.t.spark, base, "dim_store")
+    return n
+
+
+def overwrite_products(star: Star, base: str) -> int:
+    """Bring changed attributes of known products into the written dimension; keys stay. Returns the products changed."""
+    now = star.with_vendor(star.t.products).select("item_id", *PRODUCT_STATE).withColumn("_new", state_hash(PRODUCT_STATE))
+    state = now.select("item_id", F.struct(*PRODUCT_STATE).alias("_state"), "_new")
+    joined = star.dim_product.withColumn("_old", state_hash(PRODUCT_STATE)).join(state, "item_id", "left")
+    changed = F.col("_new").isNotNull() & (F.col("_new") != F.col("_old"))
+    n = joined.filter(changed).count()
+    if n:
+        with Scratch(star.t.spark) as scratch:
+            rows = joined.select("item_id", "product_key", *[F.when(changed, F.col(f"_state.{c}")).otherwise(F.col(c)).alias(c) for c in PRODUCT_STATE])
+            replace_folder(scratch.kept(conform(rows, "dim_product")), f"{base}/dim_product")
+        star.__dict__["dim_product"] = read_table(star.t.spark, base, "dim_product")
+    return n
+
+
+def extend_dimensions(t: RawTables, base: str, feed: DataFrame, as_of: dt.date | None = None) -> dict[str, int]:
+    """Bring what the masters and the feed hold beyond the written dimensions into
+    them: new days, vendors, products and card holders, new and changed stores
+    (a version from ``as_of`` on, by default the feed's last ingestion day), and changed
+    attributes of products. Written rows keep their keys; new ones are numbered above
+    the largest. Returns the rows added (stores: versions; ``changed_products``: rows)."""
     spark, added = t.spark, {}
+    for name in DIMENSIONS:
+        recover_folder(spark, f"{base}/{name}")
     star = Star(t)
     for name in DIMENSIONS:
         star.__dict__[name] = read_table(spark, base, name)
 
-    def append(name: str, rows: DataFrame, scratch: Scratch) -> None:
-        rows = scratch.kept(conform(rows, name))
-        added[name] = rows.count()
-        if added[name]:
+    def append(name: str, rows: DataFrame, scratch: Scratch, finish=None) -> None:
+        """Write ``rows`` once; what is new goes through ``finish`` (keys, looked-up columns) into the dimension."""
+        rows = scratch.kept(rows)
+        n = rows.count()
+        added[name] = added.get(name, 0) + n
+        if n:
+            rows = rows if finish is None else scratch.kept(conform(finish(rows), name))
             rows.write.mode("append").parquet(f"{base}/{name}")
             star.__dict__[name] = read_table(spark, base, name)
 
@@ -380,22 +425,26 @@ def extend_dimensions(t: RawTables, base: str, feed: DataFrame) -> dict[str, int
         append("dim_date", star.calendar(days.join(star.dim_date, F.col("d") == F.col("full_date"), "left_anti")), scratch)
 
         valid = star.dim_vendor.filter("is_valid").select("vendor_id")
-        new = numbered(t.vendors.join(valid, "vendor_id", "left_anti"), ["vendor_id", "vendor_name", "country", "tier"], "dim_vendor", "vendor_key")
-        append("dim_vendor", new.withColumn("is_valid", F.lit(True)), scratch)
-        orphans = star.orphan_vendor_ids.join(star.dim_vendor.select("vendor_id"), "vendor_id", "left_anti")
-        top = F.greatest(F.lit(t.rules.unknown_vendor_key - 1), star.dim_vendor.agg(F.max("vendor_key")).scalar())
-        orphans = surrogate_key(orphans, ["vendor_id"], "vendor_key", above=top)
-        append("dim_vendor", unknown_vendors(orphans), scratch)
-
-        new = t.stores.join(star.dim_store.select("store_id"), "store_id", "left_anti")
-        append("dim_store", star.store_columns(numbered(new, ["store_id", "store_name"], "dim_store", "store_key")), scratch)
-        new = t.products.join(star.dim_product.select("item_id"), "item_id", "left_anti")
-        append("dim_product", star.with_vendor(numbered(new, ["item_id", "vendor_id", "item_name"], "dim_product", "product_key")), scratch)
+        append("dim_vendor", t.vendors.join(valid, "vendor_id", "left_anti"), scratch, lambda rows: numbered(
+            rows, ["vendor_id", "vendor_name", "country", "tier"], "dim_vendor", "vendor_key").withColumn("is_valid", F.lit(True)))
+
+        def sentinels(rows: DataFrame) -> DataFrame:
+            top = F.greatest(F.lit(t.rules.unknown_vendor_key - 1), star.dim_vendor.agg(F.max("vendor_key")).scalar())
+            return unknown_vendors(surrogate_key(rows, ["vendor_id"], "vendor_key", above=top))
+
+        append("dim_vendor", star.orphan_vendor_ids.join(star.dim_vendor.select("vendor_id"), "vendor_id", "left_anti"), scratch, sentinels)
+
+        if as_of is None:
+            as_of = t.rules.run_date or feed.agg(F.max(F.to_date("ingestion_timestamp"))).first()[0]
+        added["dim_store"] = merge_stores(star, base, as_of) if as_of else 0   # without a date there is no feed either
+        added["changed_products"] = overwrite_products(star, base)
+        append("dim_product", t.products.join(star.dim_product.select("item_id"), "item_id", "left_anti"), scratch,
+               lambda rows: star.with_vendor(numbered(rows, ["item_id", "vendor_id", "item_name"], "dim_product", "product_key")))
         hashed = pseudonymise("customer_id", t.rules.customer_salt)
         known = star.dim_customer.select("customer_id_hashed")
         new = (star.first_purchases(feed).withColumn("customer_id_hashed", hashed)
                .join(known, "customer_id_hashed", "left_anti").drop("customer_id_hashed"))
-        append("dim_customer", star.customer_columns(numbered(new, ["customer_id"], "dim_customer", "customer_key")), scratch)
+        append("dim_customer", new, scratch, lambda rows: star.customer_columns(numbered(rows, ["customer_id"], "dim_customer", "customer_key")))
     return added
 
 
@@ -413,6 +462,8 @@ def build_star(t: RawTables, base: str, validate: bool = True) -> dict[str, Data
         validate_dimensions(out)
     star.bridge_promotion.write.mode("overwrite").parquet(f"{base}/bridge_promotion")
     out["bridge_promotion"] = read_table(spark, base, "bridge_promotion")
+    for kept in ("fact_index", "selling_days"):  # of a fact written before; the next upsert builds them anew
+        delete_path(spark, f"{base}/{kept}")
     write_fact(star.fact_sales, f"{base}/fact_sales")
     out["fact_sales"] = spark.read.parquet(f"{base}/fact_sales").select(*STAR["fact_sales"].fieldNames())
     out["view_clean_sales"] = star.clean_sales(out["fact_sales"])
@@ -457,15 +508,50 @@ def flag_distribution(t: RawTables, fact: DataFrame | None = None) -> DataFrame:
             .orderBy("data_quality_flag"))
 
 
+def store_states(t: RawTables) -> list[tuple[dt.date, DataFrame]]:
+    """Three states of the store master, for the history job: without the stores of one format; all of them, those of
+    another format that were open by then 50 m² larger; and the last one once more."""
+    first, last = Star(t).sale_dates
+    if first is None:
+        return []
+    formats = sorted(r[0] for r in t.stores.select("format").distinct().collect())  # a handful
+    middle = first + (last - first) // 2
+    grows = (F.col("format") == formats[0]) & (F.col("opening_date") < F.lit(middle))
+    grown = t.stores.withColumn("size_sqm", F.when(grows, F.col("size_sqm") + 50).otherwise(F.col("size_sqm")))
+    return [(first, t.stores.filter(F.col("format") != formats[-1])), (middle, grown), (last, grown)]
+
+
+def store_history(t: RawTables) -> DataFrame:
+    """S4 over several states of the master: the store dimension with a row per version."""
+    dim, star = None, Star(t)
+    for day, state in store_states(t):
+        one = Star(replace(t, stores=state))
+        one.__dict__["sale_dates"] = star.sale_dates
+        if dim is None:
+            dim = one.dim_store
+        else:
+            master = one.store_columns(state).drop("valid_from", "valid_to", "is_current")
+            dim = scratch_table(conform(merge_versions(dim, master, day, STORE, "opening_date"), "dim_store"), "dim-store")
+    return star.dim_store if dim is None else dim
+
+
+def fact_as_of_store(t: RawTables) -> DataFrame:
+    """S8's store lookup over the store history: each transaction with the version of its store that was valid on its date."""
+    found = version_at(t.transactions, store_history(t), "transaction_date", STORE, ["store_key", "size_sqm", "valid_from", "is_current"])
+    return found.select("transaction_id", "transaction_date", "store_id", "store_key", "size_sqm", "valid_from", "is_current")
+
+
 STAR_JOBS = {
     "s1_dim_date": lambda t: Star(t).dim_date,
     "s2_dim_vendor": lambda t: Star(t).dim_vendor,
     "s3_dim_product": lambda t: Star(t).dim_product,
     "s4_dim_store": lambda t: Star(t).dim_store,
+    "s4_store_history": store_history,
     "s5_dim_customer": lambda t: Star(t).dim_customer,
     "s6_dim_promotion": lambda t: Star(t).dim_promotion,
     "s7_bridge_promotion": lambda t: Star(t).bridge_promotion,
     "s8_fact_sales": lambda t: Star(t).fact_sales,
+    "s8_fact_as_of_store": fact_as_of_store,
     "s8f_flag_distribution": flag_distribution,
     "s8c_fact_coverage": fact_coverage,
     "s9_clean_sales": lambda t: Star(t).clean_sales(),

@@ -12,7 +12,6 @@ import re
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC dates, adaptive execution (runtime
@@ -92,15 +91,89 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared checkpoint folder and read back, for results that outlive the call.
+
+    Lineage ends there. ``clear_scratch`` deletes what a session has left."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{session_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The name of this application's own folder inside the checkpoint folder."""
+    return f"session-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the written intermediate tables of this application; its lazy results can't be read any more."""
+    delete_path(spark, scratch_path(spark, session_folder(spark)))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark finds something to read at ``path``; any other trouble is raised."""
-    try:
-        spark.read.format("text").load(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
+    """Whether there is a file or folder at ``path``, on whatever file system Spark reads it from; nothing is listed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system Spark reads it from; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def replace_folder(df: DataFrame, path: str) -> None:
+    """Replace the Parquet folder ``path`` by ``df``, which must not be reading it. The new folder is complete before the old
+    one goes; if the job ends in between, ``recover_folder`` finishes the exchange."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    delete_path(spark, path)
+    recover_folder(spark, path)
+
+
+def recover_folder(spark: SparkSession, path: str) -> None:
+    """Put the folder that was to replace ``path`` in its place, if ``path`` is missing and the other one complete."""
+    path = path.rstrip("/")
+    if not path_exists(spark, path) and path_exists(spark, f"{path}.next/_SUCCESS"):
+        source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.next", path))
+        source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+
+
+class Generations:
+    """A small table under ``path`` that is replaced as a whole: each generation is a folder of its own, and the
+    greatest generation in the append-only list beside them is the current one. A replacement that fails half-way
+    leaves the old generation current."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.list = f"{self.path}/generations"
+
+    def latest(self) -> tuple[int, int]:
+        """The current generation (0 if there is none) and the number noted with it."""
+        if not path_exists(self.spark, self.list):
+            return 0, 0
+        best = self.spark.read.schema("generation bigint, note bigint").parquet(self.list).orderBy("generation", ascending=False).first()
+        return tuple(best) if best else (0, 0)
+
+    def folder(self, generation: int) -> str:
+        return f"{self.path}/g{generation}"
+
+    def read(self, schema) -> DataFrame | None:
+        now, _ = self.latest()
+        return self.spark.read.schema(schema).parquet(self.folder(now)) if now else None
+
+    def replace(self, df: DataFrame) -> None:
+        """Write ``df``, make it current, and delete the generation before it."""
+        now, _ = self.latest()
+        df.write.mode("overwrite").parquet(self.folder(now + 1))
+        self.switch(now)
+
+    def switch(self, now: int, note: int = 0) -> None:
+        """Make the generation after ``now`` current and delete ``now``."""
+        self.spark.createDataFrame([(now + 1, note)], "generation bigint, note bigint").coalesce(1).write.mode("append").parquet(self.list)
+        if now:
+            delete_path(self.spark, self.folder(now))
 
 
 class Scratch:

@@ -21,7 +21,7 @@ Mapping (a design of this repository):
   tax and either no discount or the highest one; lines with a discount of 9 % or
   more are on promotion.
 * item_feed — the lines with their header; one part in five was first reported
-  with one unit more, a day earlier.
+  with one unit more, a day earlier, half of them for a sale date a week before.
 * products — one per SKU; the vendor follows the SKU's lowest part key over one
   vendor more than there are suppliers (an orphan vendor).
 * vendors — the suppliers.
@@ -113,6 +113,7 @@ def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     unit_price.alias("unit_price"),
                     (F.col("l_discount") >= 0.09).alias("was_on_promo"),
                     (F.col("l_partkey") % 5 == 0).alias("corrected"),
+                    (F.col("l_partkey") % 10 == 0).alias("moved"),
                     F.col("l_shipdate").cast("timestamp_ntz").alias("ingestion_timestamp")))
 
 
@@ -133,8 +134,8 @@ def item_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     older = (F.col("version") == 1).cast("int")
     return (lines.join(transactions(spark, sf_dir), "transaction_id")
             .select("transaction_item_id", "transaction_id", "store_id",
-                    "customer_id", "transaction_date", "total_amount", "payment_method", "loyalty_card",
-                    "status", "item_id", (F.col("quantity") + older).alias("quantity"), "unit_price", "was_on_promo",
+                    "customer_id", F.date_sub("transaction_date", F.when(F.col("moved"), 7 * older).otherwise(0)).alias("transaction_date"),
+                    "total_amount", "payment_method", "loyalty_card", "status", "item_id", (F.col("quantity") + older).alias("quantity"), "unit_price", "was_on_promo",
                     F.when(older == 1, F.col("ingestion_timestamp") - F.expr("INTERVAL 1 DAY"))
                      .otherwise(F.col("ingestion_timestamp")).alias("ingestion_timestamp"),
                     F.concat_ws("_", "transaction_item_id", F.col("version").cast("string")).alias("source_record_id")))
@@ -225,6 +226,7 @@ line_rows AS (
          END AS unit_price,
          l_discount >= 0.09 AS was_on_promo,
          l_partkey % 5 = 0 AS corrected,
+         l_partkey % 10 = 0 AS moved,
          CAST(l_shipdate AS TIMESTAMP) AS ingestion_timestamp
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
@@ -232,7 +234,9 @@ transaction_items AS (
   SELECT transaction_item_id, transaction_id, item_id, quantity, unit_price, was_on_promo FROM line_rows
 ),
 item_feed AS (
-  SELECT l.transaction_item_id, t.transaction_id, t.store_id, t.customer_id, t.transaction_date, t.total_amount, t.payment_method,
+  SELECT l.transaction_item_id, t.transaction_id, t.store_id, t.customer_id,
+         CASE WHEN version.n = 1 AND l.moved THEN CAST(t.transaction_date - INTERVAL 7 DAY AS DATE) ELSE t.transaction_date END AS transaction_date,
+         t.total_amount, t.payment_method,
          t.loyalty_card, t.status, l.item_id,
          CASE WHEN version.n = 1 THEN l.quantity + 1 ELSE l.quantity END AS quantity, l.unit_price, l.was_on_promo,
          CASE WHEN version.n = 1 THEN l.ingestion_timestamp - INTERVAL 1 DAY ELSE l.ingestion_timestamp END AS ingestion_timestamp,

@@ -2,7 +2,8 @@
 
 Three origins give the same ``RawTables``:
 
-* ``from_csv``      — the original CSV exports, read with the declared schema;
+* ``from_csv``      — the original CSV exports, read with the declared schema
+  (``from_csv_quarantined``: unreadable rows go to a side table);
 * ``from_parquet``  — landed Parquet folders (the production layout);
 * ``from_driver``   — derived on the fly from the TPC-H-style test tables.
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from shelfspark.rules import DEFAULT_RULES, Rules
 from shelfspark.sources import driver_tables
 from shelfspark.session import path_exists
+from shelfspark.sources.csv_quarantine import read_quarantined
 from shelfspark.sources.schemas import ITEM_FEED, RAW
 
 
@@ -70,6 +72,18 @@ class RawTables:
                     .csv(f"{base.rstrip('/')}/{name}.csv"))
         return cls(spark=spark, rules=rules, **{name: read(name) for name in RAW})
 
+    @classmethod
+    def from_csv_quarantined(cls, spark: SparkSession, base: str, rules: Rules = DEFAULT_RULES,
+                             date_format: str = "yyyy-MM-dd") -> tuple["RawTables", DataFrame]:
+        """Like ``from_csv``, but what cannot be read goes to a side table: the tables, and the quarantined lines of all of
+        them (with ``table_name``, file, line number and reason)."""
+        loads = {name: read_quarantined(spark, f"{base.rstrip('/')}/{name}.csv", schema, date_format) for name, schema in RAW.items()}
+        bad = None
+        for name, load in loads.items():
+            mine = load.quarantine.select(F.lit(name).alias("table_name"), "*")
+            bad = mine if bad is None else bad.unionByName(mine)
+        return cls(spark=spark, rules=rules, **{name: load.rows for name, load in loads.items()}), bad
+
     @classmethod
     def from_frames(cls, spark: SparkSession, rules: Rules = DEFAULT_RULES, **frames: DataFrame) -> "RawTables":
         """From in-memory frames (tests); columns are cast to the declared schema."""

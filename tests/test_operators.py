@@ -25,25 +25,31 @@ def test_price_is_not_rounded_before_it_is_multiplied(spark):
 
 def test_scalable_surrogate_equals_global_row_number(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5003).cast("string").alias("k"))
-    scalable = surrogate_key(df, ["k"], "sk")
     numbers = df.withColumn("rn", F.row_number().over(Window.orderBy("k")).cast("bigint"))
-    joined = scalable.join(numbers, "k")
-    assert joined.count() == 5000
-    assert joined.filter(F.col("sk") != F.col("rn")).count() == 0
-    assert scalable.agg(F.min("sk"), F.max("sk"), F.countDistinct("sk")).first() == (1, 5000, 5000)
+    for range_rows in (1_000_000, 600):                   # one range, several
+        scalable = surrogate_key(df, ["k"], "sk", range_rows=range_rows)
+        joined = scalable.join(numbers, "k")
+        assert joined.count() == 5000
+        assert joined.filter(F.col("sk") != F.col("rn")).count() == 0
+        assert scalable.agg(F.min("sk"), F.max("sk"), F.countDistinct("sk")).first() == (1, 5000, 5000)
 
 
-def test_surrogate_numbers_go_on_above_a_key_and_need_no_single_task(spark):
-    import contextlib
-    import io
+def test_surrogate_numbers_go_on_above_a_key_and_need_no_row_window(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "k string, v int")
     assert sorted((r.sk, r.v) for r in surrogate_key(df, ["k", "v"], "sk", above=F.lit(10)).collect()) == [(11, 3), (12, 2), (13, 1)]
     assert surrogate_key(df.limit(0), ["k"], "sk").count() == 0
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        surrogate_key(spark.range(100).withColumnRenamed("id", "k"), ["k"], "sk").explain("formatted")
-    windows = [x for x in buf.getvalue().splitlines() if "row_number()" in x and "windowspecdefinition" in x]
-    assert windows and all("windowspecdefinition(_range" in x for x in windows)
+    for range_rows in (1_000, 10):
+        plan = surrogate_key(spark.range(100).withColumnRenamed("id", "k"), ["k"], "sk", range_rows=range_rows)._jdf.queryExecution().toString()
+        assert "row_number" not in plan and "Range (" not in plan      # numbered from the written table
+
+
+def test_interval_join_takes_bounds_from_the_caller(spark):
+    left = spark.createDataFrame([("S", dt.date(2024, 1, d)) for d in range(1, 31)], "store_id string, d date")
+    right = spark.createDataFrame([(1, "S", dt.date(2024, 1, 5), dt.date(9999, 12, 31))], "pk int, store_id string, s date, e date")
+    joined = interval_join(left, right, ["store_id"], "d", "s", "e", dates=(dt.date(2024, 1, 1), dt.date(2024, 1, 30)))
+    assert joined.count() == 26
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2     # each side once
+    assert interval_join(left.limit(0), right, ["store_id"], "d", "s", "e").count() == 0
 
 
 def test_interval_join_does_not_explode_open_intervals(spark):
