@@ -16,10 +16,11 @@ that two sets share are kept. Candidates are then verified on the exact sets in
 rounds. A signature's head is the set with most shared signatures: the original
 of edited copies rather than one of them. First every set meets the head it
 shares most with; then, only for signatures whose sets are not yet in one
-component, the head meets all others, then the smallest set does, and at last
-all pairs that are in different components meet. Sets already connected need no
-further check, so the components are exact and a large group of copies costs
-one check per set.
+component, the head meets all others, then the smallest set does. Sets already
+connected need no further check, so a large group of copies costs one check per set.
+At last pairs in different components meet, but only those whose signatures outside their
+own components leave a link possible: what a set shares with no other component is
+lost in all links that are left. So the components are exact.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer words
 than ``size`` is one shingle. Null and wordless texts have an empty set and link
@@ -93,11 +94,12 @@ def part_counts(n: int, percent: int) -> list[int]:
     return [1 << k for k in range(low.bit_length() - 1, high.bit_length())]
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, buckets: int) -> tuple[np.ndarray, bool]:
-    """The signatures of a sorted set, and whether its prefix holds rare tokens only; ``frequent`` holds sorted keys."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, buckets: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rare tokens by which a sorted set signs, its other signatures, and whether its prefix holds rare tokens only (then these
+    are not all its rare tokens); ``frequent`` holds sorted keys."""
     n = len(tokens)
     if not n:
-        return tokens, True
+        return tokens, tokens, True
     errors = n - needed(n, percent)
     if len(frequent):
         keys = token_keys(tokens, buckets)
@@ -107,8 +109,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, buckets:
     else:
         rare, common = tokens, tokens[:0]
     if len(rare) > errors:
-        return rare[:errors + 1], True
-    out, short = [rare], errors + 1 - len(rare)
+        return rare[:errors + 1], tokens[:0], True
+    out, short = [tokens[:0]], errors + 1 - len(rare)
     for parts in part_counts(n, percent):
         part = (common >> np.uint64(7)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
@@ -128,7 +130,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int, buckets:
             inside = prefix[part == p]
             a, b = np.triu_indices(len(inside), 1)
             out.append(mixed(inside[a] * np.uint64(3) + mixed(inside[b] ^ salt)))
-    return np.concatenate(out), False
+    return rare, np.unique(np.concatenate(out)), False
 
 
 def token_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -177,15 +179,17 @@ def scanned(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, frequent, size: int, buckets: int) -> DataFrame:
-    """``(sig, doc_id, d1, plain)`` for every signature that documents of different sets share; plain: the prefix is all rare."""
-    blob_ddl, rows_ddl = "bucket int, sigs binary, at binary, ids binary, digests binary, plain binary", "sig long, doc_id long, d1 long, plain boolean"
+    """``(sig, doc_id, d1, plain, rare, alone)`` for every signature that documents of different sets share; plain: the prefix is all rare;
+    rare: the number of rare tokens the set signs by; alone: the signature is such a token."""
+    blob_ddl = "bucket int, sigs binary, at binary, alone binary, ids binary, digests binary, plain binary, rare binary"
+    rows_ddl = "sig long, doc_id long, d1 long, plain boolean, rare int, alone boolean"
     blob, rows = arrow_schema(blob_ddl), arrow_schema(rows_ddl)
 
     def scan(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch):
-                ids, sigs = [], []
+                ids, sigs, alone = [], [], []
                 for doc, tokens in zip(part.column("doc_id").to_pylist(), shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)):
                     key = digest(tokens)
                     if doc is None or not len(tokens) or key in seen:
@@ -193,45 +197,45 @@ def shared_signatures(docs: DataFrame, frequent, size: int, buckets: int) -> Dat
                     if len(seen) > 1 << 20:
                         seen.clear()
                     seen.add(key)
-                    mine, plain = signatures(tokens, *frequent.value)
-                    ids.append((doc, key[0], plain))
-                    sigs.append(np.unique(mine))
+                    rare, others, plain = signatures(tokens, *frequent.value)
+                    ids.append((doc, key[0], plain, len(rare)))
+                    sigs += [rare, others]
+                    alone += [True, False]
                 if not ids:
                     continue
-                at = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(s) for s in sigs])
-                flat = np.concatenate(sigs)
+                each = [len(s) for s in sigs]
+                at = np.repeat(np.repeat(np.arange(len(ids), dtype=np.uint32), 2), each)
+                flat, alone = np.concatenate(sigs), np.repeat(alone, each)
                 bucket = (flat >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                flat, at = flat[order], at[order]
+                flat, at, alone = flat[order], at[order], alone[order]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 ids = np.array(ids, np.int64)
-                out = [[], [], [], [], [], []]
+                out = [[] for _ in blob]
                 for b in range(buckets):
                     if ends[b] < ends[b + 1]:
                         mine = at[ends[b]:ends[b + 1]]
                         used, local = np.unique(mine, return_inverse=True)
-                        for column, value in zip(out, (b, flat[ends[b]:ends[b + 1]].tobytes(), local.astype(np.uint32).tobytes(),
-                                                       ids[used, 0].tobytes(), ids[used, 1].tobytes(), ids[used, 2].astype(bool).tobytes())):
+                        for column, value in zip(out, (b, flat[ends[b]:ends[b + 1]].tobytes(), local.astype(np.uint32).tobytes(), alone[ends[b]:ends[b + 1]].tobytes(),
+                                                       ids[used, 0].tobytes(), ids[used, 1].tobytes(), ids[used, 2].astype(bool).tobytes(),
+                                                       ids[used, 3].astype(np.int32).tobytes())):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, blob)], schema=blob)
 
     def match(table: pa.Table) -> pa.Table:
-        sigs, docs_, digests, plain = [], [], [], []
-        for s, a, i, d, p in zip(*(table.column(c).to_pylist() for c in ("sigs", "at", "ids", "digests", "plain"))):
-            at = np.frombuffer(a, np.uint32)
-            sigs.append(np.frombuffer(s, np.uint64))
-            docs_.append(np.frombuffer(i, np.int64)[at])
-            digests.append(np.frombuffer(d, np.int64)[at])
-            plain.append(np.frombuffer(p, bool)[at])
-        sigs, docs_, digests, plain = map(np.concatenate, (sigs, docs_, digests, plain))
+        columns = {c: [np.frombuffer(v, kind) for v in table.column(c).to_pylist()] for c, kind in (
+            ("sigs", np.uint64), ("at", np.uint32), ("alone", bool), ("ids", np.int64), ("digests", np.int64), ("plain", bool), ("rare", np.int32))}
+        sigs, alone = np.concatenate(columns["sigs"]), np.concatenate(columns["alone"])
+        docs_, digests, plain, rare = (np.concatenate([v[a] for v, a in zip(columns[c], columns["at"])]) for c in ("ids", "digests", "plain", "rare"))
         order = np.argsort(sigs, kind="stable")
-        sigs, docs_, digests, plain = sigs[order], docs_[order], digests[order], plain[order]
+        sigs, docs_, digests, plain, rare, alone = (x[order] for x in (sigs, docs_, digests, plain, rare, alone))
         starts = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sigs))))
         differs = np.zeros(len(starts), bool)
         differs[group[digests != digests[starts][group]]] = True
         keep = differs[group]
-        return pa.Table.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(docs_[keep]), pa.array(digests[keep]), pa.array(plain[keep])], schema=rows)
+        values = (sigs.view(np.int64), docs_, digests, plain, rare, alone)
+        return pa.Table.from_arrays([pa.array(v[keep], f.type) for v, f in zip(values, rows)], schema=rows)
 
     return (id_and_text(docs).mapInArrow(scan, blob_ddl)
             .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match, rows_ddl))
@@ -245,7 +249,7 @@ def alike_enough(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     it needs), so the others must be shared signatures.
     """
     def side(x: str) -> DataFrame:
-        return lists.select(F.col("rep").alias(x), F.col("d1").alias(f"{x}1"), F.col("sigs").alias(f"sigs_{x}"), F.col("plain").alias(f"plain_{x}"))
+        return lists.select(F.col("rep").alias(x), F.col("d1").alias(f"{x}1"), F.col("marked.sig").alias(f"sigs_{x}"), F.col("plain").alias(f"plain_{x}"))
 
     total = F.ceil((F.col("m") + F.col("n")) * percent / (100 + percent))
     behind = F.ceil(F.greatest("m", "n") * percent / 100) - 1
@@ -295,36 +299,25 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return texts.mapInArrow(sets, out).groupBy("a", "a1", "part").applyInArrow(check, "a long, b long")
 
 
-def unshared(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """``(rep, d1, u)``: how many tokens of each of ``sets(rep, d1)`` no other of them holds (at least)."""
-    ddl = "token long, rep long, d1 long"
-    schema = arrow_schema(ddl)
-    texts = id_and_text(docs).join(sets.select(F.col("rep").alias("doc_id"), "d1"), "doc_id")
-
-    def tokens(batches):
-        for batch in batches:
-            for part in slices(batch):
-                found = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
-                mine = [(s, i, d) for s, i, d in zip(found, part.column("doc_id").to_pylist(), part.column("d1").to_pylist()) if digest(s)[0] == d]
-                n = [len(s) for s, _, _ in mine]
-                flat = np.concatenate([s for s, _, _ in mine] or [np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array([i for _, i, _ in mine], np.int64), n)),
-                                                  pa.array(np.repeat(np.array([d for _, _, d in mine], np.int64), n))], schema=schema)
-
-    alone = texts.mapInArrow(tokens, ddl).groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("rep", "d1")).alias("who")).where("held = 1")
-    return alone.groupBy("who.rep", "who.d1").agg(F.count(F.lit(1)).alias("u"))
+def enough_outside(percent: int) -> F.Column:
+    """Whether two sets (``most_a``, ``out_a``, ``plain_a``, ``m`` and ``most``, ``out``, ``plain``, ``n``) of different components can still link.
 
+    ``out`` counts a set's signatures that other components share. Between sets with prefixes of rare tokens, common
+    tokens are shared signatures or behind a prefix (see ``alike_enough``). Sets that sign by all their rare tokens
+    can have ``most`` tokens in common with another such: the frequent ones, and rare ones that other components share."""
+    total = F.ceil((F.col("m") + F.col("n")) * percent / (100 + percent))
+    behind = F.ceil(F.greatest("m", "n") * percent / 100) - 1
+    plain = F.col("plain") & F.col("plain_a")
+    mixed_ = ~F.col("plain") & ~F.col("plain_a")
+    return (~plain | (F.least("out", "out_a") >= total - behind)) & (~mixed_ | (F.least("most", "most_a") >= total))
 
-def linkable(docs: DataFrame, now: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``now`` with ``most``, the tokens that a set can share with any other here, without sets that can link with none.
 
-    A token that no other set here holds is lost in every link. A set left with fewer than it needs takes
-    its tokens along, so that others may be left with fewer: two rounds."""
-    for _ in range(2):
-        alone = scratch.kept(unshared(docs, now.select("rep", "d1").distinct(), size))
-        now = now.drop("most").join(alone, ["rep", "d1"], "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
-        now = scratch.kept(now.where(F.col("most") * 100 >= F.col("n") * percent))
-    return now
+def with_outside(now: DataFrame) -> DataFrame:
+    """The rows of signatures that several components share, with ``out`` and ``most`` of their sets."""
+    several = now.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+    now = now.join(several, "sig")
+    sets = now.groupBy("rep", "d1").agg(F.count(F.lit(1)).alias("out"), F.count_if("alone").alias("_alone"))
+    return now.join(sets, ["rep", "d1"]).withColumn("most", F.col("n") - F.col("rare") + F.col("_alone")).drop("_alone")
 
 
 def one_per_group(now: DataFrame) -> DataFrame:
@@ -356,15 +349,17 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
         ids = linked.select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).select("doc_id", "d1", "rep", "n")
         shared = shared_signatures(docs, frequent, size, buckets)
         lists = scratch.kept(shared.join(ids, ["doc_id", "d1"]).groupBy("rep", "d1").agg(
-            F.collect_set("sig").alias("sigs"), F.first("n").alias("n"), F.first("plain").alias("plain")))
-        member = lists.select("rep", "d1", "n", F.size("sigs").alias("weight"), F.explode("sigs").alias("sig"))
+            F.collect_set(F.struct("sig", "alone")).alias("marked"), F.first("n").alias("n"), F.first("plain").alias("plain"), F.first("rare").alias("rare")))
+        member = lists.select("rep", "d1", "n", "plain", "rare", F.size("marked").alias("weight"), F.explode("marked").alias("s")).select("*", "s.*").drop("s")
         links, tried, component = None, None, None
         for step in range(4):
             if component is None:
                 now = member.withColumn("c", F.col("rep"))
             else:
                 now = (member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
-                       .select("sig", "rep", "d1", "n", "weight", F.coalesce("component", "rep").alias("c")))
+                       .select("sig", "alone", "rep", "d1", "n", "plain", "rare", "weight", F.coalesce("component", "rep").alias("c")))
+                if step == 3:
+                    now = scratch.kept(with_outside(now))
                 now = scratch.kept(now.join(one_per_group(now), "sig"))
             if step < 3:
                 first = F.struct(F.lit(0).alias("weight") if step == 2 else -F.col("weight"), F.col("rep"))
@@ -372,11 +367,12 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
                 pairs = now.join(head, "sig").select(F.col("h.rep").alias("a"), F.col("h.d1").alias("a1"), F.col("h.n").alias("m"),
                                                      F.col("h.c").alias("ca"), F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c")
             else:
-                now = linkable(docs, now, size, percent, scratch)
-                now = scratch.kept(now.join(one_per_group(now), "sig"))
-                other = now.select("sig", F.col("rep").alias("a"), F.col("d1").alias("a1"), F.col("n").alias("m"), F.col("c").alias("ca"), F.col("most").alias("most_a"))
-                pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c", "most"), "sig")
-                pairs = pairs.where(F.least("most", "most_a") * (100 + percent) >= (F.col("m") + F.col("n")) * percent)
+                if "out" not in now.columns:      # no link so far
+                    now = scratch.kept(with_outside(now))
+                side = {"rep": "a", "d1": "a1", "n": "m", "c": "ca", "most": "most_a", "out": "out_a", "plain": "plain_a"}
+                other = now.select("sig", *[F.col(c).alias(x) for c, x in side.items()])
+                pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c", "most", "out", "plain"), "sig")
+                pairs = pairs.where(enough_outside(percent))
             fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
             once = F.col("a") < F.col("b") if step == 3 else F.col("a") != F.col("b")
             pairs = (pairs.where(once & (F.col("ca") != F.col("c")) & fits)
