@@ -30,6 +30,7 @@ from shelfspark.functions.money import as_money, exact, line_amount, times
 from shelfspark.functions.privacy import pseudonymise
 from shelfspark.operators.interval_join import interval_join
 from shelfspark.operators.scd2 import Dimension, changes, merge_versions, state_hash, version_at
+from shelfspark.operators.split_join import split_join
 from shelfspark.operators.surrogate import surrogate_key
 from shelfspark.session import Scratch, delete_path, path_exists, recover_folder, replace_folder, scratch_table
 from shelfspark.sources.raw import RawTables
@@ -59,6 +60,9 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 @dataclass
 class Star:
     t: RawTables
+    #: Lines of one transaction above which the fact's join splits it (``operators.split_join``); None: left to adaptive
+    #: execution, which has nothing to split in a bucketed layout.
+    part_rows: int | None = None
 
     @classmethod
     def from_written(cls, t: RawTables, base: str) -> "Star":
@@ -224,7 +228,9 @@ class Star:
         tx = (self.customer_lookup(tx) if with_customer
               else tx.withColumn("customer_key", F.lit(None).cast("bigint")))
         items = self.t.transaction_items.join(self.products_lookup(), "item_id")
-        return conform(fact_columns(items.join(tx, "transaction_id"), F.lit(False)), "fact_sales")
+        joined = (items.join(tx, "transaction_id") if self.part_rows is None
+                  else split_join(items, tx, "transaction_id", "transaction_item_id", self.part_rows))
+        return conform(fact_columns(joined, F.lit(False)), "fact_sales")
 
     @cached_property
     def fact_sales(self) -> DataFrame:
@@ -353,9 +359,9 @@ def uncovered_sales(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
 DIMENSIONS = ("dim_date", "dim_vendor", "dim_store", "dim_promotion", "dim_product", "dim_customer")
 
 
-def build_dimensions(t: RawTables, base: str) -> Star:
+def build_dimensions(t: RawTables, base: str, part_rows: int | None = None) -> Star:
     """Write the dimensions under ``base`` and return a star that reads them back."""
-    star = Star(t)
+    star = Star(t, part_rows)
     for name in DIMENSIONS:
         getattr(star, name).write.mode("overwrite").parquet(f"{base}/{name}")
         star.__dict__[name] = read_table(t.spark, base, name)
@@ -448,15 +454,15 @@ def extend_dimensions(t: RawTables, base: str, feed: DataFrame, as_of: dt.date |
     return added
 
 
-def build_star(t: RawTables, base: str, validate: bool = True) -> dict[str, DataFrame]:
+def build_star(t: RawTables, base: str, validate: bool = True, part_rows: int | None = None) -> dict[str, DataFrame]:
     """Materialise the model under ``base``: dimensions first, re-read so later
     steps use the written surrogate keys, then bridge and fact. Returns readers.
 
     With ``validate`` the written dimensions are checked against the schema's
     NOT NULL columns and their surrogate keys for density before the fact is
-    built (a failed check raises ``ContractError``)."""
+    built (a failed check raises ``ContractError``). ``part_rows``: see ``Star``."""
     spark = t.spark
-    star = build_dimensions(t, base)
+    star = build_dimensions(t, base, part_rows)
     out = {name: getattr(star, name) for name in DIMENSIONS}
     if validate:
         validate_dimensions(out)

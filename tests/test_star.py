@@ -180,3 +180,13 @@ def test_rebuild_replaces_the_whole_fact(spark, scratch):
     second = tables(spark, [tx("T2", date="2024-03-02")], [item("b", "T2")])
     out = build_star(second, f"{scratch}/star")
     assert rows(out["fact_sales"], "transaction_item_id") == [("b",)]      # the 03-01 partition is gone
+
+
+def test_fact_with_hot_transactions_split_is_the_same(spark, scratch):
+    txs = [tx(f"T{i}", loyal=True, customer=f"C{i}") for i in range(20)]
+    items = [item(f"h{i}", "T0", price=1.0 + i % 7) for i in range(300)] + [item(f"n{i}", f"T{i % 20}") for i in range(60)]
+    t = tables(spark, txs, items)
+    want = rows(Star(t).fact_sales)
+    assert rows(Star(t, part_rows=50).fact_sales) == want
+    out = build_star(t, f"{scratch}/star", part_rows=50)
+    assert rows(out["fact_sales"], "transaction_item_id", "customer_key") == [(r[0], r[6]) for r in want]
