@@ -258,7 +258,7 @@ def alike_enough(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b, a1, b1)`` whose sets link; a1 and b1 are the first halves of the sets' digests.
+    """Those of ``pairs(a, b, a1, b1)`` whose sets link, told from ``docs(doc_id, text)``; a1 and b1 are the first halves of the sets' digests.
 
     The members b of a set a are dealt into groups of ``GROUP``, each with a copy of a's set.
     """
@@ -266,7 +266,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     dealt = pairs.join(sizes, ["a", "a1"]).withColumn("part", F.pmod(F.xxhash64("b", "b1"), F.col("parts")).cast("int"))
     members = dealt.select("a", "a1", "part", F.col("b").alias("doc_id"), F.col("b1").alias("d1"), F.lit(False).alias("head"))
     heads = dealt.select("a", "a1", "part", F.col("a").alias("doc_id"), F.col("a1").alias("d1"), F.lit(True).alias("head")).distinct()
-    texts = id_and_text(docs).join(members.unionAll(heads), "doc_id")
+    texts = docs.join(members.unionAll(heads), "doc_id")
     out = "a long, a1 long, part int, head boolean, doc_id long, d1 long, tokens binary"
     schema, links = arrow_schema(out), arrow_schema("a long, b long")
 
@@ -300,24 +300,30 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
 
 
 def enough_outside(percent: int) -> F.Column:
-    """Whether two sets (``most_a``, ``out_a``, ``plain_a``, ``m`` and ``most``, ``out``, ``plain``, ``n``) of different components can still link.
+    """Whether two sets of different components that share the signature at hand can still link (columns of one end in ``_a``).
 
-    ``out`` counts a set's signatures that other components share. Between sets with prefixes of rare tokens, common
-    tokens are shared signatures or behind a prefix (see ``alike_enough``). Sets that sign by all their rare tokens
-    can have ``most`` tokens in common with another such: the frequent ones, and rare ones that other components share."""
-    total = F.ceil((F.col("m") + F.col("n")) * percent / (100 + percent))
-    behind = F.ceil(F.greatest("m", "n") * percent / 100) - 1
-    plain = F.col("plain") & F.col("plain_a")
-    mixed_ = ~F.col("plain") & ~F.col("plain_a")
-    return (~plain | (F.least("out", "out_a") >= total - behind)) & (~mixed_ | (F.least("most", "most_a") >= total))
+    ``out`` counts a set's signatures that other components share, ``out_alone`` the rare tokens among them. Common tokens of
+    sets with prefixes of rare tokens are shared signatures or behind a prefix (see ``alike_enough``). A set with another
+    prefix signs by all its ``rare`` tokens: what it shares with a prefix of rare tokens is a signature; with another such set
+    it shares frequent tokens and rare ones that are signatures. If the frequent ones are too few, such two sets
+    must share a rare one, and need not meet at other signatures."""
+    total = F.ceil((F.col("n_a") + F.col("n")) * percent / (100 + percent))
+
+    def behind(n: F.Column) -> F.Column:
+        return F.ceil(n * percent / 100) - 1
+
+    plain, plain_a = F.col("plain"), F.col("plain_a")
+    frequent = F.least(F.col("n") - F.col("rare"), F.col("n_a") - F.col("rare_a"))
+    return (F.when(plain & plain_a, F.least("out", "out_a") >= total - behind(F.greatest("n", "n_a")))
+            .when(plain | plain_a, F.least("out_alone", "out_alone_a") >= total - behind(F.when(plain, F.col("n")).otherwise(F.col("n_a"))))
+            .otherwise((frequent + F.least("out_alone", "out_alone_a") >= total) & (F.col("alone") | (frequent >= total))))
 
 
 def with_outside(now: DataFrame) -> DataFrame:
-    """The rows of signatures that several components share, with ``out`` and ``most`` of their sets."""
+    """The rows of signatures that several components share, with ``out`` and ``out_alone`` of their sets."""
     several = now.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
     now = now.join(several, "sig")
-    sets = now.groupBy("rep", "d1").agg(F.count(F.lit(1)).alias("out"), F.count_if("alone").alias("_alone"))
-    return now.join(sets, ["rep", "d1"]).withColumn("most", F.col("n") - F.col("rare") + F.col("_alone")).drop("_alone")
+    return now.join(now.groupBy("rep", "d1").agg(F.count(F.lit(1)).alias("out"), F.count_if("alone").alias("out_alone")), ["rep", "d1"])
 
 
 def one_per_group(now: DataFrame) -> DataFrame:
@@ -351,6 +357,9 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
         lists = scratch.kept(shared.join(ids, ["doc_id", "d1"]).groupBy("rep", "d1").agg(
             F.collect_set(F.struct("sig", "alone")).alias("marked"), F.first("n").alias("n"), F.first("plain").alias("plain"), F.first("rare").alias("rare")))
         member = lists.select("rep", "d1", "n", "plain", "rare", F.size("marked").alias("weight"), F.explode("marked").alias("s")).select("*", "s.*").drop("s")
+        # Every round of verification reads texts by id: in buckets, they are shuffled once.
+        texts = id_and_text(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).repartition(shuffle, "doc_id")
+        texts = spark.table(scratch.keep(texts, shuffle, ("doc_id",)))
         links, tried, component = None, None, None
         for step in range(4):
             if component is None:
@@ -369,10 +378,10 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
             else:
                 if "out" not in now.columns:      # no link so far
                     now = scratch.kept(with_outside(now))
-                side = {"rep": "a", "d1": "a1", "n": "m", "c": "ca", "most": "most_a", "out": "out_a", "plain": "plain_a"}
-                other = now.select("sig", *[F.col(c).alias(x) for c, x in side.items()])
-                pairs = other.join(now.select("sig", F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c", "most", "out", "plain"), "sig")
-                pairs = pairs.where(enough_outside(percent))
+                other = now.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("rep", "d1", "n", "c", "rare", "out", "out_alone", "plain")])
+                pairs = other.join(now, "sig").where(enough_outside(percent)).select(
+                    F.col("rep_a").alias("a"), F.col("d1_a").alias("a1"), F.col("n_a").alias("m"), F.col("c_a").alias("ca"),
+                    F.col("rep").alias("b"), F.col("d1").alias("b1"), "n", "c")
             fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
             once = F.col("a") < F.col("b") if step == 3 else F.col("a") != F.col("b")
             pairs = (pairs.where(once & (F.col("ca") != F.col("c")) & fits)
@@ -386,7 +395,7 @@ def classes_and_components(docs: DataFrame, size: int = SHINGLE, percent: int =
             tried = pairs if tried is None else tried.unionAll(pairs)
             if pairs.isEmpty():
                 continue
-            good = scratch.kept(verified(docs, pairs, size, percent))
+            good = scratch.kept(verified(texts, pairs, size, percent))
             links = good if links is None else links.unionAll(good)
             component = components(links)
         out = rows.join(classes.drop("n"), ["d1", "d2"], "left")
