@@ -247,7 +247,7 @@ def test_k_increments_equal_one_load(spark, scratch):
     for cut in ("2024-03-02", "2024-03-04", "2100-01-01"):
         t.item_feed = full.filter(F.col("ingestion_timestamp") < F.lit(cut).cast("timestamp"))
         pipeline.daily_run(t, scratch)
-    loaded = spark.read.schema(STAR["fact_sales"]).parquet(f"{scratch}/fact_sales").drop("customer_key")
+    loaded = pipeline.written_fact(t, scratch).drop("customer_key")
     assert rows(loaded) == one_shot
     assert len(one_shot) == 3
 
