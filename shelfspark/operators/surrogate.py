@@ -1,9 +1,9 @@
 """Dense surrogate keys 1..n in the order of some columns.
 
 SQL's ``ROW_NUMBER() OVER (ORDER BY k)`` runs in Spark as one task holding every
-row. Here the rows are written once, in range partitions of the order, each sorted,
-with their place in it (``monotonically_increasing_id``: partition and row). What is
-left is one count per partition, turned into offsets, and
+row. Here the input is written once, then dealt into range partitions of the order, each
+sorted, with their rows' place in it (``monotonically_increasing_id``: partition and
+row). What is left is one count per partition, turned into offsets, and
 
     key = rows of the partitions before + place in the partition.
 
@@ -37,7 +37,9 @@ def surrogate_key(df: DataFrame, order_cols: Sequence[str], key_name: str, above
     rows = scratch_table(df, "numbering-input")
     ranges = max(1, -(-rows.count() // range_rows))  # the count comes from the files' footers
     dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
-    placed = scratch_table(dealt.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbering")
+    placed = dealt.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    if ranges > 1:                       # one partition of written rows has the same places whenever it is read
+        placed = scratch_table(placed, "numbering")
     part, row = F.shiftright("_place", ROW_BITS), F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)
     key = row + 1 + (F.lit(0) if above is None else above)
     if ranges > 1:
