@@ -116,7 +116,7 @@ def test_language_of_repeated_rows_and_clashing_columns(spark):
     assert {r.lang_pred for r in got if r.doc_id == 9} == {"und"}
     kept = language_id.with_known_language(docs, model, min_score=0)
     assert kept.columns == docs.columns and kept.count() == 5
-    alike = spark.createDataFrame([(1, f"word {i % 3}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    alike = spark.createDataFrame([(1, f"word {i % 150}", "en") for i in range(300)], "doc_id long, text string, lang string")
     assert language_id.train(alike, sample_docs=20, rounds=1) is not None
 
 
