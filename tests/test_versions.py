@@ -187,3 +187,34 @@ def test_an_alert_is_raised_by_the_watermark_and_called_off_by_the_next_event(sp
     assert drained() == [("a", D("2024-01-09")), ("b", D("2024-01-09"))]
     log = rows(spark.read.schema(silence.ALERT).parquet(f"{scratch}/out").filter("key = 'a'"), "seq", "silent")
     assert log == [(1, True), (2, False), (3, True)]
+
+
+def test_versions_of_a_feed_dealt_by_transaction_are_not_shuffled_again(spark):
+    import re
+
+    from shelfspark.plans import pipeline
+    from shelfspark.sources.raw import RawTables
+
+    t = RawTables.from_driver(spark, "/root/testdata/sf0.001")
+    latest = pipeline.latest_versions(t)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = latest.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
+    assert not any("transaction_item_id" in d for d in dealt), dealt
+    plain = pipeline.latest_versions(RawTables(**{**t.__dict__, "versions_share": ()}))
+    assert latest.exceptAll(plain).isEmpty() and plain.exceptAll(latest).isEmpty()
+
+
+def test_customer_hashes_do_not_cross_the_shuffle(spark):
+    from shelfspark.plans import pipeline
+    from shelfspark.plans.star import Star
+    from shelfspark.sources.raw import RawTables
+
+    t = RawTables.from_driver(spark, "/root/testdata/sf0.001")
+    rows = pipeline.latest_versions(t)
+    plan = Star(t).customer_lookup(rows)._jdf.queryExecution().optimizedPlan()
+    columns = plan.toString().split("Join LeftOuter")[1].split("\n")[1]
+    assert "sha2" not in columns
