@@ -5,6 +5,8 @@ depend on order or layout and sums of parts add up to the sum of the whole. Both
 compared per part (a partition column); parts that differ are compared per bucket of the key,
 and only the rows of differing buckets are compared themselves. ``kept`` fingerprints of
 an earlier pass can stand in for either table on the first level.
+
+The tables are read up to three times: callers write down what they would have to derive.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import scratch_table
+
 SUMS = ("n", "s1", "s2")
 BUCKETS = 64
 
@@ -50,7 +54,8 @@ def differences(a: DataFrame, b: DataFrame, key: str, part: str, columns: Sequen
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")
     a, b = (x.filter(in_parts).select(*columns, bucket) for x in (a, b))
     found = unequal(fingerprints(a, [part, "_bucket"], columns), fingerprints(b, [part, "_bucket"], columns), [part, "_bucket"])
-    found = found.select(F.col(part).alias("_part"), F.col("_bucket").alias("_b"))
+    # At most a row per part and bucket: written, its size is known, so the rows stay where they are.
+    found = scratch_table(found.select(F.col(part).alias("_part"), F.col("_bucket").alias("_b")), "differing-buckets")
     here = F.col(part).eqNullSafe(F.col("_part")) & (F.col("_bucket") == F.col("_b"))
     both = None
     for rows, side in ((a, "a"), (b, "b")):

@@ -18,6 +18,7 @@ from shelfspark.plans.common import last_sale_date, valid_sales
 from shelfspark.plans.pipeline import latest_versions
 from shelfspark.plans.reports import basket_sales
 from shelfspark.plans.star import Star
+from shelfspark.session import scratch_table
 from shelfspark.sources.raw import RawTables
 
 
@@ -106,9 +107,10 @@ COMPARED = ("transaction_id", "store_id", "item_id", "status", "quantity", "unit
 
 def fingerprint_reconciliation(t: RawTables) -> DataFrame:
     """P8 line by line: where the feed's latest versions and the sales tables do not hold the same lines. Days and key
-    buckets with equal fingerprints are not read again."""
-    feed = latest_versions(t)
-    sales = t.transaction_items.join(t.transactions, "transaction_id")
+    buckets with equal fingerprints are not read again. Both sides are derived once and written for the passes over them."""
+    columns = ["transaction_date", "transaction_item_id", *COMPARED]
+    feed = scratch_table(latest_versions(t).select(columns), "latest-lines")
+    sales = scratch_table(t.transaction_items.join(t.transactions, "transaction_id").select(columns), "sold-lines")
     found = differences(feed, sales, "transaction_item_id", "transaction_date", COMPARED)
     kind = (F.when(F.col("n_b") == 0, ONLY_FEED).when(F.col("n_a") == 0, ONLY_SALES)
             .when(F.col("same") >= F.least("n_a", "n_b"), REPEATED).otherwise(DIFFERENT))

@@ -175,3 +175,11 @@ def test_a_numbered_line_keeps_its_place_over_many_blocks(spark, scratch):
         assert got.filter(F.concat(F.lit("line "), F.col("line_number")) != F.col("line")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_fingerprint_reconciliation_derives_each_side_once(spark):
+    t = RawTables.from_driver(spark, "/root/testdata/sf0.001")
+    found = scaled.fingerprint_reconciliation(t)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "latest-lines" in " ".join(found.inputFiles())
+    assert not any(f.endswith(f"{name}.parquet") for f in found.inputFiles() for name in ("lineitem", "orders", "part"))
