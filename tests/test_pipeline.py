@@ -331,3 +331,18 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default=None: default), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(session)
+
+
+def test_an_increment_of_one_version_per_key_is_not_written_again(spark, scratch, monkeypatch):
+    from shelfspark.session import Scratch
+
+    made, keep, counts = [], Scratch.keep, []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *more: made.append(df) or keep(self, df, *more))
+    for name, how in (("plain", {}), ("once", {"latest_only": True})):
+        made.clear()
+        _upsert(spark, f"{scratch}/{name}", [("a", "2024-01-01", 1), ("b", "2024-01-02", 2)], **how)
+        _upsert(spark, f"{scratch}/{name}", [("a", "2024-01-03", 2), ("b", "2024-01-04", 1)], **how)   # b is older than what stands
+        counts.append(len(made))
+    found = [rows(spark.read.parquet(f"{scratch}/{name}"), "transaction_item_id", "transaction_date", "v") for name in ("plain", "once")]
+    assert found[0] == found[1] == [("a", D("2024-01-03"), 2), ("b", D("2024-01-02"), 2)]
+    assert counts == [4, 2]
