@@ -15,10 +15,24 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CODES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "big") for b in range(256)], np.uint64)
 
 
+#: Powers that a process keeps for each base (8 bytes each): those of a usual slice of texts.
+KEPT_POWERS = (1 << 20) + (1 << 14)
+_kept: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """``base`` to the powers 0 to n - 1, read-only if kept."""
+    def made(n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
+
+    if n > KEPT_POWERS:
+        return made(n)
+    if int(base) not in _kept:
+        _kept[int(base)] = made(KEPT_POWERS)
+        _kept[int(base)].flags.writeable = False
+    return _kept[int(base)][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

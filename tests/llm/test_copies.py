@@ -221,6 +221,82 @@ def test_linked_sets_share_a_signature():
             assert x & y
 
 
+def test_linked_sets_meet_at_a_low_level():
+    """Sets that share no rare token share a pair whose level is within what both may lose at their sizes, not at the worst partner's."""
+    rng, seen = np.random.default_rng(19), 0
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 1 << 60, int(rng.integers(8, 250))).astype(np.uint64))
+        a, b = (np.unique(np.concatenate([base[rng.random(len(base)) < share], rng.integers(0, 1 << 60, rng.integers(0, 1 + len(base) // 9)).astype(np.uint64)]))
+                for share in rng.uniform(0.88, 1, 2))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        frequent = np.sort(jaccard_join.token_keys(base, 64))
+        (rare_a, sig_a, level_a, plain_a), (rare_b, sig_b, level_b, plain_b) = (jaccard_join.signatures(t, frequent, 75, 64) for t in (a, b))
+        if plain_a or plain_b:
+            continue
+        assert not len(np.intersect1d(rare_a, rare_b)) and level_a.min() >= 1
+        total = -(-75 * (len(a) + len(b)) // 175)
+        low_a, low_b = (set(sig[level <= len(t) - len(rare) - total + 1].tolist()) for t, rare, sig, level in ((a, rare_a, sig_a, level_a), (b, rare_b, sig_b, level_b)))
+        assert low_a & low_b
+        seen += 1
+    assert seen > 50
+
+
+def test_last_round_meets_pairs_at_few_signatures(spark, monkeypatch):
+    """Copies with differing edits, most of them too far apart to link: pairs used to meet at every signature that they share."""
+    rng = np.random.default_rng(20)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(160):
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(2, 6), replace=False):
+            copy[at] = f"e{i}x{at}"
+        texts.append(" ".join(copy))
+    made, meetings = [], jaccard_join.last_meetings
+
+    def counting(now, scratch, percent):
+        pairs = meetings(now, scratch, percent).where("a < b AND ca != c").localCheckpoint()
+        sets = now.select("sig", "rep")
+        shared = sets.withColumnRenamed("rep", "a").join(sets.withColumnRenamed("rep", "b"), "sig").join(pairs.select("a", "b").distinct(), ["a", "b"])
+        made.append((pairs.count(), shared.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "last_meetings", counting)
+    got = sorted(tuple(r) for r in jaccard_join.classes_and_components(documents(spark, texts)).collect())
+    assert got == brute_components(texts)
+    assert 0 < 3 * made[0][0] <= made[0][1]
+
+
+def test_a_rare_signature_is_not_merged_with_a_pair_of_the_same_sets(spark):
+    rows = [(sig, rep, rep, rep, level) for sig, level in ((1, 3), (2, 0), (3, 3), (4, 1)) for rep in (7, 8, 9)]
+    now = spark.createDataFrame(rows, "sig long, rep long, d1 long, c long, level int")
+    assert sorted(r.sig for r in jaccard_join.one_per_group(now, "level").collect()) == [1, 2, 4]
+    assert [r.sig for r in jaccard_join.one_per_group(now).collect()] == [1]
+
+
+def test_one_scan_counts_tokens_and_lists_every_document(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    texts = [None, "", "a b c d e f", "x a b c d e", "q r", "q r"]
+    docs = documents(spark, texts).union(spark.createDataFrame([(None, "null id here")], "doc_id long, text string")).repartition(3)
+    rows = [tuple(r) for r in jaccard_join.counted(docs, 5, 8).collect()]
+    assert sorted(n for key, n, *_ in rows if key is not None) == [2, 2]
+    sets = jaccard_join.shingle_sets([(t or "").encode() for t in texts] + [b"null id here"], 5)
+    want = [(i, len(s), *jaccard_join.digest(s)) for i, s in zip([0, 1, 2, 3, 4, 5, None], sets)]
+    assert sorted((r[2], r[1], *r[3:]) for r in rows if r[0] is None and r[2] is not None) == want[:6]
+    assert [(r[2], r[1], *r[3:]) for r in rows if r[0] is None and r[2] is None] == want[6:]
+
+
+def test_shingle_sets_do_not_depend_on_runs(monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 91}" for j in range(i * 7 % 200)).encode() for i in range(80)]
+    whole = jaccard_join.shingle_sets(texts, 5)
+    for run in (1, 100, 5000):
+        monkeypatch.setattr(jaccard_join, "RUN_BYTES", run)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, jaccard_join.shingle_sets(texts, 5), strict=True))
+        assert jaccard_join.shingle_sets([], 5) == []
+    long = b"some words " * 150_000  # longer than the powers that are kept
+    assert len(jaccard_join.shingle_sets([long], 5)[0]) == 2
+
+
 # -- vectors ------------------------------------------------------------------------
 
 def clustered(n=700, dim=24, seed=10):
