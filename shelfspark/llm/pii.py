@@ -168,7 +168,7 @@ def rewritten(kind: int, span: str, salt: int) -> list[str]:
     pairs = [digits[i:i + 2] for i in range(0, len(digits), 2)]
     if kind == CARD:
         return [sep.join(digits[i:i + 4] for i in range(0, len(digits), 4)), sep.join(digits[i:i + 4] for i in range(0, len(digits), 4)).replace(sep, " " + sep, 1),
-                (sep + " ").join(pairs)]
+                *((other + " ").join(pairs) for other in "./_")]
     return ["00" + digits, "00 " + " ".join(digits[i:i + 3] for i in range(0, len(digits), 3)), "+" + sep.join(digits[i:i + 3] for i in range(0, len(digits), 3)),
             " ".join(["00", digits[:2], digits[2:3], *(digits[i:i + 2] for i in range(3, len(digits), 2))])]
 
