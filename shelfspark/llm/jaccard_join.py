@@ -364,19 +364,18 @@ def enough_outside(percent: int) -> F.Column:
             .otherwise((F.col("level") <= F.col("n") - F.col("rare") - total + 1) & (F.col("level_a") <= F.col("n_a") - F.col("rare_a") - total + 1)))
 
 
-def in_reach(now: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``now`` whose level leaves a link possible (see ``enough_outside``) with a set as small as any at their signature."""
-    smallest = now.groupBy("sig").agg(F.min("n").alias("smallest"))
+def in_reach(percent: int) -> F.Column:
+    """Whether a row's level leaves a link possible (see ``enough_outside``) with a set as small as the ``smallest`` at its signature."""
     partner = F.greatest("smallest", F.ceil(F.col("n") * percent / 100))
     total = F.ceil((F.col("n") + partner) * percent / (100 + percent))
-    kept = F.col("plain") | (F.col("level") == 0) | (F.col("level") <= F.col("n") - F.col("rare") - total + 1)
-    return now.join(smallest, "sig").where(kept).drop("smallest")
+    return F.col("plain") | (F.col("level") == 0) | (F.col("level") <= F.col("n") - F.col("rare") - total + 1)
 
 
-def with_outside(now: DataFrame) -> DataFrame:
-    """The rows of signatures that several components share, with ``out`` and ``out_alone`` of their sets."""
-    several = now.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-    now = now.join(several, "sig")
+def with_outside(now: DataFrame, percent: int) -> DataFrame:
+    """The rows of signatures that several components share and that are in reach, with ``out`` and ``out_alone`` of their sets."""
+    several = (now.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("smallest"))
+               .where("c0 < c1").select("sig", "smallest"))
+    now = now.join(several, "sig").where(in_reach(percent)).drop("smallest")
     return now.join(now.groupBy("rep", "d1").agg(F.count(F.lit(1)).alias("out"), F.count_if(F.col("level") == 0).alias("out_alone")), ["rep", "d1"])
 
 
@@ -393,7 +392,7 @@ def one_per_group(now: DataFrame, *also: str) -> DataFrame:
 
 def last_meetings(now: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """All pairs of sets that share a signature where a link between their components is still possible, once for each such signature."""
-    now = scratch.kept(in_reach(scratch.kept(with_outside(now)), percent))
+    now = scratch.kept(with_outside(now, percent))
     now = scratch.kept(now.join(one_per_group(now, "level"), "sig"))
     other = now.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("rep", "d1", "n", "c", "rare", "out", "out_alone", "plain", "level")])
     return other.join(now, "sig").where(enough_outside(percent)).select(
