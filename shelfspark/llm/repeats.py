@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+from itertools import chain
+
 import numpy as np
 
 from shelfspark.llm.words import CODES, INVERSE, STEP, mixed, powers
@@ -10,6 +13,10 @@ from shelfspark.llm.words import CODES, INVERSE, STEP, mixed, powers
 ANCHOR = 48
 #: Symbols packed into the first sort key: 257**7 < 2**63.
 PACKED = 7
+#: Bytes compared at once, and the depth from which ranks are kept for comparisons.
+WORD, KEPT = 8, 112
+#: Places that a pass over sorted keys holds at once.
+PART = 1 << 16
 
 
 def running_hash(data: np.ndarray) -> np.ndarray:
@@ -89,90 +96,113 @@ class SuffixArray:
     """Suffixes of several strings that start at their first ``count`` places, sorted, with LCP values and left symbols.
 
     Sorted by prefix doubling; comparisons end at a string's end, which is smaller than any byte.
+    Held at once are at most some 50 bytes per place: ranks are kept from depth ``KEPT`` on, and
+    what two suffixes share below it is compared in words of eight bytes.
     """
 
     def __init__(self, strings: list[bytes], counts: list[int]):
         size = np.array([len(s) for s in strings], np.int64)
         self.begin = np.cumsum(size + 1) - size - 1  # one free place behind each string
-        n = int((size + 1).sum())
-        data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        ends = np.repeat(self.begin + size, size + 1)
-        left = ends - np.arange(n)  # symbols up to the end
-        data[left == 0] = 0
+        self.places = n = int((size + 1).sum())
+        raw = b"\0".join(strings) + bytes(1 + WORD)
+        data = np.frombuffer(raw, np.uint8, n)
+        left = np.repeat((self.begin + size).astype(np.int32), size + 1)
+        left -= np.arange(n, dtype=np.int32)  # symbols up to the end
+        levels = self._levels(data, left, int(size.max(initial=0)))
+        counts = np.array(counts, np.int64)
+        starts = np.repeat((self.begin - np.cumsum(counts) + counts).astype(np.int32), counts)
+        starts += np.arange(len(starts), dtype=np.int32)
+        order = np.argsort(levels[-1][1][starts], kind="stable")
+        self.at, self.string = starts[order], np.repeat(np.arange(len(strings), dtype=np.int32), counts)[order]
+        del starts, order
+        self.left_symbol = np.where(self.at > self.begin[self.string], data[self.at - 1].astype(np.int16), np.int16(-1))  # -1: nothing, or unknown
+        i, j = self.at[:-1], self.at[1:]
+        lcp, room = np.zeros(len(i), np.int32), np.minimum(left[i], left[j])
+        while levels:
+            h, rank = levels.pop()
+            on = np.flatnonzero(lcp < room)
+            on = on[rank[i[on] + lcp[on]] == rank[j[on] + lcp[on]]]
+            lcp[on] += np.int32(h)
+            del rank
+        words = np.ndarray((n,), "<u8", raw, 0, (1,))
+        on = np.flatnonzero(lcp < room)
+        while len(on):  # what is left is shorter than the lowest level kept
+            differ = words[i[on] + lcp[on]] ^ words[j[on] + lcp[on]]
+            shared = np.bitwise_count((differ & -differ) - np.uint64(1)) // np.uint8(8)  # equal bytes in front
+            lcp[on] += shared
+            on = on[(shared == WORD) & (lcp[on] < room[on])]
+        self.lcp = np.concatenate([np.zeros(1, np.int32), np.minimum(lcp, room)]) if len(self.at) else lcp
+
+    @classmethod
+    def _levels(cls, data: np.ndarray, left: np.ndarray, longest: int) -> list[tuple[int, np.ndarray]]:
+        """``(depth, rank by as many symbols)`` from depth ``KEPT`` on; the last one sorts whole suffixes."""
+        n = len(data)
+        symbols = data.astype(np.int16) + np.int16(1)
         key = np.zeros(n, np.int64)
         for j in range(PACKED):
             key *= 257
-            key[:n - j] += np.where(left[:n - j] > j, data[j:], 0)
-        self.ranks: list[tuple[int, np.ndarray]] = []
-        rank, h, longest = self._rank(key), PACKED, int(size.max(initial=0))
-        self.ranks.append((h, rank))
+            key[:max(0, n - j)] += symbols[j:] * (left[:max(0, n - j)] > j)
+        del symbols
+        levels: list[tuple[int, np.ndarray]] = []
+        rank, h = cls._rank(key), PACKED
         while h < longest:
-            after = np.zeros(n, np.int64)
-            after[:n - h] = np.where(left[:n - h] > h, rank[h:].astype(np.int64) + 1, 0)
-            rank = self._rank(rank.astype(np.int64) * (n + 2) + after)
-            h *= 2
-            self.ranks.append((h, rank))
-        counts = np.array(counts, np.int64)
-        starts = np.repeat(self.begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        self.string = np.repeat(np.arange(len(strings)), counts)
-        order = np.argsort(rank[starts], kind="stable")
-        self.at, self.string = starts[order], self.string[order]
-        self.left_symbol = np.where(self.at > self.begin[self.string], data[self.at - 1], -1)  # -1: nothing, or unknown
-        i, j = self.at[:-1], self.at[1:]
-        lcp, room = np.zeros(len(i), np.int64), np.minimum(left[i], left[j])
-        for h, rank in reversed(self.ranks):
-            on = lcp < room
-            equal = np.zeros(len(i), bool)
-            equal[on] = rank[i[on] + lcp[on]] == rank[j[on] + lcp[on]]
-            lcp[equal] += h
-        for _ in range(PACKED - 1):  # what is left is shorter than the first key
-            on = np.flatnonzero(lcp < room)
-            lcp[on[data[i[on] + lcp[on]] == data[j[on] + lcp[on]]]] += 1
-        self.lcp = np.concatenate([[0], np.minimum(lcp, room)]) if len(self.at) else np.zeros(0, np.int64)
-        self.places, self.ranks = n, []
+            if h >= KEPT:
+                levels.append((h, rank))
+            key[:] = rank
+            key *= n + 2
+            key[:n - h] += (rank[h:] + np.int32(1)) * (left[:n - h] > h)
+            classes, rank = rank.max(), cls._rank(key)
+            if rank.max() == classes:  # deeper symbols tell nothing more apart
+                levels, h = levels[:-1] if h >= KEPT else levels, longest
+            else:
+                h *= 2
+        return [*levels, (h, rank)]
 
     @staticmethod
     def _rank(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
-        ordered = key[order]
+        new = np.zeros(len(key), bool)
+        for a in range(1, len(key), PART):
+            ordered = key[order[a - 1:a + PART]]
+            np.not_equal(ordered[1:], ordered[:-1], out=new[a:a + PART])
         out = np.empty(len(key), np.int32)
-        out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]), dtype=np.int32)
+        out[order] = np.cumsum(new, dtype=np.int32)
         return out
 
-    def maximal(self, least: int) -> list[tuple[int, int, int]]:
-        """``(length, first, last)``: intervals of the suffix array whose suffixes share ``length`` symbols, at least ``least``.
+    def maximal(self, least: int) -> np.ndarray:
+        """Rows of length, first, last: intervals of the suffix array whose suffixes share ``length`` symbols, at least ``least``.
 
         One stack scan over the LCP values builds the interval tree; an interval is
         given out when the symbols to the left of its suffixes differ, so that it
         cannot be extended to the left (to the right it cannot by construction).
         """
-        change = np.cumsum(np.concatenate([[0], (self.left_symbol[1:] != self.left_symbol[:-1]) | (self.left_symbol[1:] < 0)]) if len(self.at) else [])
-        out: list[tuple[int, int, int]] = []
-        deep = np.flatnonzero(self.lcp >= least)
-        if not len(deep):
-            return out
-        blocks = np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1)
-        change = change.tolist()
-        for block in blocks:  # between blocks the stack is empty
-            a, lcp = int(block[0]), self.lcp[block].tolist()
+        out = array("i")
+        deep = self.lcp >= least
+        edges = np.flatnonzero(np.diff(deep, prepend=False, append=False)).tolist()
+        fresh = np.zeros(len(self.at), bool)
+        fresh[1:] = (self.left_symbol[1:] != self.left_symbol[:-1]) | (self.left_symbol[1:] < 0)
+        change, lcps = memoryview(np.cumsum(fresh, dtype=np.int32)), memoryview(self.lcp)
+        for a, b in zip(edges[::2], edges[1::2]):  # between blocks the stack is empty
             stack: list[tuple[int, int]] = []
-            for i, value in enumerate([*lcp, 0], a):
+            for i, value in enumerate(chain(lcps[a:b], (0,)), a):
                 lb = i - 1
                 while stack and stack[-1][0] > value:
                     length, lb = stack.pop()
                     if change[i - 1] > change[lb]:
-                        out.append((length, lb, i - 1))
+                        out.extend((length, lb, i - 1))
                 if value and (not stack or stack[-1][0] < value):
                     stack.append((value, lb))
-        return out
+        return np.array(out, np.int32).reshape(-1, 3)
 
     def covered(self, least: int) -> np.ndarray:
         """A mark per place of the joined strings that some occurrence of a maximal repeat covers."""
-        reach = np.zeros(len(self.at), np.int64)
-        for length, first, last in sorted(self.maximal(least)):  # longer repeats, deeper in the tree, paint over shorter ones
+        reach = np.zeros(len(self.at), np.int32)
+        found = self.maximal(least)
+        found = found[np.argsort(found[:, 0], kind="stable")]  # longer repeats, deeper in the tree, paint over shorter ones
+        for length, first, last in zip(*map(memoryview, np.ascontiguousarray(found.T))):
             reach[first:last + 1] = length
-        edges = np.zeros(self.places + 1, np.int64)
+        edges = np.zeros(self.places + 1, np.int32)
         hit = reach > 0
         np.add.at(edges, self.at[hit], 1)
         np.add.at(edges, self.at[hit] + reach[hit], -1)
-        return np.cumsum(edges)[:-1] > 0
+        return np.cumsum(edges, dtype=np.int32)[:-1] > 0

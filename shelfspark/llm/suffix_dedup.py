@@ -11,7 +11,8 @@ one anchor form a run. Runs go by anchor to buckets, as hashes only:
   suffixes differ in their left symbol is a maximal repeat with all its
   occurrences, and each occurrence covers its bytes.
 
-Anchors with more than ``HOT_RUNS`` different runs do not fit one task's suffix
+Anchors with more than ``HOT_RUNS`` different runs, or more than ``HOT_BYTES``
+bytes of them (runs that repeat inside are long), do not fit one task's suffix
 array; their windows are dealt one by one, by hash, counted with map-side
 aggregation, and those that occur again are covered.
 
@@ -36,15 +37,17 @@ from shelfspark.llm.repeats import Runs, SuffixArray
 
 WINDOW = 200
 #: Bytes of different runs that a suffix array takes, about.
-BUCKET_BYTES = 3 << 20
-#: Different runs of one anchor up to which a suffix array holds them.
-HOT_RUNS = 20_000
+BUCKET_BYTES = 1 << 20
+#: Different runs of one anchor up to which a suffix array holds them, and their bytes.
+HOT_RUNS, HOT_BYTES = 20_000, 4 << 20
+#: Windows hashed together, and places whose windows are united to spans together.
+HOT_WINDOWS = 1 << 15
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: The id under which rows without one are kept.
 NO_ID = -(1 << 63)
 
 BLOB = "bucket int, anchor binary, content binary, at binary, start binary, count binary, inner binary, ids binary, texts binary"
-RUN = "doc long, t long, start long, count long, anchor long, text_needed boolean, whole boolean, variants long"
+RUN = "doc long, t long, start long, count long, anchor long, text_needed boolean, whole boolean, hot boolean"
 
 
 def text_key(raw: bytes) -> int:
@@ -56,8 +59,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
 
 
-def runs(docs: DataFrame, size: int, buckets: int) -> DataFrame:
-    """The runs that matter: parts of repeats as a whole, or those whose text a suffix array must see."""
+def runs(docs: DataFrame, size: int, buckets: int, hot_runs: int = HOT_RUNS, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """The runs that matter: parts of repeats as a whole, or those whose text a suffix array must see (not if the anchor is ``hot``)."""
     blob, run = arrow_schema(BLOB), arrow_schema(RUN)
 
     def scan(batches):
@@ -98,7 +101,8 @@ def runs(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         variants = np.bincount(group[new_text])[group]
         needed = new_text & ((variants > 1) | inner)
         keep = whole | needed
-        values = (doc, key, start, count, anchor.view(np.int64), needed, whole, variants)
+        held = np.bincount(group, (count + np.float64(size)) * needed)[group]
+        values = (doc, key, start, count, anchor.view(np.int64), needed, whole, (variants > hot_runs) | (held > hot_bytes))
         return pa.Table.from_arrays([pa.array(v[keep].astype(bool if f.type == pa.bool_() else np.int64)) for v, f in zip(values, run)], schema=run)
 
     return (keyed(docs).mapInArrow(scan, BLOB).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match, RUN))
@@ -131,58 +135,70 @@ def run_texts(docs: DataFrame, wanted: DataFrame, size: int, buckets: int) -> Da
     return keyed(docs).join(per_id, "doc").mapInArrow(cut, TEXT)
 
 
-def repeat_spans(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUNS) -> DataFrame:
+def repeat_spans(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUNS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``(doc, t, a, b)``: byte spans, not yet united, that windows occurring elsewhere cover; doc is the id, t the text's key."""
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = id_and_text(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = written(runs(docs, size, max(shuffle, int(total) * 28 // 77 >> 25)), "repeat-runs")
+    found = written(runs(docs, size, max(shuffle, int(total) * 28 // 77 >> 25), hot_runs, hot_bytes), "repeat-runs")
     whole = found.where("whole").select("doc", "t", F.col("start").alias("a"), (F.col("start") + F.col("count") + (size - 1)).alias("b"))
     wanted = found.where("text_needed")
-    size_needed, hottest = wanted.agg(F.coalesce(F.sum(F.col("count") + size), F.lit(0)), F.coalesce(F.max("variants"), F.lit(0))).first()
+    size_needed, any_hot = wanted.agg(F.coalesce(F.sum(F.col("count") + size), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
     buckets = max(shuffle, int(size_needed) // BUCKET_BYTES)
     span = arrow_schema(SPAN)
 
     def by_suffix_array(table: pa.Table) -> pa.Table:
-        rows = table.select(["doc", "t", "start", "count", "bytes"]).to_pydict()
-        array = SuffixArray(rows["bytes"], rows["count"])
+        doc, t, start = (table.column(c).to_numpy() for c in ("doc", "t", "start"))
+        array = SuffixArray(table.column("bytes").to_pylist(), table.column("count").to_numpy())
         marks = array.covered(size)
         edges = np.flatnonzero(np.diff(marks, prepend=False, append=False))
         a, b = edges[::2], edges[1::2]
         string = np.searchsorted(array.begin, a, side="right") - 1
-        shift = np.array(rows["start"], np.int64)[string] - array.begin[string] if len(a) else a
-        columns = (np.array(rows["doc"], np.int64)[string] if len(a) else a, np.array(rows["t"], np.int64)[string] if len(a) else a, a + shift, b + shift)
+        shift = start[string] - array.begin[string]
+        columns = (doc[string], t[string], a + shift, b + shift)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=span)
 
-    spans = whole.unionAll(run_texts(docs, wanted.where(F.col("variants") <= hot_runs), size, buckets).groupBy("bucket").applyInArrow(by_suffix_array, SPAN))
-    if hottest > hot_runs:
-        spans = spans.unionAll(hot_spans(run_texts(docs, wanted.where(F.col("variants") > hot_runs), size, buckets), size))
+    spans = whole.unionAll(run_texts(docs, wanted.where("not hot"), size, buckets).groupBy("bucket").applyInArrow(by_suffix_array, SPAN))
+    if any_hot:
+        spans = spans.unionAll(hot_spans(run_texts(docs, wanted.where("hot"), size, buckets), size))
     return spans
 
 
 def hot_spans(texts: DataFrame, size: int) -> DataFrame:
-    """Spans of the windows that occur more than once among the runs ``texts`` (anchors too frequent for one suffix array)."""
+    """Spans of the windows that occur more than once among the runs ``texts`` (anchors too frequent or too long for one suffix array)."""
     ddl = "w1 long, w2 long, doc long, t long, at long"
-    schema = arrow_schema(ddl)
+    schema, span = arrow_schema(ddl), arrow_schema(SPAN)
 
     def windows(batches):
         for batch in batches:
             for doc, t, start, count, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "start", "count", "bytes"))):
-                keys = [hashlib.blake2b(data[i:i + size], digest_size=16).digest() for i in range(count)]
-                w = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), pa.array([doc] * count, pa.int64()),
-                                                  pa.array([t] * count, pa.int64()), pa.array(np.arange(start, start + count))], schema=schema)
+                for first in range(0, count, HOT_WINDOWS):
+                    at = np.arange(first, min(count, first + HOT_WINDOWS))
+                    keys = b"".join(hashlib.blake2b(data[i:i + size], digest_size=16).digest() for i in at.tolist())
+                    w = np.frombuffer(keys, np.int64).reshape(-1, 2)
+                    columns = (np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1]), np.full(len(at), doc), np.full(len(at), t), at + start)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    def united(batches):
+        for batch in batches:
+            for doc, t, at in zip(*(batch.column(c) for c in ("doc", "t", "at"))):
+                at = np.sort(at.values.to_numpy())
+                new = np.diff(at, prepend=at[0] - size - 1) > size
+                a, b = at[new], at[np.append(new[1:], True)] + size
+                columns = (np.full(len(a), doc.as_py()), np.full(len(a), t.as_py()), a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=span)
 
     found = texts.mapInArrow(windows, ddl)
     again = found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return found.join(again, ["w1", "w2"]).select("doc", "t", F.col("at").alias("a"), (F.col("at") + size).alias("b"))
+    part = F.floor(F.col("at") / HOT_WINDOWS).alias("part")
+    return found.join(again, ["w1", "w2"]).groupBy("doc", "t", part).agg(F.collect_list("at").alias("at")).mapInArrow(united, SPAN)
 
 
-def without_repeats(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUNS) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUNS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``(doc_id, text, kept binary, n_removed, n_spans)``: each document's bytes without the repeated ones."""
     ddl = "doc_id long, text string, kept binary, n_removed long, n_spans long"
     schema = arrow_schema(ddl)
-    per_text = repeat_spans(docs, size, hot_runs).groupBy("doc").agg(F.collect_list(F.struct("t", "a", "b")).alias("spans"))  # of one id
+    per_text = repeat_spans(docs, size, hot_runs, hot_bytes).groupBy("doc").agg(F.collect_list(F.struct("t", "a", "b")).alias("spans"))  # of one id
     parts = F.struct(F.col("spans.t").alias("t"), F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
     joined = keyed(docs).join(per_text.select("doc", parts.alias("s")), "doc", "left").select("doc", "text", "s.t", "s.a", "s.b")
 
@@ -209,9 +225,9 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUN
     return joined.mapInArrow(remove, ddl)
 
 
-def repeat_report(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUNS) -> DataFrame:
+def repeat_report(docs: DataFrame, size: int = WINDOW, hot_runs: int = HOT_RUNS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per document its bytes, the removed bytes and spans, and the hash of what is left."""
-    return without_repeats(docs, size, hot_runs).select(
+    return without_repeats(docs, size, hot_runs, hot_bytes).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

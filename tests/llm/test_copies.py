@@ -1,6 +1,7 @@
 """Line dedup, suffix-array dedup, Jaccard join, embedding near-dedup and the pipeline, against brute force."""
 
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -117,6 +118,39 @@ def test_suffix_array_covers_what_brute_force_covers():
                 assert seen.setdefault(strings[t][p:p + least], v) == v
 
 
+def test_suffix_array_holds_few_bytes_per_place():
+    rng = np.random.default_rng(8)
+    base = rng.integers(32, 127, 400).astype(np.uint8)
+    strings = []
+    for _ in range(800):  # near copies of one passage
+        copy = base.copy()
+        copy[rng.integers(0, 400, 2)] = 33
+        strings.append(copy.tobytes())
+    tracemalloc.start()
+    try:
+        array = SuffixArray(strings, [201] * 800)
+        marks = array.covered(200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert marks.tolist() == [bool(b) for b in b"\0".join(bytes(m) for m in covered(strings, 200)) + b"\0"]
+    assert peak < 64 * array.places
+
+
+def test_long_runs_of_one_anchor_equal_brute_force(spark):
+    """Runs that repeat inside are few and long: they are bounded by bytes, not by their number."""
+    texts = [f"{i:03d}" + "-" * (300 + 7 * i) + f"end {i}" for i in range(12)] + ["=" * 70_000, "." * 59, "plain"]
+    docs = documents(spark, texts)
+    raw = [t.encode() for t in texts]
+    found = suffix_dedup.runs(docs, 60, 4, hot_bytes=2_000).where("text_needed").groupBy("hot").count().collect()
+    assert {r.hot: r["count"] for r in found}[True] >= 13
+    for hot_bytes in (2_000, 1 << 22):
+        spans = suffix_dedup.repeat_spans(docs, 60, hot_bytes=hot_bytes)
+        assert spans.count() < 200  # windows are united
+        got = sorted(suffix_dedup.without_repeats(docs, 60, hot_bytes=hot_bytes).collect())
+        assert [bytes(r.kept) for r in got] == [bytes(x for x, g in zip(t, m) if not g) for t, m in zip(raw, covered(raw, 60))]
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_repeats_equal_brute_force(spark, hot):
     rng = np.random.default_rng(7)
