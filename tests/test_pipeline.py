@@ -346,3 +346,81 @@ def test_an_increment_of_one_version_per_key_is_not_written_again(spark, scratch
     found = [rows(spark.read.parquet(f"{scratch}/{name}"), "transaction_item_id", "transaction_date", "v") for name in ("plain", "once")]
     assert found[0] == found[1] == [("a", D("2024-01-03"), 2), ("b", D("2024-01-02"), 2)]
     assert counts == [4, 2]
+
+
+def test_upsert_appends_to_dates_that_lose_no_row(spark, scratch):
+    def files(day):
+        return {f for f in os.listdir(f"{scratch}/fact/transaction_date={day}") if f.endswith(".parquet")}
+    target = f"{scratch}/fact"
+    _upsert(spark, target, [("a", "2024-03-01", 1), ("b", "2024-03-02", 1), ("c", "2024-03-03", 1)])
+    before = {d: files(f"2024-03-0{d}") for d in (1, 2, 3)}
+    # "a" comes again, "b" is corrected, "d" joins "c", an older "c" comes late for another day.
+    got = _upsert(spark, target, [("a", "2024-03-01", 1), ("b", "2024-03-02", 2), ("d", "2024-03-03", 1), ("c", "2024-03-09", 0)])
+    assert got == {"touched": 4, "emptied": 1}
+    assert files("2024-03-01") == before[1] and files("2024-03-03") > before[3]          # what stands is neither read whole nor written again
+    assert not files("2024-03-02") & before[2] and not os.path.exists(f"{target}/transaction_date=2024-03-09")
+    read = spark.read.schema("transaction_item_id string, v bigint, transaction_date date").parquet(target)
+    assert rows(read, "transaction_item_id", "v") == [("a", 1), ("b", 2), ("c", 1), ("d", 1)]
+
+
+def test_upsert_writes_dates_of_many_files_and_repeated_keys_anew(spark, scratch, monkeypatch):
+    from shelfspark.operators import upsert
+    target, schema = f"{scratch}/fact", "transaction_item_id string, v bigint, transaction_date date"
+    # A table that no upsert has written: "a" stands three times, once without a key, and twice on the date of "n".
+    _fact_rows(spark, [("a", "2024-03-01", 1), ("a", "2024-03-01", 2), ("a", "2024-03-02", 3), ("n", "2024-03-02", 1), (None, "2024-03-04", 1)]) \
+        .coalesce(1).write.partitionBy("transaction_date").parquet(target)
+    _upsert(spark, target, [("x", "2024-03-01", 1), ("y", "2024-03-02", 1), (None, "2024-03-04", 2), ("z", "2024-03-05", 1)])
+    expected = [("a", 3, D("2024-03-02")), ("n", 1, D("2024-03-02")), ("x", 1, D("2024-03-01")), ("y", 1, D("2024-03-02")), ("z", 1, D("2024-03-05"))]
+    got = spark.read.schema(schema).parquet(target)
+    assert rows(got.filter("transaction_item_id IS NOT NULL")) == expected
+    assert rows(got.filter("transaction_item_id IS NULL"), "v") == [(2,)]
+    monkeypatch.setattr(upsert, "FILES", 3)
+    counts = []
+    for i in range(5):
+        _upsert(spark, target, [(f"z{i}", "2024-03-05", 1)])
+        counts.append(len([f for f in os.listdir(f"{target}/transaction_date=2024-03-05") if f.endswith(".parquet")]))
+    assert max(counts) <= 3 and spark.read.schema(schema).parquet(target).count() == 11
+
+
+def _exchanges(df):
+    import re
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange (?:hash|range)partitioning\((.*)", plan.split("== Initial Plan ==")[-1])
+
+
+def test_versions_of_a_dealt_feed_meet_what_stands_in_place(spark, scratch):
+    """What stands crosses the shuffle by key, version and date only; the increment not at all."""
+    from shelfspark.operators.upsert import newer
+    from shelfspark.session import SPARING, Scratch, sparing
+    before = {k: spark.conf.get(k) for k in SPARING}
+    feed = spark.createDataFrame([("t1", "a", D("2024-03-01"), 2, "w"), ("t1", "b", D("2024-03-01"), 1, "w"), ("t2", "c", D("2024-03-02"), 5, "w")],
+                                 "t string, k string, d date, v bigint, wide string")
+    old = spark.createDataFrame([("t1", "a", D("2024-02-01"), 1, "o"), ("t1", "b", D("2024-03-01"), 1, "o")], feed.schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Scratch(spark) as s, sparing(spark):
+            dealt = spark.table(s.keep(feed, int(spark.conf.get("spark.sql.shuffle.partitions")), ("t",)))
+            old.write.parquet(f"{scratch}/old")
+            won = newer(dealt, spark.read.schema(feed.schema).parquet(f"{scratch}/old"), "k", "d", ("v",), ("t",))
+            assert rows(won.select("t", "k", "v", F.col("_places.at")[0])) == [("t1", "a", 2, D("2024-02-01")), ("t2", "c", 5, None)]
+            text = won._jdf.queryExecution().executedPlan().toString()
+            assert len(_exchanges(won)) == 1 and "wide" not in text[text.index("Exchange"):]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {k: spark.conf.get(k) for k in SPARING} == before
+
+
+def test_several_runs_read_the_feed_from_one_table(spark, monkeypatch):
+    """The feed is joined together once, and a run writes no line twice before the fact."""
+    from shelfspark.session import Scratch, clear_scratch
+    from shelfspark.sources.raw import RawTables
+    t, made, keep = RawTables.from_driver(spark, "/root/testdata/sf0.001"), [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *more: made.append(df.columns) or keep(self, df, *more))
+    base = pipeline.loaded_in_runs(t, scoped=False)
+    whole = [c for c in made if {"transaction_item_id", "payment_method"} <= set(c)]
+    assert len([c for c in whole if "_places" not in c and "gmv" not in c]) == 3          # the feed, and what each of two runs holds back
+    assert len([c for c in whole if "gmv" in c]) == 2                                     # a run's new lines
+    loaded, once = pipeline.written_fact(t, base), Star(t).fact_from_feed(pipeline.latest_versions(t))
+    names = ["transaction_item_id", "transaction_date", "quantity", "gmv", "late_arrival"]
+    assert rows(loaded.select(names)) == rows(once.select(names))
+    clear_scratch(spark)
